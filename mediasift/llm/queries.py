@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift.llm.exact_dedup import duplicate_groups
+from mediasift.llm.licences import scan_licences
 from mediasift.llm.packing import pack_documents
 from mediasift.llm.sharding import external_shuffle
+from mediasift.llm.simhash import near_duplicates
 from mediasift.llm.token_files import token_documents
+from mediasift.llm.vector_dedup import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +32,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 1024, 2)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 0)
 
@@ -37,6 +44,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     text = F.coalesce("text", F.lit(""))
@@ -44,6 +56,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents")).drop("spans")
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
 h AS (SELECT doc_id, n, sha256(t) AS text_sha256 FROM d)
@@ -57,7 +73,7 @@ FROM h
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_best_fit_packing, op3_token_files, op4_exact_dedup, op8_sharding]
+    found = [op1_best_fit_packing, op2_embedding_near_dedup, op3_token_files, op4_exact_dedup, op6_simhash_near_dedup, op8_sharding, op10_licence_scan]
     return {f.__name__: f for f in found}
 
 
