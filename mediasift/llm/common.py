@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: the characters of [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
+#: A counted table of up to so many narrow rows may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -72,6 +74,9 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     df = df.withColumn("_local", F.sum("_v").over(local) - F.col("_v"))
+    sums = materialise(sums, "sums")
+    if sums.count() <= BROADCAST_ROWS:
+        sums = F.broadcast(sums)
     return df.join(sums, on).withColumn(out, F.col("_before") + F.col("_local")).drop("_b", "_b2", "_v", "_before", "_local", *[f"_k{i}" for i in range(len(keys))])
 
 

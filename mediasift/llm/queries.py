@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediasift.llm import language, lm_score
 from mediasift.llm.exact_dedup import duplicate_groups
 from mediasift.llm.licences import scan_licences
+from mediasift.llm.mixing import mix
 from mediasift.llm.packing import pack_documents
 from mediasift.llm.sharding import external_shuffle
 from mediasift.llm.simhash import near_duplicates
@@ -44,11 +46,27 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def remainder(divisor: int) -> Column:
+    """crc32(doc_id as text) mod divisor."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    found = language.identify(docs, language.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "offset")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     text = F.coalesce("text", F.lit(""))
@@ -56,6 +74,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(5) == 1, F.lit(False))
+    model = lm_score.fit(docs, ~held_out)
+    found = lm_score.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -73,7 +99,7 @@ FROM h
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_best_fit_packing, op2_embedding_near_dedup, op3_token_files, op4_exact_dedup, op6_simhash_near_dedup, op8_sharding, op10_licence_scan]
+    found = [op1_best_fit_packing, op2_embedding_near_dedup, op3_token_files, op4_exact_dedup, op5_language_id, op6_simhash_near_dedup, op7_source_mixing, op8_sharding, op9_lm_scoring, op10_licence_scan]
     return {f.__name__: f for f in found}
 
 
