@@ -87,6 +87,10 @@ def vantage_points(bits: int, levels: int) -> list[int]:
     return [int(x) for x in np.random.default_rng(7).integers(0, 1 << bits, levels)]
 
 
+def _branches(near: Column, base: int):
+    return lambda key: F.transform(near, lambda d: key * base + d)
+
+
 def leaves(fp: Column, parts: int, radius: int, levels: int) -> tuple[Column, Column]:
     """(the leaf that stores fp, the leaves it is queried in), one entry for each part; leaves are longs."""
     width = BITS // parts
@@ -101,7 +105,7 @@ def leaves(fp: Column, parts: int, radius: int, levels: int) -> tuple[Column, Co
             home = home * (bits + 1) + d
             if radius:
                 near = F.sequence(F.greatest(d - radius, F.lit(0)), F.least(d + radius, F.lit(bits)))
-                keys = F.flatten(F.transform(keys, lambda k, near=near, bits=bits: F.transform(near, lambda x: k * (bits + 1) + x)))
+                keys = F.flatten(F.transform(keys, _branches(near, bits + 1)))
         store.append(home)
         probe.append(keys if radius else F.array(home))
     return F.array(*store), F.flatten(F.array(*probe))
