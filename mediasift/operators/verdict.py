@@ -238,6 +238,9 @@ WORDING = {
     "se_gore": "Sightengine gore/blood: score={} (prob={})",
     "se_offensive": "Sightengine offensive symbols: score={}",
     "se_knife": "Sightengine knife: score={} ctx={}",
+    "blocklist_distance": "Blocklist match (distance=NOTE)",
+    "allowlist_distance": "Allowlist match (distance=NOTE)",
+    "loader_failure": "loader_failure: NOTE",
     "borderline": "Borderline content detected by one or more engines.",
 }
 

@@ -41,7 +41,7 @@ def list_media(spark: SparkSession, source: str, recursive: bool = False) -> Dat
     if not recursive:
         base = status.getPath().toString().rstrip("/")
         files = files.filter(~F.substring(F.col("path"), len(base) + 2, 1 << 20).contains("/"))
-    return files.select(F.col("path").alias("media_id"), "path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.lit("file").alias("source_kind"), "length", F.lit(None).cast("string").alias("load_error")).orderBy("path")
+    return files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("media_id"), "path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.lit("file").alias("source_kind"), "length", F.lit(None).cast("string").alias("load_error")).orderBy("path")
 
 
 def read_images(spark: SparkSession, source: str, recursive: bool = False) -> DataFrame:
@@ -49,7 +49,9 @@ def read_images(spark: SparkSession, source: str, recursive: bool = False) -> Da
     pattern = "*.{" + ",".join(x for e in IMAGE_EXTENSIONS for x in (e[1:], e[1:].upper())) + "}"
     rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(source)
     error = F.when(F.col("image.width") <= 0, "undecodable")
-    return rows.select(F.col("image.origin").alias("media_id"), "image", error.alias("load_error"))
+    # The two sources spell local paths with one slash and with three.
+    origin = F.regexp_replace("image.origin", "^file:/+", "file:/")
+    return rows.select(origin.alias("media_id"), "image", error.alias("load_error"))
 
 
 def sample_places(n: int, sample: int) -> list[int]:
