@@ -33,6 +33,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, HELD_EVERY = 600, 10_000, 5
 REJECT_Z, REJECT_BITS, REJECT_CHARS = 8.0, 4.0, 20
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
+ALPHABET = 1024
 BATCH_CHARS, CACHE_WORDS = 4_000_000, 1_000_000
 
 
@@ -88,7 +89,7 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: flo
 def train(texts: list[str], order: int = ORDER) -> Model:
     """An interpolated Kneser-Ney model of the words of texts."""
     words = [w for t in texts for w in LETTERS.findall(t.lower())]
-    model = Model([], [], [], [], 1024)
+    model = Model([], [], [], [], ALPHABET)
     if not words:
         return model
     _, grams, contexts, highest = _grams(words, order)
@@ -126,7 +127,7 @@ def _count(keys: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 @dataclass
 class Identifier:
-    """Models by language with what calibration found: the mean and deviation of the cross-entropy of each."""
+    """Models by language with what calibration found: the median and (robust) deviation of the cross-entropy of each."""
 
     languages: list[str]
     models: list[Model]
@@ -189,7 +190,7 @@ class WordScores(dict):
 def fit(docs: DataFrame, learn: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Identifier:
     """Learn from the rows of docs (doc_id, text, lang) where `learn` holds and lang is not null."""
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= sample_chars)
-    rows = docs.filter(usable if learn is None else usable & learn)
+    rows = docs.filter(usable if learn is None else usable & learn).select("doc_id", "text", "lang")
     pick = Window.partitionBy("lang").orderBy("_h", "doc_id")
     ids = rows.select("lang", "doc_id", F.xxhash64("doc_id", F.lit("sample")).alias("_h")).withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample_docs)
     ids = ids.select(F.col("doc_id").alias("_id"), "_r")  # sample_docs rows a language
@@ -215,14 +216,14 @@ def fit(docs: DataFrame, learn: Column | None = None, sample_docs: int = SAMPLE_
         n = len(arrays) // 2
         models.append(Model([a[0] for a in arrays[:n]], [a[1] for a in arrays[:n]], [a[0] for a in arrays[n:]], [a[1] for a in arrays[n:]], int(parts[-1][1])))
         held.append(parts[-2][0])
-    shared = max((m.alphabet for m in models), default=2)
     for m in models:
-        m.alphabet = 4 * shared  # the same mass for a letter that a language never showed
+        m.alphabet = max(ALPHABET, *(x.alphabet for x in models))  # a letter that a language never showed costs the same in all
     identifier = Identifier(languages, models, [], int.from_bytes(np.random.default_rng().bytes(7), "little"))
     for k, texts in enumerate(held):
         entropy, _, chars = WordScores(identifier).predict(texts) if texts else (np.zeros((0, len(models))), None, np.zeros(0))
         own = entropy[chars >= REJECT_CHARS, k]
-        identifier.usual.append((float(own.mean()), float(max(own.std(), 0.05))) if len(own) else (0.0, float("inf")))
+        middle = float(np.median(own)) if len(own) else 0.0
+        identifier.usual.append((middle, max(0.05, 1.4826 * float(np.median(np.abs(own - middle))))) if len(own) else (0.0, float("inf")))
     return identifier
 
 

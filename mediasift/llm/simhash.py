@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def vantage_points(bits: int, levels: int) -> list[int]:
     """Vantage points of a part: fixed pseudo-random bit patterns of its width."""
-    return [int(x) for x in np.random.default_rng(7).integers(0, 1 << bits, levels)]
+    return [int(x) for x in np.random.default_rng(7).integers(0, 1 << min(bits, 63), levels)]
 
 
 def _branches(near: Column, base: int):
@@ -198,7 +198,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs with one document of each group of near duplicates (the smallest doc_id), all columns kept."""
     found = near_duplicates(docs, distance).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     found = materialise(found, "kept")
-    kept = docs.join(found.select(F.col("doc_id").alias("_id")), docs["doc_id"] == F.col("_id"), "left_semi")
+    ids = found.select(F.col("doc_id").alias("kept_id"))
+    kept = docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi")
     if found.filter("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(docs["doc_id"].isNull()))

@@ -47,7 +47,8 @@ def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int) -> bytes:
             break
         pairs = (symbols[:-1].astype(pair_kind) << pair_kind(shift)) | symbols[1:]
         within = np.ones(len(pairs), bool)
-        within[starts[1:-1] - 1] = False
+        edges = starts[(starts > 0) & (starts < len(symbols))]
+        within[edges - 1] = False
         code, count = np.unique(pairs[within], return_counts=True)
         code, count = code[count >= LEAST_COUNT], count[count >= LEAST_COUNT]
         if not len(code):
