@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mediasift.operators.matching import exact_match, nearest_match
 from mediasift.operators.routing import ENGINE_ORDER
 from mediasift.operators.text import text_check
+from mediasift.sources.settings import switch
 
 RESULTS = "media_id string, engine string, engine_ord int, status string, scores map<string,double>, details map<string,string>, error string"
 
@@ -96,3 +97,24 @@ def table_engine(name: str, scores: DataFrame | None, failure: str = "no scores"
         return joined.select("media_id", "scores", F.lit(None).cast("map<string,string>").alias("details"), F.when(F.col("scores").isNull(), failure).alias("error"))
 
     return Engine(name, run, scores is not None, "not installed")
+
+
+#: Settings that turn an engine off, with the value that does, and engines by stage.
+SWITCHES = {"pHash blocklist": ("PHASH_BLOCK_DISABLE", "1"), "pHash allowlist": ("PHASH_ALLOW_DISABLE", "1"), "NudeNet": ("NUDENET_DISABLE", "1"), "OpenNSFW2": ("OPENNSFW2_DISABLE", None), "OpenAI Moderation": ("OPENAI_DISABLE", None), "Sightengine": ("SIGHTENGINE_DISABLE", None)}
+REMOTE = ("OpenAI Moderation", "Sightengine")
+FIRST = ("pHash blocklist", "pHash allowlist")
+
+
+def stages(env: Mapping[str, str], no_apis: bool = False) -> tuple[list[str], list[str], list[str]]:
+    """(list, local, remote) engine names of a run in order. Remote ones that are switched off are left out; others skip."""
+    remote = [e for e in ENGINE_ORDER if e in REMOTE and not no_apis and not switch(env, SWITCHES[e][0], False)]
+    return [e for e in ENGINE_ORDER if e in FIRST], [e for e in ENGINE_ORDER if e not in FIRST + REMOTE], remote
+
+
+def switched_off(engine: str, env: Mapping[str, str]) -> str | None:
+    """Why an engine skips by its settings; null if it doesn't. Text checks are off unless OCR_ENABLE is exactly 1."""
+    if engine == "OCR text":
+        return None if env.get("OCR_ENABLE", "").strip() == "1" else "OCR_ENABLE is not 1"
+    key, value = SWITCHES.get(engine, ("", None))
+    off = bool(key) and (env.get(key, "").strip() == value if value else switch(env, key, False))
+    return f"{key} is set" if off else None

@@ -39,3 +39,14 @@ def append_hashes(entries: DataFrame, path: str) -> None:
 def read_patterns(spark: SparkSession, path: str, strip_prefix: bool = False) -> list[str]:
     """Patterns of a small list file, in order, checked on the driver."""
     return usable_patterns([r["value"] for r in spark.read.text(path, wholetext=False).collect()], strip_prefix)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """A result cache in a JSON object file as (key, seq, scores); a missing or unreadable file is an empty cache."""
+    schema = "key string, seq bigint, scores map<string,double>"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    entries = F.from_json("value", "map<string,struct<scores:map<string,double>>>")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.map_entries(entries)).alias("seq", "e"))
+    return rows.select(F.col("e.key").alias("key"), F.col("seq").cast("bigint").alias("seq"), F.col("e.value.scores").alias("scores"))

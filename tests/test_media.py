@@ -8,15 +8,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediasift import cli
+from mediasift import cli, report
 from mediasift.functions.columns import bits_of_hex
 from mediasift.functions.imagehash import cosine_matrix, hash_of_image, hash_pixels, resize_matrix
-from mediasift.operators import matching, routing, text
+from mediasift.operators import engines, matching, remote, routing, text
 from mediasift.operators.engines import Engine, allowlist_engine, blocklist_engine, run_engines, table_engine, text_engine
-from mediasift.operators.scores import flatten_response
-from mediasift.sources import settings
+from mediasift.operators.scores import flatten_response, shown_scores
+from mediasift.sources import models, settings
 from mediasift.sources.gif import gif_frames
-from mediasift.sources.lists import append_hashes, read_hash_list
+from mediasift.sources.lists import append_hashes, read_cache, read_hash_list
 from mediasift.sources.media import animation_hashes, list_media, read_images, sample_places
 from mediasift.streaming.landing import arriving_files, moderate_stream
 
@@ -183,13 +183,13 @@ def test_stages(spark, policy, asked):
     local_scores = spark.createDataFrame([("b", {"nsfw_probability": 0.95}), ("c", {"nsfw_probability": 0.45})], "media_id string, scores map<string,double>")
     seen = []
 
-    def remote(m):
+    def ask(m):
         seen.append({r["media_id"] for r in m.select("media_id").collect()})
         return table_engine("Sightengine", m.select("media_id", F.create_map(F.lit("offensive_max"), F.lit(1.0)).alias("scores"))).results(m)
 
     pre = lambda m: run_engines(m, [blocklist_engine(listed, 0), allowlist_engine(listed.limit(0))])
     local = lambda m: run_engines(m, [table_engine("OpenNSFW2", local_scores), text_engine([]), Engine("NudeNet", lambda x: x, False, "not installed")])
-    out = {r["media_id"]: r["label"] for r in routing.moderate(media, pre, local, remote, route=routing.Route(api_policy=policy)).collect()}
+    out = {r["media_id"]: r["label"] for r in routing.moderate(media, pre, local, ask, route=routing.Route(api_policy=policy)).collect()}
     assert out == {"a": "BLOCK", "b": "BLOCK", "c": "BLOCK" if "c" in asked else "REVIEW", "d": "REVIEW"}
     assert seen == ([asked] if asked else [])
 
@@ -225,3 +225,97 @@ def test_command_line(spark, folder, tmp_path, capsys):
 
 def test_bits_of_hex_feed_the_lists(spark):
     assert spark.range(1).select(bits_of_hex(F.lit("8000000000000000"))).first()[0] == -(1 << 63)
+
+
+@pytest.mark.parametrize("codes,calls,waits", [([200], 1, []), ([429, 429, 200], 3, [1, 2]), ([429] * 9, 4, [1, 2, 4]), ([500, 200], 1, [])])
+def test_only_429_is_tried_again(codes, calls, waits):
+    answers, slept = iter(codes), []
+    status, _, n = remote.send(lambda p: (next(answers), ""), "x", remote.Pace(jitter=0), slept.append)
+    assert (n, slept, status) == (calls, waits, codes[calls - 1])
+
+
+def test_total_wait_is_bounded():
+    slept = []
+    remote.send(lambda p: (429, ""), "x", remote.Pace(jitter=0, retries=20, total=10), slept.append)
+    assert slept == [1, 2, 4]
+
+
+@pytest.mark.parametrize(
+    "style,status,body,want",
+    [("moderation", 401, "", ("skipped", True)), ("moderation", 500, "", ("skipped", False)), ("moderation", 200, "{}", ("ok", False)), ("frames", 402, "", ("skipped", True)), ("frames", 500, "x", ("error", False)), ("frames", 200, "{", ("error", False)), ("frames", 200, '{"status": "failure", "error": {"message": "usage limit"}}', ("skipped", True)), ("frames", 200, '{"status": "success"}', ("ok", False))],
+)
+def test_answers(style, status, body, want):
+    got = remote.judge(style, status, body)
+    assert (got[0], got[2]) == want
+
+
+def test_calls_stop_after_a_refusal(spark):
+    requests = spark.createDataFrame([(str(i), "p") for i in range(5)], "media_id string, payload string").coalesce(1)
+    got = remote.call_remote(requests, lambda p: (403, ""), "frames", remote.Pace(interval=0))
+    assert {(r["status"], r["calls"]) for r in got.collect()} == {("skipped", 1), ("skipped", 0)}
+
+
+def test_fetching(spark):
+    urls = spark.createDataFrame([("a", "https://h/x/pic"), ("b", "https://h/page.html"), ("c", "https://down")], "media_id string, url string")
+
+    def transport(url, limit):
+        if "down" in url:
+            raise OSError("no route")
+        return ("text/html", None, b"<html>") if "page" in url else ("", 9, b"\x89PNG\r\n\x1a\n....")
+
+    got = {r["media_id"]: (r["error"], r["ext"], r["name"]) for r in remote.fetch(urls, transport, 1).collect()}
+    assert got == {"a": (None, ".png", "pic"), "b": ("not_an_image", None, None), "c": ("OSError: no route", None, None)}
+
+
+def test_models(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "real.pt").write_bytes(b"\0" * 3800)
+    (tmp_path / "ptr.pt").write_text("version https://" + models.POINTER + "/v1\noid sha256:1\n")
+    assert models.resolve("real.pt", tmp_path) == (tmp_path / "real.pt", None)
+    assert models.resolve("ptr.pt", tmp_path / "elsewhere")[1] == "pointer"
+    assert models.resolve("no.pt", tmp_path)[0] is None and len(models.candidates("no.pt", tmp_path)) == 1
+    assert models.weapon_model({"YOLO_WORLD_MODEL": " ", "YOLO_WEAPON_MODEL": "w.pt", "YOLO_WEAPONS_WEIGHTS": "v"}) == "w.pt"
+    assert models.weapon_model({"YOLO_WORLD_MODEL": "YOLO-World"}) is None
+
+
+def test_cache_file(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"k1": {"scores": {"a": 0.5}, "details": {}}, "k2": {"scores": {}}}')
+    (tmp_path / "bad.json").write_text("{not json")
+    assert [(r["key"], r["seq"]) for r in read_cache(spark, f"file://{tmp_path}/c.json").collect()] == [("k1", 0), ("k2", 1)]
+    assert read_cache(spark, f"file://{tmp_path}/bad.json").count() == read_cache(spark, f"file://{tmp_path}/no.json").count() == 0
+
+
+@pytest.mark.parametrize(
+    "engine,how,want",
+    [
+        ("other", {"most": 2}, ["b", "d"]),
+        ("other", {"verbose": True}, ["a", "b", "nudity_raw", "d"]),
+        ("Sightengine", {}, ["nudity_raw"]),
+        ("Sightengine", {"mode": "full"}, ["a", "b", "nudity_raw", "d"]),
+        ("Sightengine", {"mode": "keys", "keys": ("d", "none", "a")}, ["d", "a"]),
+        ("Sightengine", {"extra": 3}, ["nudity_raw", "b", "d"]),
+        ("YOLO forbidden symbols", {}, []),
+    ],
+)
+def test_shown_scores(spark, engine, how, want):
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("a", 0.01), ("b", 0.9), ("nudity_raw", 0.3), ("d", 0.9))])
+    assert [e["key"] for e in spark.range(1).select(shown_scores(engine, entries, **how).alias("s")).first()["s"]] == want
+
+
+def test_reports(tmp_path):
+    report.write_json([], tmp_path / "a", 0)
+    report.write_json([{"name": "ü"}], tmp_path / "b", 1)
+    report.write_json([{"name": "x"}, {"name": "y"}], tmp_path / "c", 2)
+    assert json.loads((tmp_path / "a").read_text())["results"] == [] and "ü" in (tmp_path / "b").read_text()
+    assert isinstance(json.loads((tmp_path / "b").read_text()), dict) and len(json.loads((tmp_path / "c").read_text())) == 2
+    assert (report.exit_status([]), report.exit_status(["OK"]), report.exit_status(["OK", "REVIEW"])) == (2, 0, 2)
+    summary = {"total_files": 1, "total_ms": 5, "total_wall_ms": 5, "avg_file_ms": 5.0, "median_file_ms": 5, "p95_file_ms": 5}
+    assert report.summary_lines(summary, [], [{"media_id": "m", "total_ms": 5}])[1] == "slow m: 5 ms"
+
+
+def test_engine_stages():
+    first, local, far = engines.stages({"OPENAI_DISABLE": "on"})
+    assert first == ["pHash blocklist", "pHash allowlist"] and local[0] == "OCR text" and far == ["Sightengine"]
+    assert engines.stages({}, no_apis=True)[2] == []
+    assert engines.switched_off("OCR text", {"OCR_ENABLE": "true"}) and not engines.switched_off("OCR text", {"OCR_ENABLE": "1"})
+    assert engines.switched_off("NudeNet", {"NUDENET_DISABLE": "1"}) and not engines.switched_off("NudeNet", {"NUDENET_DISABLE": "true"})
