@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediasift.functions.columns import CORE_ENGINES, clamp01, safe_number
+from mediasift.functions.columns import CORE_ENGINES
 
 RISKS = ("nudity", "violence", "hate")
 NOTHING_RAN = "no_checks_ran"
@@ -73,12 +73,27 @@ class Settling:
     when: Column
 
 
+# The scores that rules read. Sub-scores of the second list are not clamped.
+CLAMPED = (
+    "phash_allow_match phash_block_match ocr_match sexual/minors sexual violence violence/graphic hate hate/threatening nsfw_probability nudity_exposed nudity_covered nsfw_combined "
+    "forbidden_symbols_max_conf yolo_firearm_toy yolo_firearm yolo_firearm_realistic yolo_knife_dangerous yolo_knife nudity_safe nudity_raw nudity_partial weapon_firearm "
+    "weapon_firearm_toy weapon_firearm_gesture violence_prob violence_physical_violence violence_firearm_threat gore_prob weapon_knife offensive_max"
+).split()
+RAW = "weapon_firearm_type_animated gore_very_bloody gore_slightly_bloody gore_serious_injury gore_superficial_injury gore_corpse gore_body_organ".split()
+
+
 def _score(name: str) -> Column:
-    return clamp01(F.try_element_at(F.col("scores"), F.lit(name)))
+    return F.col(f"`s:{name}`")
+
+
+_raw = _score
 
 
-def _raw(name: str) -> Column:
-    return safe_number(F.try_element_at(F.col("scores"), F.lit(name)))
+def _scores() -> list[Column]:
+    """One column for each score that a rule reads, so that no rule repeats how it is cleaned."""
+    clean = "CASE WHEN {x} IS NOT NULL AND NOT isnan({x}) AND abs({x}) <> double('infinity') THEN least(1D, greatest(0D, {x})) ELSE 0D END AS `s:{n}`"
+    at = "try_element_at(scores, '{n}')"
+    return [F.expr(clean.format(x=at.format(n=n), n=n)) for n in CLAMPED] + [F.expr(f"coalesce({at.format(n=n)}, 0D) AS `s:{n}`") for n in RAW]
 
 
 def settling_rules() -> list[Settling]:
@@ -153,9 +168,10 @@ NO_REASONS = "array<struct<code:string,note:string,args:array<double>>>"
 def fold(results: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One verdict for each media_id of results (media_id, engine, engine_ord, status, scores, details)."""
     s = settings or Settings()
-    status = F.lower("status")
+    told = F.coalesce(F.try_element_at("details", F.lit("match_label")), F.try_element_at("details", F.lit("top_label")))
+    results = results.select("media_id", "engine", "engine_ord", F.lower("status").alias("status"), told.alias("note"), *_scores())
+    status, note = F.col("status"), F.col("note")
     ran = status == "ok"
-    note = F.coalesce(F.try_element_at("details", F.lit("match_label")), F.try_element_at("details", F.lit("top_label")))
     settle, settled_risk, settled_reason = (F.lit(None).cast(t) for t in ("string", "double", "struct<code:string,note:string,args:array<double>>"))
     for r in reversed(settling_rules()):
         hit = ran & (F.col("engine") == r.engine) & r.when
