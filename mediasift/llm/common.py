@@ -14,6 +14,17 @@ WHITE = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 100_000
 
 
+_LIVE: dict = {}
+
+
+def worker_cache(key: object, make):
+    """What a Python worker keeps between tasks: one object at a time, so that operators don't add up."""
+    if key not in _LIVE:
+        _LIVE.clear()
+        _LIVE[key] = make()
+    return _LIVE[key]
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediasift.llm.common import worker_cache
+
 ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, HELD_EVERY = 600, 10_000, 5
 REJECT_Z, REJECT_BITS, REJECT_CHARS = 8.0, 4.0, 20
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
 ALPHABET = 1024
-BATCH_CHARS, CACHE_WORDS = 4_000_000, 1_000_000
+ROWS_AT_ONCE, BATCH_CHARS, CACHE_WORDS = 500, 2_000_000, 400_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -135,16 +137,12 @@ class Identifier:
     number: int = 0
 
     def reader(self) -> WordScores:
-        if WordScores.last is None or WordScores.last.number != self.number:
-            WordScores.last = WordScores(self)
-        return WordScores.last
+        return worker_cache(("language", self.number), lambda: WordScores(self))
 
 
 class WordScores(dict):
     """Distinct words and their scores; one lives in each Python worker. Emptied when it holds CACHE_WORDS."""
 
-    last: WordScores | None = None
-
     def __init__(self, identifier: Identifier):
         self.identifier, self.number, self.new = identifier, identifier.number, []
         self.scores, self.chars = array.array("d"), array.array("q")
@@ -235,7 +233,7 @@ def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for b in batches:
+        for b in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             texts = [t or "" for t in b.column(names.index("text")).to_pylist()]
             if not known.models:
                 entropy, posterior, chars = np.zeros((len(texts), 1)), np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64)

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import discard, materialise, scratch
+from mediasift.llm.common import discard, materialise, scratch, worker_cache
 
-SHARD_BYTES = 24 << 20
-FLUSH_TOKENS, CACHE_WORDS = 3_000_000, 1_000_000
+SHARD_BYTES = 16 << 20
+FLUSH_TOKENS, CACHE_WORDS = 2_000_000, 500_000
 HOT_SAMPLE, HOT_BYTES, HOT_WORDS, HOT_SPLIT = 500, 4000, 1024, 64
 START = np.uint64(0x5354415254)
 END = np.uint64(0x454E44)
@@ -55,8 +55,6 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Hashes of words by slot; one lives in each Python worker, emptied when it holds CACHE_WORDS."""
 
-    last: Words | None = None
-
     def __init__(self):
         from xxhash import xxh64_intdigest
 
@@ -70,9 +68,11 @@ class Words(dict):
     @classmethod
     def read(cls, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(word hashes of all texts end to end, each with its end token; tokens of each text)."""
-        if cls.last is None or len(cls.last) > CACHE_WORDS:
-            cls.last = cls()
-        look, parts, sizes = cls.last.__getitem__, [], []
+        known = worker_cache("words", cls)
+        if len(known) > CACHE_WORDS:
+            known.clear()
+            known.hashes = array.array("Q")
+        look, parts, sizes = known.__getitem__, [], []
         for t in texts:
             words = (t or "").encode().lower().split()
             parts.append(np.fromiter(map(look, words), np.int64, len(words)))
@@ -82,7 +82,7 @@ class Words(dict):
         ends = np.cumsum(sizes) - 1
         mask = np.ones(len(out), bool)
         mask[ends] = False
-        out[mask] = np.frombuffer(cls.last.hashes, np.uint64)[np.concatenate(parts)] if len(cls.last) and parts else 0
+        out[mask] = np.frombuffer(known.hashes, np.uint64)[np.concatenate(parts)] if len(known) and parts else 0
         out[ends] = END
         return out, sizes
 
@@ -139,8 +139,8 @@ def _count(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
         return pa.RecordBatch.from_pylist([dict(zip(("kind", "shard", "a", "b", "c"), r, strict=True)) for r in rows], pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]))
 
     for b in batches:
-        for i in range(0, b.num_rows, 2000):
-            tokens, sizes = Words.read(b.column(0).slice(i, 2000).to_pylist())
+        for i in range(0, b.num_rows, 500):
+            tokens, sizes = Words.read(b.column(0).slice(i, 500).to_pylist())
             held.append((_contexts(tokens, sizes), tokens))
             n += len(tokens)
             if n >= FLUSH_TOKENS:
@@ -343,8 +343,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         ids, tokens, sizes, n = [], [], [], 0
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
                 got, size = Words.read(part.column(1).to_pylist())
                 ids.append(part.column(0))
                 tokens.append(got)

@@ -30,7 +30,7 @@ from mediasift.llm.common import materialise, prefix_sums
 from mediasift.llm.tokens import PieceEncoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-RANK_BITS = 44
+RANK_BITS, ROWS_AT_ONCE = 44, 500
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer)
-        for b in batches:
+        for b in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             ids, at = with_end(*encoder.encode(b.column(1)), end_id)
             sizes = np.diff(at)
             short = sizes % capacity
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
             start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
             length = np.where(piece == 0, first, capacity)
             begin = at[doc] + start
-            ids = ids.astype("<u4")
+            ids = ids.astype("<u4", copy=False)
             crc = np.fromiter((zlib.crc32(ids[i:j]) for i, j in zip(begin, begin + length, strict=True)), np.int64, len(doc))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -15,11 +15,13 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from mediasift.llm.common import worker_cache
+
 CUT, DOCUMENT = "\x00", "\x01document\x01"
 BETWEEN = CUT + DOCUMENT + CUT
 CUT_BEFORE = (" ", ",", ".", "\n")
 BLANKS = (" ", "\n")
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: What a piece asks of the piece before it, and offers to the one after it.
 BAD, WANTS_ALNUM, WANTS_INK, ENDS_ALNUM, ENDS_INK = 1, 2, 4, 8, 16
 
@@ -49,15 +51,11 @@ class _Slots(dict):
 class PieceEncoder:
     """Encodes batches of texts; one lives in each Python worker and tokenizer file."""
 
-    _made: dict[str, PieceEncoder] = {}
-
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return worker_cache(("pieces", path), lambda: cls(path))
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
