@@ -30,7 +30,7 @@ from mediasift.llm.common import scratch
 from mediasift.llm.tokens import PieceEncoder, with_end
 
 MAGIC = b"RPT1"
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS, ROWS_AT_ONCE = 2_000_000, 500
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 4096, 8
 BLOCKS = "shard int, block int, doc_ids array<bigint>, n_tokens long, payload binary"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -53,8 +53,8 @@ def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int) -> bytes:
         code, count = code[count >= LEAST_COUNT], count[count >= LEAST_COUNT]
         if not len(code):
             break
-        code = np.sort(code[np.lexsort((code, -count))[:RULES_A_ROUND]])
-        rule = np.minimum(np.searchsorted(code, pairs), len(code) - 1)
+        code = code[np.lexsort((code, -count))[:RULES_A_ROUND]]
+        code, rule = _look_up(code, pairs)
         hit = (code[rule] == pairs) & within
         place = np.flatnonzero(hit)
         new_run = np.concatenate([[True], np.diff(place) > 1])  # overlapping hits: take every other one
@@ -67,8 +67,26 @@ def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int) -> bytes:
         symbols = symbols[keep]
         rules = np.concatenate([rules, np.stack([code >> pair_kind(shift), code & pair_kind((1 << shift) - 1)], 1).astype(kind)])
     head = MAGIC + struct.pack("<5I", symbols.itemsize, vocabulary, len(rules), len(sizes), len(symbols))
-    lengths = np.diff(_expansions(rules, vocabulary)[1])
-    return b"".join([head, rules.tobytes(), lengths.astype("<u4").tobytes(), starts.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), symbols.tobytes()])
+    lengths: list[int] = []
+    for a, b in rules.tolist():
+        lengths.append(sum(lengths[s - vocabulary] if s >= vocabulary else 1 for s in (a, b)))
+    return b"".join([head, rules.tobytes(), np.array(lengths, "<u4").tobytes(), starts.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), symbols.tobytes()])
+
+
+TABLE_BITS = 20
+
+
+def _look_up(code: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the codes that have a cell of the hash table to themselves, most frequent first; for each pair the code in its cell)."""
+
+    def cell(x: np.ndarray) -> np.ndarray:
+        return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+
+    _, first = np.unique(cell(code), return_index=True)
+    code = code[np.sort(first)]
+    table = np.zeros(1 << TABLE_BITS, np.int32)
+    table[cell(code)] = np.arange(len(code), dtype=np.int32)
+    return code, table[cell(pairs)]
 
 
 def _expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +148,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), lists, pa.array([len(ids)], pa.int64()), pa.array([compress(ids, at, vocabulary)], pa.binary())], ["shard", "block", "doc_ids", "n_tokens", "payload"])
 
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for i in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(i, ROWS_AT_ONCE)
                 ids, at = with_end(*encoder.encode(part.column(1)), end_id)
                 held.append((part.column(0), ids, at))
                 tokens += len(ids)
@@ -158,7 +176,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 ids, at = Block(b.column(1)[i].as_py()).all()
-                ids = ids.astype("<u4")
+                ids = ids.astype("<u4", copy=False)
                 crc = np.fromiter((zlib.crc32(ids[j:k]) for j, k in zip(at[:-1], at[1:], strict=True)), np.int64, len(at) - 1)
                 yield pa.RecordBatch.from_arrays([b.column(0)[i].values, pa.array(at[:-1] + b.column(2)[i].as_py()), pa.array(np.diff(at)), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
