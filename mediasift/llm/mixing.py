@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from mediasift.llm.common import prefix_sums
 
 BLOCK_BYTES, FRAME, TEMPER = 1 << 16, 1000, 0.7
+#: Whole rows pass through the sums of a source, so its buckets are small.
+ROWS_A_BUCKET = 8_000
 
 PHASE = T.StructType([T.StructField(n, t) for n, t in (("first", T.LongType()), ("base", T.LongType()), ("weight", T.LongType()), ("frame", T.LongType()), ("slots", T.ArrayType(T.LongType())))])
 SCHEDULE = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_phases", T.ArrayType(PHASE))])
@@ -97,7 +99,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_bytes: int
     schedule = docs.sparkSession.createDataFrame([(s, p) for s, p in plan.items()], SCHEDULE)
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     keyed = docs.select(whole.alias("_row"), F.col("source").cast("string").alias("_of"), F.col("doc_id").alias("_id"), size.alias("_size"))
-    placed = prefix_sums(keyed, ["_of"], [F.col("_id"), F.col("_size")], F.col("_size"), "_offset", rows)
+    placed = prefix_sums(keyed, ["_of"], [F.col("_id"), F.col("_size")], F.col("_size"), "_offset", rows, ROWS_A_BUCKET)
     placed = placed.withColumn("_block", F.floor(F.col("_offset") / block_bytes))
     joined = placed.join(F.broadcast(schedule), F.col("_of").eqNullSafe(F.col("_source")))  # one row a source
     phase = F.element_at(F.filter("_phases", lambda p: p["first"] <= F.col("_block")), -1)
