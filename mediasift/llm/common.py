@@ -95,7 +95,8 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     """Left join rows with what is known of their groups.
 
     A group that holds at least one row in `share` goes by broadcast (there are at most `share` of those),
-    all others by a shuffle join, so that no task receives a hot group.
+    all others by a shuffle join at every size, so that no task receives a hot group and small inputs are
+    planned like large ones.
     """
     heavy_at = max(2, -(-total // share))
     heavy = groups.filter(F.col(size) >= heavy_at)
@@ -103,7 +104,7 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     extra = [c for c in groups.columns if c not in keys]
     marked = rows.join(F.broadcast(heavy.select(*keys, F.struct(*extra).alias("_heavy"))), keys, "left")
     hot = marked.filter(F.col("_heavy").isNotNull()).select(*rows.columns, *[F.col("_heavy")[c].alias(c) for c in extra])
-    rest = marked.filter(F.col("_heavy").isNull()).drop("_heavy").join(light, keys, "left").select(*rows.columns, *extra)
+    rest = marked.filter(F.col("_heavy").isNull()).drop("_heavy").join(light.hint("merge"), keys, "left").select(*rows.columns, *extra)
     return hot.unionByName(rest)
 
 

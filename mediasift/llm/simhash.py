@@ -198,8 +198,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs with one document of each group of near duplicates (the smallest doc_id), all columns kept."""
     found = near_duplicates(docs, distance).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     found = materialise(found, "kept")
-    ids = found.select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi")
+    ids = found.select(F.col("doc_id").alias("kept_id")).hint("merge")
+    kept = docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi")  # by a shuffle at every size
     if found.filter("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(docs["doc_id"].isNull()))
