@@ -309,7 +309,9 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Model:
     size = chosen.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     plan = Plan(max(4, -(-size // SHARD_BYTES)))
     # Which contexts to split is a matter of balance only; a bounded sample of short texts tells.
-    sampled = chosen.filter(F.octet_length(text) <= HOT_BYTES).select(F.xxhash64(text).alias("h"), text.alias("t")).orderBy("h").limit(HOT_SAMPLE).collect()
+    short = chosen.filter(F.octet_length(text) <= HOT_BYTES).select(F.xxhash64(text).alias("h"), text.alias("t"))
+    last = short.select("h").orderBy("h").limit(HOT_SAMPLE).agg(F.max("h")).first()[0]  # tasks send hashes, not texts
+    sampled = short.filter(F.col("h") <= F.lit(last)).select("t").limit(HOT_SAMPLE).collect() if last is not None else []
     if sampled:
         tokens, _ = Words.read([r["t"] for r in sampled])
         word, n = np.unique(tokens, return_counts=True)
