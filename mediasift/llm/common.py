@@ -64,15 +64,16 @@ def text_or_empty(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str, rows: int, per_bucket: int = 50_000, total: str | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str, rows: int, per_bucket: int = 50_000, total: str | None = None, bucket: Column | None = None) -> DataFrame:
     """Add `out`: the sum of `value` over the rows of the same keys that come before this one.
 
     The order within a key is (bucket, *order), where the bucket is a hash of the row, so that even a key
     that holds all rows is summed by many tasks; only the sums of buckets meet per key. Ties in `order`
-    are between rows that are equal in it. With `total`, each key's whole sum is added as well.
+    are between rows that are equal in it. With `total`, each key's whole sum is added as well. With `bucket`
+    (a long that ascends with `order`), the order within a key is `order` itself.
     """
     buckets = max(1, -(-rows // per_bucket))
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*keys, *order), F.lit(buckets))).withColumn("_v", value.cast("long"))
+    df = df.withColumn("_b", F.pmod(F.xxhash64(*keys, *order), F.lit(buckets)) if bucket is None else bucket).withColumn("_v", value.cast("long"))
     local = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -113,3 +113,13 @@ def in_order(mixed: DataFrame) -> DataFrame:
     """The mixture's rows in its order, dealt by ranges of slots."""
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return mixed.repartitionByRange(parts, "slot", "offset").sortWithinPartitions("slot", "offset").drop("block", "slot", "offset")
+
+
+def written_order(mixed: DataFrame) -> DataFrame:
+    """mixed, read from the Parquet files of `in_order`, with _position (long), ascending in the mixture's order.
+
+    Files are written in the order of their ranges, so a row's place is the number of its file and its row there.
+    """
+    file = mixed.metadataColumn("_metadata")
+    number = F.shiftleft(F.regexp_extract(file["file_name"], r"part-(\d+)", 1).cast("long"), 44) + F.shiftleft(F.regexp_extract(file["file_name"], r"-c(\d+)", 1).cast("long"), 32)
+    return mixed.withColumn("_position", number + file["row_index"])

@@ -9,6 +9,9 @@ are counted by many tasks, and every piece finds its place by a successor search
 intervals, which each task sweeps for its own rows. The result has as many sequences as sequential
 best-fit-decreasing.
 
+Pieces are ranked by a hash, or, for documents with an ordered _position, by that: equal lengths are then placed
+in its order and sequences are numbered by the position of their first piece.
+
 Edge cases: null and empty texts hold only the end id; a document longer than the capacity is cut into
 pieces of the capacity, of which the first may be shorter; repeated rows are packed once each; an empty table
 gives no rows; other columns are ignored.
@@ -29,12 +32,14 @@ from pyspark.sql import functions as F
 from mediasift.llm.common import materialise, prefix_sums
 from mediasift.llm.tokens import PieceEncoder, with_end
 
+POSITION, POSITION_BITS = "_position", 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANK_BITS, ROWS_AT_ONCE = 44, 500
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """Documents as pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32."""
+    """Documents as pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32 (and _position, if docs have it)."""
+    ordered = [POSITION] if POSITION in docs.columns else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer)
@@ -51,9 +56,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
             begin = at[doc] + start
             ids = ids.astype("<u4", copy=False)
             crc = np.fromiter((zlib.crc32(ids[i:j]) for i, j in zip(begin, begin + length, strict=True)), np.int64, len(doc))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc), *[b.column(2).take(pa.array(doc)) for _ in ordered]], ["doc_id", "piece", "start", "length", "ids_crc32", *ordered])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *ordered).mapInArrow(cut, PIECES + "".join(f", {c} long" for c in ordered))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -116,7 +121,10 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     rows = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
     key, sequence, offset = (rows[:, 0] << RANK_BITS) + rows[:, 1], rows[:, 3], rows[:, 4]
     names = pieces.columns
-    ranked = prefix_sums(pieces, ["length"], [F.col("doc_id"), F.col("piece")], F.lit(1), "_rank", sum(counts.values())).select(*names, "_rank")
+    ordered = POSITION in names
+    order = [F.col(POSITION if ordered else "doc_id"), F.col("piece")]
+    bucket = F.shiftright(F.col(POSITION), POSITION_BITS) if ordered else None
+    ranked = prefix_sums(pieces, ["length"], order, F.lit(1), "_rank", sum(counts.values()), bucket=bucket).select(*names, "_rank")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,7 +135,13 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(place), pa.array(offset[i])], [*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(sweep, f"{fields}, sequence_id long, offset long")
+    placed = ranked.mapInArrow(sweep, f"{fields}, sequence_id long, offset long")
+    if not ordered:
+        return placed
+    placed = materialise(placed, "placed")
+    heads = placed.filter("offset = 0").select("sequence_id", "piece", POSITION, F.lit(0).alias("_all"))
+    numbers = prefix_sums(heads, ["_all"], order, F.lit(1), "_number", 0, bucket=bucket).select("sequence_id", "_number")
+    return placed.join(numbers.hint("merge"), "sequence_id").select(*[c for c in names if c != POSITION], F.col("_number").alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:

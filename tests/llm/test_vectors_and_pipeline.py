@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mediasift.llm import vector_dedup
+from mediasift.llm import mixing, vector_dedup
 from mediasift.llm.common import connected_components, prefix_sums
 from tests.llm.conftest import components
 
@@ -101,6 +101,23 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == seen["best_fit_packing"]
 
 
+def test_mixture_weights_change_the_packed_rows(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join("".join(rng.choice(["ka", "ko", "ki", "tak"], 3)) for _ in range(int(rng.choice([100, 240, 400])))), "aa", f"s{i % 2}") for i in range(120)]
+    spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    source, got = {r[0]: r[3] for r in rows}, []
+    for heavy in ("s0", "s1"):
+        weights = {"s0": 1, "s1": 1} | {heavy: 9}
+        monkeypatch.setattr(corpus_pipeline, "mix", lambda docs, weights=weights: mixing.mix(docs, weights, 512))
+        packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        got.append({(r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in packed})
+        n = len({r["sequence_id"] for r in packed})
+        assert {r["sequence_id"] for r in packed} == set(range(n))
+        first = [source[r["doc_id"]] for r in packed if r["offset"] == 0 and r["sequence_id"] < n // 3]
+        assert first.count(heavy) > 0.75 * len(first)
+    assert got[0] != got[1] and {x[:2] for x in got[0]} == {x[:2] for x in got[1]}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
 def test_pipeline_on_the_smallest_tables(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
