@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mediasift.llm import mixing, vector_dedup
+from mediasift.llm import mixing, shingle_dedup, vector_dedup
 from mediasift.llm.common import connected_components, prefix_sums
 from tests.llm.conftest import components
 
@@ -101,6 +101,29 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == seen["best_fit_packing"]
 
 
+@pytest.mark.parametrize("group_rows", [32, 3])
+def test_near_copies_by_jaccard(spark, tmp_path, monkeypatch, group_rows):
+    monkeypatch.setattr(shingle_dedup, "GROUP_ROWS", group_rows)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(rng.integers(20, 160)))) for i in range(40)]
+    for i in range(40, 120):  # copies with words changed in any place
+        words = rows[i % 9][1].split()
+        for _ in range(rng.integers(1, 3)):
+            words[rng.integers(len(words))] = "new" + str(rng.integers(9))
+        rows.append((i, " ".join(words)))
+    near = rows[6][1].split()
+    near[-1:] = ["changed"]
+    rows += [(200, " ".join(near)), (201, None), (202, ""), (None, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    some = [(i, {tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))}) for i, t in rows if i is not None]
+    pairs = [(a, b) for a, (_, x) in enumerate(some) for b, (_, y) in enumerate(some[:a]) if 5 * len(x & y) >= 4 * len(x | y)]
+    want = {some[c][0] for c in components(len(some), pairs)}
+    df.write.parquet(f"{tmp_path}/docs")
+    got = corpus_pipeline.without_near_copies(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(want) and len(got) == len(want) + 1
+    assert 200 not in want and len(want) < 100
+
+
 def test_mixture_weights_change_the_packed_rows(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(11)
     rows = [(i, " ".join("".join(rng.choice(["ka", "ko", "ki", "tak"], 3)) for _ in range(int(rng.choice([100, 240, 400])))), "aa", f"s{i % 2}") for i in range(120)]
