@@ -9,8 +9,9 @@ each other and with its replicas, in blocks, alone. Products in single precision
 threshold; pairs near it are decided in double precision. Identical vectors are one point with a weight, and
 a cell reports link counts and a spanning forest, never its pairs.
 
-Edge cases: vectors that are null, empty, zero, hold null or non-finite components, or differ in length from
-the most common length link with nothing (n_links 0, their own component); repeated rows are vectors of
+Edge cases: vectors link only with others of their own length, each length with pivots and cells of its own;
+vectors that are null, empty, zero or hold null or non-finite components link with nothing (n_links 0, their
+own component); repeated rows are vectors of
 their own that link; rows without vec_id are returned unlinked; an empty table gives no rows; other columns
 are ignored.
 """
@@ -124,51 +125,58 @@ def _cell(frame: pd.DataFrame, dim: int, cosine: float, block: int = 1024) -> pd
 def near_vectors(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
     rows = materialise(clean_vectors(df), "vectors")
-    dims = rows.filter("key is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
+    usable = rows.filter("key is not null")
+    points = materialise(usable.groupBy("dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "points")
+    order = F.struct(F.xxhash64("key").alias("h"), "key")
+    lengths = points.groupBy("dim").agg(F.count("*").alias("n"), F.min_by("vec", order).alias("vec")).collect()  # a row a vector length
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims[0]["dim"]
-    usable = rows.filter((F.col("dim") == dim) & F.col("key").isNotNull())
-    points = materialise(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "points")
-    n = points.count()
-    wanted = min(MAX_PIVOTS, max(1, -(-n // VECTORS_A_PIVOT)))
-    pivots = _matrix([bytes(r["vec"]) for r in points.orderBy(F.xxhash64("key"), "key").limit(wanted).select("vec").collect()], dim)  # at most MAX_PIVOTS vectors
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
+    pivots, count = {}, {r["dim"]: r["n"] for r in lengths}
+    for r in lengths:
+        wanted = min(MAX_PIVOTS, -(-r["n"] // VECTORS_A_PIVOT))
+        own = points.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("key"), "key").limit(wanted).select("vec").collect() if wanted > 1 else [r]
+        pivots[r["dim"]] = _matrix([bytes(p["vec"]) for p in own], r["dim"])  # at most MAX_PIVOTS vectors
+
+    def by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+        dims = b.column(0).to_numpy()
+        for dim in np.unique(dims).tolist():
+            yield dim, b.filter(pa.array(dims == dim))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = _distances(_matrix(b.column(0), dim), pivots)
+        for dim, b in (x for b in batches for x in by_length(b)):
+            d = _distances(_matrix(b.column(1), dim), pivots[dim])
             near = d.argmin(axis=1)
             own = d[np.arange(len(d)), near]
             cells = np.unique(near)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array([int((near == c).sum()) for c in cells], pa.int64()), pa.array([float(own[near == c].max()) for c in cells])], ["cell", "n", "radius"])
+            yield pa.RecordBatch.from_arrays([pa.array([dim] * len(cells), pa.int32()), pa.array(cells), pa.array([int((near == c).sum()) for c in cells], pa.int64()), pa.array([float(own[near == c].max()) for c in cells])], ["dim", "cell", "n", "radius"])
 
-    met = points.select("vec").mapInArrow(measure, "cell long, n long, radius double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()  # a row a pivot
-    members, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
+    met = points.select("dim", "vec").mapInArrow(measure, "dim int, cell long, n long, radius double").groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()  # a row a pivot
+    members, radii = {d: np.zeros(len(p), np.int64) for d, p in pivots.items()}, {d: np.full(len(p), -np.inf) for d, p in pivots.items()}
     for r in met:
-        members[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
-    salts = np.maximum(1, -(-members // CELL_ROWS))
-    first = np.cumsum(salts) - salts
-    owner = np.repeat(np.arange(len(pivots)), salts)
-    chunks = max(1, -(-n // (2 * REPLICA_ROWS)))
+        members[r["dim"]][r["cell"]], radii[r["dim"]][r["cell"]] = r["n"], r["radius"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.arange(len(owner))
-        for b in batches:
-            ids, weights = b.column(0).to_numpy(), b.column(1).to_numpy()
-            x = _matrix(b.column(2), dim)
-            d = _distances(x, pivots)
+        for dim, b in (x for b in batches for x in by_length(b)):
+            salts = np.maximum(1, -(-members[dim] // CELL_ROWS))
+            first = np.cumsum(salts) - salts
+            owner = np.repeat(np.arange(len(salts)), salts)
+            chunks = max(1, -(-count[dim] // (2 * REPLICA_ROWS)))
+            cells = np.arange(len(owner))
+            ids, weights = b.column(1).to_numpy(), b.column(2).to_numpy()
+            x = _matrix(b.column(3), dim)
+            d = _distances(x, pivots[dim])
             near = d.argmin(axis=1)
             salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
             home = first[near] + (salt % salts[near].astype(np.uint64)).astype(np.int64)
             chunk = ((salt >> np.uint64(20)) % np.uint64(chunks)).astype(np.int64)
-            reaches = d[:, owner] <= radius[owner] + reach
+            reaches = d[:, owner] <= radii[dim][owner] + reach
             turn = (home[:, None] < cells) ^ ((home[:, None] + cells) % 2 == 1)
             guest = reaches & turn & (home[:, None] != cells)
-            out: dict[str, list] = {k: [] for k in ("cell", "chunk", "role", "ids", "weights", "vecs")}
+            out: dict[str, list] = {k: [] for k in ("dim", "cell", "chunk", "role", "ids", "weights", "vecs")}
 
-            def put(cell: int, part: int, role: int, i: np.ndarray, out=out, ids=ids, weights=weights, x=x) -> None:
-                for k, v in zip(out, (cell, part, role, ids[i].tobytes(), weights[i].tobytes(), x[i].tobytes()), strict=True):
+            def put(cell: int, part: int, role: int, i: np.ndarray, out=out, dim=dim, ids=ids, weights=weights, x=x) -> None:
+                for k, v in zip(out, (dim, cell, part, role, ids[i].tobytes(), weights[i].tobytes(), x[i].tobytes()), strict=True):
                     out[k].append(v)
 
             for c in cells.tolist():
@@ -178,16 +186,17 @@ def near_vectors(df: DataFrame, cosine: float = COSINE) -> DataFrame:
                 i = np.flatnonzero(guest[:, c])
                 for part in np.unique(chunk[i]).tolist():
                     put(c, part, 1, i[chunk[i] == part])
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
-    placed = points.select("rep", "n", "vec").mapInArrow(spread, "cell int, chunk int, role int, ids binary, weights binary, vecs binary")
-    found = materialise(placed.groupBy("cell", "chunk").applyInPandas(lambda frame: _cell(frame, dim, cosine), "rep long, links long, root long"), "links")
+    placed = points.select("dim", "rep", "n", "vec").mapInArrow(spread, "dim int, cell int, chunk int, role int, ids binary, weights binary, vecs binary")
+    met_in_cells = placed.groupBy("dim", "cell", "chunk").applyInPandas(lambda frame: _cell(frame, int(frame.dim.iloc[0]), cosine), "rep long, links long, root long")
+    found = materialise(met_in_cells, "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     nodes = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     classes = points.select("key", "rep", "n").join(links, "rep", "left").join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
     classes = materialise(classes.select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "classes")
-    keyed = rows.select("vec_id", F.when(F.col("dim") == dim, F.col("key")).alias("key"))
+    keyed = rows.select("vec_id", "key")
     joined = attach_groups(keyed, classes, ["key"], "n", rows.count())
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -44,6 +44,13 @@ def test_near_vectors(spark, monkeypatch, rows_a_cell):
     assert [got[i]["component_id"] for i in ids] == component and all(got[i]["kept"] == (got[i]["component_id"] == i) for i in ids)
 
 
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([(1, 0), (2, 0), (1, 0, 0), (1, 0, 0), (0, 1), (1, 0, 0), (1,), (3,), (-1,), (1, 0, 0, 0)])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_vectors(df).collect()}
+    assert got == {0: (1, 0, True), 1: (1, 0, False), 2: (2, 2, True), 3: (2, 2, False), 4: (0, 4, True), 5: (2, 2, False), 6: (1, 6, True), 7: (1, 6, False), 8: (0, 8, True), 9: (0, 9, True)}
+
+
 def test_vectors_without_any_usable_row(spark):
     df = spark.createDataFrame(list(enumerate(ODD[:6])), "vec_id bigint, embedding array<double>")
     assert {(r["n_links"], r["kept"]) for r in vector_dedup.near_vectors(df).collect()} == {(0, True)}
