@@ -2,7 +2,7 @@
 
 One model per language, learned from a bounded sample of labelled rows: SAMPLE_DOCS documents of each
 language with at most SAMPLE_CHARS characters, picked by a hash of the document (both are parameters; whole
-texts are used). A model reads the letters of lower-cased words, with a start and an end mark to each word,
+texts are used). A language with fewer such documents is also learned from longer ones, cut to SAMPLE_CHARS. A model reads the letters of lower-cased words, with a start and an end mark to each word,
 in orders 1 to ORDER; its n-grams and contexts are sorted arrays of 64-bit hashes. A text is assigned to the
 language with the lowest cross-entropy per character; because words are independent, each distinct word is
 scored once. One sampled document in five is held back to calibrate rejection: a text is rejected if it has
@@ -187,12 +187,13 @@ class WordScores(dict):
 
 def fit(docs: DataFrame, learn: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Identifier:
     """Learn from the rows of docs (doc_id, text, lang) where `learn` holds and lang is not null."""
-    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= sample_chars)
-    rows = docs.filter(usable if learn is None else usable & learn).select("doc_id", "text", "lang")
-    pick = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id", F.lit("sample")).alias("_h")).withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample_docs)
+    usable = F.col("lang").isNotNull() & F.col("text").isNotNull()
+    rows = docs.filter(usable if learn is None else usable & learn).select("doc_id", "text", "lang", (F.char_length("text") > sample_chars).alias("_long"))
+    pick = Window.partitionBy("lang").orderBy("_long", "_h", "doc_id")
+    ids = rows.select("lang", "doc_id", "_long", F.xxhash64("doc_id", F.lit("sample")).alias("_h")).withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample_docs)
     ids = ids.select(F.col("doc_id").alias("_id"), "_r")  # sample_docs rows a language
-    sample = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id"))).select("lang", "text", "_r", "doc_id")
+    excerpt = F.when(F.col("_long"), F.regexp_replace(F.substring("text", 1, sample_chars), r"\s\S*$", "")).otherwise(F.col("text"))  # of whole words
+    sample = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id"))).select("lang", excerpt.alias("text"), "_r", "doc_id")
 
     def learn_one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_r").drop_duplicates("_r").head(sample_docs)

@@ -143,6 +143,16 @@ def test_language_held_out(spark):
     assert [r["rejected"] for r in language.identify(other, language.fit(docs)).collect()] == [True, True]
 
 
+def test_language_of_long_documents_only(spark):
+    rng = np.random.default_rng(6)
+    stems = {"aa": ["ka", "ko", "ki", "tak"], "bb": ["lu", "mel", "ul", "em"]}
+    rows = [(i, " ".join("".join(rng.choice(stems[lang], 3)) for _ in range(n)), lang) for i, (lang, n) in enumerate([("aa", 60), ("bb", 2000)] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for some in (docs, docs.filter("lang = 'bb'")):
+        got = language.identify(some, language.fit(some)).collect()
+        assert got and all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in got)
+
+
 def test_character_model_sums_to_one():
     model = language.train(["abc abd acd bcd dab", "cab bad"], 3)
     model.alphabet = 6
