@@ -22,8 +22,29 @@ TEMPLATES = {
     ),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
-    "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "lgpl": tuple(
+        text
+        for what in ("program", "library")
+        for text in (
+            f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+            f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+            f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        )
+    )
+    + ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+    ),
+    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is licensed under the Creative Commons CC0 1.0 Universal Public Domain Dedication.", "This work is licensed under a Creative Commons CC0 1.0 Universal Public Domain Dedication."),
 }
 
+#: The Creative Commons licences: label, the name's words, and the versions.
+CC_NAMES = {"cc-by": "Attribution", "cc-by-nc": "Attribution-NonCommercial", "cc-by-sa": "Attribution-ShareAlike", "cc-by-nd": "Attribution-NoDerivatives", "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike", "cc-by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = ("4.0 International", "3.0 Unported", "2.5 Generic", "2.0 Generic", "1.0 Generic")
+for _label, _name in CC_NAMES.items():
+    _names = dict.fromkeys((_name, _name.replace("NoDerivatives", "NoDerivs")))
+    TEMPLATES[_label] = tuple(f"This work is licensed under {the} Creative Commons {n} {v} License." for n in _names for v in CC_VERSIONS for the in ("a", "the")) + tuple(f"Licensed under {_label.upper().replace('-', ' ', 1)} {v.split()[0]}." for v in CC_VERSIONS)
+
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}

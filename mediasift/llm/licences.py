@@ -5,7 +5,8 @@ licence templates and the base phrases form one generalised suffix automaton of
 through it: after each word the automaton tells the longest suffix read so far that occurs in a template.
 Two words in a row that are nowhere neighbours in a template can't be part of a longer match, so only the
 stretches between such places are walked. Maximal matches of at least `min_words` words are chained in
-document order for each template, and a chain that covers enough of the template is a span of its label.
+document order for each template, and a chain that covers enough of the template is a span of its label, if one
+of its matches tells the label: it occurs in templates of no other label, as a common opening does.
 Base phrases are recognised at the automaton's states; they label the document as they stand.
 
 Edge cases: null and empty texts have no words, labels or spans and score 0; repeated rows give a row each;
@@ -128,6 +129,7 @@ class Scanner:
         spoken = [[self.ids.setdefault(w, len(self.ids)) for w in words(p)] for p in phrases]
         self.single = [(p[0], k) for k, p in enumerate(spoken) if len(p) == 1]
         self.automaton = Automaton(sequences, spoken)
+        self.telling = [len({self.labels[t] for t in ends}) == 1 for ends in self.automaton.ends]
         n = len(self.ids)
         self.near = np.zeros((n, n), bool)
         for s in [*sequences, *spoken]:
@@ -170,13 +172,15 @@ class Scanner:
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Chains of maximal matches, in document order, that cover enough of a template."""
         chains: dict[int, list[tuple[int, int, int]]] = {}
+        told: set[int] = set()
         spans = []
 
         def close(template: int) -> None:
             chain = chains.pop(template)
             share = min(1.0, sum(size for _, size, _ in chain) / self.lengths[template])
-            if share >= self.least_share:
+            if share >= self.least_share and template in told:
                 spans.append((self.labels[template], chain[0][0], chain[-1][0] + chain[-1][1] - 1, share))
+            told.discard(template)
 
         for start, size, state in matches:
             for template, end in self.automaton.ends[state].items():
@@ -187,12 +191,14 @@ class Scanner:
                     if start - after > self.max_gap or end - size + 1 < last[2] + 1:
                         close(template)
                         chain = None
-                    elif start < after:  # matches may overlap: count words once
+                if self.telling[state]:
+                    told.add(template)
+                if chain:
+                    if start < after:  # matches may overlap: count words once
                         cut = after - start
                         if size - cut > 0:
                             chain.append((after, size - cut, end))
                         continue
-                if chain:
                     chain.append((start, size, end))
                 else:
                     chains[template] = [(start, size, end)]

@@ -321,5 +321,21 @@ def test_licences(spark, odd_docs, no_docs):
     assert scan_licences(odd_docs).count() == odd_docs.count() and scan_licences(no_docs).count() == 0
 
 
+def test_generic_openings_carry_no_label():
+    by, lgpl = "Creative Commons Attribution{} {} License.", "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    cases = {
+        "This work is licensed under the terms of the house.": set(),
+        "This work is licensed under a Creative Commons licence of some kind": set(),
+        "This work is licensed under the " + by.format("-ShareAlike", "4.0 International"): {"cc-by-sa"},
+        "This work is licensed under a " + by.format("-NoDerivatives", "4.0 International"): {"cc-by-nd"},
+        "This work is licensed under a " + by.format("-NonCommercial-ShareAlike", "3.0 Unported"): {"cc-by-nc-sa"},
+        "This work is licensed under a " + by.format("", "3.0 Unported"): {"cc-by"},
+        "This program is free software: you can redistribute it and/or modify it under the terms of the " + lgpl: {"lgpl"},
+        **{text: {label} for label, texts in TEMPLATES.items() for text in texts},
+    }
+    found = Scanner().scan_batch([words(text) for text in cases])
+    assert [{s[0] for s in spans} for _, spans in found] == list(cases.values())
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
