@@ -43,11 +43,6 @@ def clamp01(value: Column, default: float = 0.0) -> Column:
     return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))).otherwise(F.lit(float(default)))
 
 
-def safe_number(value: Column, default: float = 0.0) -> Column:
-    """value as a double without clamping; only null and unparsable values give the default."""
-    return F.coalesce(value.try_cast("double"), F.lit(float(default)))
-
-
 def safe_ms(value: Column) -> Column:
     """Milliseconds as a non-negative whole number, truncated; anything else is 0."""
     return F.coalesce(F.greatest(F.lit(0).cast("bigint"), finite(value).try_cast("bigint")), F.lit(0).cast("bigint"))

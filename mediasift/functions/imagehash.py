@@ -15,11 +15,10 @@ HASH, FACTOR, SUPPORT = 8, 4, 3.0
 @lru_cache(maxsize=8)
 def cosine_matrix(n: int) -> np.ndarray:
     """Orthonormal DCT-II of n points, single precision."""
-    x = np.arange(n, dtype=np.float32)
-    m = np.cos(np.pi * (2 * x + 1) * x[:, None] / (2 * n)).astype(np.float32)
-    m[0] *= 1 / np.sqrt(n)
-    m[1:] *= np.sqrt(2 / n)
-    return m
+    frequency = np.arange(n)
+    angle = np.outer(frequency, frequency + 0.5) * (np.pi / n)
+    norm = np.sqrt(np.where(frequency > 0, 2.0, 1.0) / n)
+    return np.einsum("k,kx->kx", norm, np.cos(angle)).astype(np.float32)
 
 
 @lru_cache(maxsize=256)

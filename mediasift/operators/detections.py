@@ -12,21 +12,27 @@ def _highest(when: Column, confidence: Column) -> Column:
     return F.coalesce(F.max(F.when(when, confidence)), F.lit(0.0))
 
 
-def nudity_scores(detections: DataFrame) -> DataFrame:
-    """Highest confidence of exposed classes and of all others."""
-    exposed = F.upper("label").contains("EXPOSED")
-    c = clamp01(F.col("confidence"))
-    return detections.groupBy("media_id").agg(_highest(exposed, c).alias("nudity_exposed"), _highest(~exposed, c).alias("nudity_covered"))
+def nudity_columns() -> list[Column]:
+    """Highest confidence of classes named exposed, and of those named covered; other classes (faces) count for neither."""
+    name, c = F.upper("label"), clamp01(F.col("confidence"))
+    exposed = name.contains("EXPOSED")
+    return [_highest(exposed, c).alias("nudity_exposed"), _highest(~exposed & name.contains("COVERED"), c).alias("nudity_covered")]
 
 
-def weapon_scores(detections: DataFrame) -> DataFrame:
+def weapon_columns() -> list[Column]:
     """Highest confidence by kind of weapon, told by the words in a label."""
     name, c = F.lower("label"), clamp01(F.col("confidence"))
     gun = name.contains("gun") | name.contains("firearm")
     firearm = gun | name.contains("rifle") | name.contains("pistol")
     knife = name.contains("knife") | name.contains("dagger")
-    found = detections.groupBy("media_id").agg(_highest(firearm, c).alias("yolo_firearm"), _highest(name.contains("toy") & gun, c).alias("yolo_firearm_toy"), _highest(knife, c).alias("yolo_knife"))
-    return found.select("media_id", F.col("yolo_firearm").alias("yolo_firearm_realistic"), "yolo_firearm_toy", "yolo_firearm", "yolo_knife", F.col("yolo_knife").alias("yolo_knife_dangerous"), F.greatest("yolo_firearm", "yolo_firearm_toy").alias("yolo_firearm_any"))
+    guns, toys, knives = _highest(firearm, c), _highest(name.contains("toy") & gun, c), _highest(knife, c)
+    named = {"yolo_firearm_realistic": guns, "yolo_firearm_toy": toys, "yolo_firearm": guns, "yolo_knife": knives, "yolo_knife_dangerous": knives, "yolo_firearm_any": F.greatest(guns, toys)}
+    return [value.alias(n) for n, value in named.items()]
+
+
+def detection_scores(detections: DataFrame, *columns: Column) -> DataFrame:
+    """One row an item with the given columns (nudity_columns, weapon_columns), in one aggregation."""
+    return detections.groupBy("media_id").agg(*columns)
 
 
 def symbol_scores(detections: DataFrame, ignore: tuple[str, ...] = (), review: float = 0.30, block: float = 0.90) -> DataFrame:

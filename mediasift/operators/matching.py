@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.functions.columns import hamming
 
-#: A list of up to so many entries is broadcast; a longer one is shuffled by bands.
-BROADCAST_ENTRIES = 1_000_000
+#: Rows (entries, or entries by their keys) that may be broadcast: some 20 MB. Longer lists are shuffled.
+BROADCAST_ROWS = 200_000
+#: Hashes and entries of one task where all of them must be compared.
+BLOCK_ROWS = 20_000
 
 
 def last_entries(entries: DataFrame) -> DataFrame:
@@ -27,38 +32,58 @@ def _best(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key).agg(best).select(key, F.col("_best.distance").alias("distance"), F.col("_best.line_no").alias("match_line"), F.col("_best.label").alias("match_label"))
 
 
-def nearest_match(hashes: DataFrame, entries: DataFrame, radius: int, key: str = "media_id", bands: int | None = None) -> DataFrame:
+def _cuts(radius: int, together: int) -> list[int]:
+    """Masks of bits: hashes that differ in at most radius bits agree under one of them.
+
+    Of radius + together equal bands of bits, that many bits leave `together` bands untouched.
+    """
+    bands = radius + together
+    edges = [round(64 * i / bands) for i in range(bands + 1)]
+    parts = [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+    masks = [sum(chosen) for chosen in combinations(parts, together)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def _width(radius: int, together: int) -> float:
+    return 64 * together / (radius + together)
+
+
+def plan_keys(radius: int, entries: int) -> int:
+    """How many bands make a key, so that keys and expected candidates of a hash are fewest; 0: comparing all is less."""
+    most = [k for k in range(1, 6) if radius + k <= 64]
+    cost = {k: comb(radius + k, k) * (1 + entries / 2 ** _width(radius, k)) for k in most}
+    best = min(cost, key=cost.__getitem__, default=0)
+    return best if best and cost[best] < max(entries, 64) else 0
+
+
+def nearest_match(hashes: DataFrame, entries: DataFrame, radius: int, key: str = "media_id", together: int | None = None, broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The nearest entry within radius of each hash (key, bits); the first line wins ties.
 
-    If two hashes differ in at most radius bits, one of radius + 1 bands of bits is equal, so candidates come
-    from an equi-join on (band, value) and are checked exactly. A counted list that fits is broadcast, and
-    only a radius of more than 16 bits falls back to comparing with the whole (broadcast) list.
+    Candidates come from an equi-join on masked bits (`_cuts`) and are checked exactly. Where a radius is so wide
+    that keys would save nothing, hashes and entries meet in blocks. The side of the list is broadcast
+    only if its counted rows are few; both ways are exact at every size.
     """
-    bands = bands or radius + 1
     hashes = hashes.select(key, "bits")
     entries = entries.select("line_no", "label", F.col("bits").alias("entry_bits"))
-    small = entries.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
-    if radius > 16:
-        if not small:
-            raise ValueError("a radius above 16 bits needs a list that can be broadcast")
-        pairs = hashes.join(F.broadcast(entries), hamming(F.col("bits"), F.col("entry_bits")) <= radius)
+    n = entries.count()
+    together = plan_keys(radius, n) if together is None else together
+    near = hamming(F.col("bits"), F.col("entry_bits")) <= radius
+    if together:
+        masks = _cuts(radius, together)
+        cut = lambda bits: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(bits).bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])).alias("_cut")
+        keyed = entries.select("line_no", "label", "entry_bits", cut("entry_bits"))
+        pairs = hashes.select(key, "bits", cut("bits")).join(F.broadcast(keyed) if n * len(masks) <= broadcast_rows else keyed, "_cut").filter(near)
+    elif n <= broadcast_rows:
+        pairs = hashes.join(F.broadcast(entries), near)
     else:
-        a = hashes.select(key, "bits", _band_keys("bits", bands))
-        b = entries.select("line_no", "label", "entry_bits", _band_keys("entry_bits", bands))
-        pairs = a.join(F.broadcast(b) if small else b, "_band").filter(hamming(F.col("bits"), F.col("entry_bits")) <= radius)
+        rows, columns = -(-hashes.count() // block_rows) or 1, -(-n // block_rows)
+        turn = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
+        mine = hashes.select(key, "bits", F.pmod(F.xxhash64("bits", key), F.lit(rows)).alias("_r"), turn(columns).alias("_c"))
+        theirs = entries.select("line_no", "label", "entry_bits", F.pmod(F.xxhash64("entry_bits", "line_no"), F.lit(columns)).alias("_c"), turn(rows).alias("_r"))
+        pairs = mine.join(theirs.hint("merge"), ["_r", "_c"]).filter(near)
     return _best(pairs.withColumn("distance", hamming(F.col("bits"), F.col("entry_bits"))), key)
 
 
-def _band_keys(bits: str, bands: int):
-    edges = [round(64 * i / bands) for i in range(bands + 1)]
-    keys = []
-    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        mask = (1 << (high - low)) - 1
-        part = F.shiftrightunsigned(bits, low).bitwiseAND(F.lit(mask)) if high - low < 64 else F.col(bits)
-        keys.append(F.struct(F.lit(i).alias("i"), part.cast("bigint").alias("v")))
-    return F.explode(F.array(*keys)).alias("_band")
-
-
 def nearest_of_two(frames: DataFrame, entries: DataFrame, radius: int, key: str = "media_id") -> DataFrame:
     """The nearest entry to the first or last frame hash (key, first, last); the first frame wins ties."""
     sides = frames.select(F.struct(key, F.lit(0).alias("side")).alias("k"), F.col("first").alias("bits")).unionByName(frames.select(F.struct(key, F.lit(1).alias("side")).alias("k"), F.col("last").alias("bits")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.operators.verdict import NO_REASONS, Settings, fold
+from mediasift.scratch import materialise
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -50,10 +51,10 @@ def moderate(media: DataFrame, pre: Scorer, local: Scorer, remote: Scorer, setti
     """Verdicts of all media (media_id, load_error, …): hash lists, local engines, remote engines where the policy asks for them.
 
     Each scorer maps media to engine results. `keep` writes an intermediate table and reads it back, so that no
-    scorer runs twice; by default tables are cached.
+    scorer (a paid call) runs twice, even if executors are lost; by default in the shared folder.
     """
     route = route or Route()
-    keep = keep or (lambda df, name: df.cache())
+    keep = keep or materialise
     readable = media.filter(F.col("load_error").isNull())
     first = keep(pre(readable), "pre")
     early = keep(settled_by_hash(first), "early") if route.short_circuit else None

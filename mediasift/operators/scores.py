@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Names that API responses use, and the scores that reports prefer.
-NEUTRAL = frozenset("none safe neutral other non_suggestive normal ok no_nudity non_nudity clothed fully_clothed covered not_nude nonnude".split())
+NEUTRAL = ("none", "safe", "neutral", "other", "non_suggestive", "normal", "ok", "no_nudity", "non_nudity", "clothed", "fully_clothed", "covered", "not_nude", "nonnude")
 MODEL_NAMES = {
     "nudity": ("nudity", "nudity-2.1", "nudity_2_1"),
     "weapon": ("weapon", "weapons"),
@@ -45,33 +45,25 @@ def _deep_max(node: object) -> float:
     return max([0.0, *(float(v) if _is_number(v) else _deep_max(v) for v in open_names)])
 
 
+#: What is read of a response: (kind of model, place below it, names taken or None for all, prefix of the score). Later rules overwrite.
+RULES = (
+    ("weapon", ("classes",), None, "weapon_"),
+    ("weapon", (), ("firearm", "knife", "firearm_toy", "firearm_gesture"), "weapon_"),
+    ("weapon", ("firearm_type",), None, "weapon_firearm_type_"),
+    ("weapon", ("firearm_action", "firearm_gesture"), None, "weapon_firearm_action_"),
+    *((kind, place, None, f"{kind}_") for kind in ("gore", "violence", "offensive") for place in (("classes",), ())),
+)
+
+
 def _nudity(model: dict) -> dict[str, float]:
-    plain = {f"nudity_{k}": v for k, v in _numbers(model) if k in ("raw", "partial", "safe")}
-    if plain:
-        return plain
-    unit = lambda x: min(1.0, max(0.0, x))
-    number = lambda k: float(model[k]) if _is_number(model.get(k)) else 0.0
-    safe = unit(number("none") if "none" in model else number("safe"))
-    partial = unit(max(*map(number, SUGGESTIVE), _deep_max(model.get("suggestive_classes"))))
-    return {"nudity_safe": safe, "nudity_raw": unit(max(map(number, EXPLICIT))), "nudity_partial": min(partial, max(0.0, 1 - safe)) if safe > 0 else partial}
-
-
-def _weapon(model: dict) -> dict[str, float]:
-    out = {f"weapon_{k}": v for k, v in _numbers(model.get("classes"))}
-    out |= {f"weapon_{k}": v for k, v in _numbers(model) if k in ("firearm", "knife", "firearm_toy", "firearm_gesture")}
-    out |= {f"weapon_firearm_type_{k}": v for k, v in _numbers(model.get("firearm_type"))}
-    return out | {f"weapon_firearm_action_{k}": v for k, v in _numbers(model.get("firearm_action") or model.get("firearm_gesture"))}
-
-
-def _graded(model: object, prefix: str) -> dict[str, float]:
-    if _is_number(model):
-        return {f"{prefix}_prob": float(model)}
-    if not isinstance(model, dict):
-        return {}
-    own = dict(_numbers(model))
-    out = {f"{prefix}_prob": own["prob"]} if "prob" in own else {}
-    out |= {f"{prefix}_{k}": v for k, v in _numbers(model.get("classes"))}
-    return out | {f"{prefix}_{k}": v for k, v in own.items() if k not in ("prob", "classes")}
+    """The three nudity scores: as given, or worked out of a graded model."""
+    given = {f"nudity_{k}": v for k, v in _numbers(model) if k in ("raw", "partial", "safe")}
+    if given:
+        return given
+    graded = {"none": 0.0, "safe": 0.0} | dict(_numbers(model))
+    safe, explicit, hints = (min(1.0, max(0.0, *(graded.get(k, 0.0) for k in names))) for names in (("none" if "none" in model else "safe",), EXPLICIT, SUGGESTIVE))
+    partial = max(hints, min(1.0, _deep_max(model.get("suggestive_classes"))))
+    return {"nudity_safe": safe, "nudity_raw": explicit, "nudity_partial": min(partial, 1 - safe) if safe > 0 else partial}
 
 
 def flatten_response(body: str | None) -> dict[str, float]:
@@ -84,17 +76,18 @@ def flatten_response(body: str | None) -> dict[str, float]:
         return {}
     model = {kind: next((data[n] for n in names if n in data), None) for kind, names in MODEL_NAMES.items()}
     out = {"operations_used": float(data["operations"])} if _is_number(data.get("operations")) else {}
-    if isinstance(model["nudity"], dict):
-        out |= _nudity(model["nudity"])
-    if isinstance(model["weapon"], dict):
-        out |= _weapon(model["weapon"])
-    out |= _graded(model["gore"], "gore") | _graded(model["violence"], "violence")
-    if _is_number(model["offensive"]):
-        out["offensive_max"] = float(model["offensive"])
-    elif isinstance(model["offensive"], dict):
-        graded = _graded(model["offensive"], "offensive")
-        out |= graded | ({"offensive_max": max(graded.values())} if graded else {})
-    return out
+    out |= _nudity(model["nudity"]) if isinstance(model["nudity"], dict) else {}
+    for kind, name in (("gore", "gore_prob"), ("violence", "violence_prob"), ("offensive", "offensive_max")):
+        if _is_number(model[kind]):
+            out[name] = float(model[kind])
+    offensive = []
+    for kind, places, names, prefix in RULES:
+        if isinstance(model[kind], dict):
+            node = next((model[kind][p] for p in places if model[kind].get(p)), None) if places else model[kind]
+            found = [(k, v) for k, v in _numbers(node) if names is None or k in names]
+            out |= {prefix + k: v for k, v in found if places or k != "classes"}
+            offensive += [v for k, v in found if kind == "offensive" and (places or k != "classes")]
+    return out | ({"offensive_max": max(offensive)} if offensive else {})
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))

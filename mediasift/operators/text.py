@@ -38,8 +38,10 @@ def first_hit(text: Column, patterns: list[str]) -> Column:
 def text_check(texts: DataFrame, media: str, text: str, patterns: list[str], least: int = 3) -> DataFrame:
     """media, score and hit of joined texts; texts shorter than `least` are not searched."""
     whole = F.trim(F.coalesce(text, F.lit("")))
-    hit = F.when(F.length(whole) >= least, first_hit(whole, patterns))
-    return texts.select(media, F.when(hit.isNotNull(), 1.0).otherwise(0.0).alias("ocr_match"), hit.alias("hit"))
+    hit = F.when(F.length("_whole") >= least, first_hit(F.col("_whole"), patterns))
+    # An array of one, opened again, keeps the optimizer from copying the search into every column that reads it.
+    found = texts.select(media, whole.alias("_whole")).select(media, F.explode(F.array(hit)).alias("hit"))
+    return found.select(media, F.when(F.col("hit").isNotNull(), 1.0).otherwise(0.0).alias("ocr_match"), "hit")
 
 
 def joined_texts(frames: DataFrame, media: str, position: str, text: str) -> DataFrame:

@@ -75,11 +75,47 @@ class Settling:
 
 # The scores that rules read. Sub-scores of the second list are not clamped.
 CLAMPED = (
-    "phash_allow_match phash_block_match ocr_match sexual/minors sexual violence violence/graphic hate hate/threatening nsfw_probability nudity_exposed nudity_covered nsfw_combined "
-    "forbidden_symbols_max_conf yolo_firearm_toy yolo_firearm yolo_firearm_realistic yolo_knife_dangerous yolo_knife nudity_safe nudity_raw nudity_partial weapon_firearm "
-    "weapon_firearm_toy weapon_firearm_gesture violence_prob violence_physical_violence violence_firearm_threat gore_prob weapon_knife offensive_max"
-).split()
-RAW = "weapon_firearm_type_animated gore_very_bloody gore_slightly_bloody gore_serious_injury gore_superficial_injury gore_corpse gore_body_organ".split()
+    "phash_allow_match",
+    "phash_block_match",
+    "ocr_match",
+    "sexual/minors",
+    "sexual",
+    "violence",
+    "violence/graphic",
+    "hate",
+    "hate/threatening",
+    "nsfw_probability",
+    "nudity_exposed",
+    "nudity_covered",
+    "nsfw_combined",
+    "forbidden_symbols_max_conf",
+    "yolo_firearm_toy",
+    "yolo_firearm",
+    "yolo_firearm_realistic",
+    "yolo_knife_dangerous",
+    "yolo_knife",
+    "nudity_safe",
+    "nudity_raw",
+    "nudity_partial",
+    "weapon_firearm",
+    "weapon_firearm_toy",
+    "weapon_firearm_gesture",
+    "violence_prob",
+    "violence_physical_violence",
+    "violence_firearm_threat",
+    "gore_prob",
+    "weapon_knife",
+    "offensive_max",
+)
+RAW = (
+    "weapon_firearm_type_animated",
+    "gore_very_bloody",
+    "gore_slightly_bloody",
+    "gore_serious_injury",
+    "gore_superficial_injury",
+    "gore_corpse",
+    "gore_body_organ",
+)
 
 
 def _score(name: str) -> Column:

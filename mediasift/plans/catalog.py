@@ -93,9 +93,9 @@ def hash_hamming_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(NEAR_SQL.format(r=6))
 def hash_hamming_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by more and narrower bands than needed."""
+    """The same by wide keys and a shuffled list."""
     h = fx.hashes(spark, sf_dir)
-    return matching.nearest_match(h, fx.block_list(h), 6, bands=8)
+    return matching.nearest_match(h, fx.block_list(h), 6, together=3, broadcast_rows=0)
 
 
 @query(f"WITH {fx.HASHES_SQL} SELECT media_id, printf('%016x', v::UBIGINT) AS hex, bits AS back FROM u JOIN h USING (media_id)")
@@ -234,6 +234,15 @@ def ext_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", c.extension(path).alias("ext"), c.is_image_path(path).alias("is_image"))
 
 
+MIME_SQL = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in c.MIME_OF_EXTENSION.items()) + " ELSE 'application/octet-stream' END"
+
+
+@query(f"SELECT page_id, {MIME_SQL} AS mime FROM ({EXT_SQL})")
+def mime_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat("url", F.element_at(F.array(*map(F.lit, EXT_CHOICES)), (F.col("page_id") % 11 + 1).cast("int")))
+    return fx.table(spark, sf_dir, "pages").select("page_id", c.mime_of_path(path).alias("mime"))
+
+
 HEADS = ["FFD8FFE0AABBCCDD11223344", "89504E470D0A1A0A00000000", "474946383761010001000000", "474946383961010001000000", "524946460000000057454250", "524946460000000057415645", "00", "FFD8"]
 KINDS = ["image/jpeg", "image/jpeg; charset=x", "IMAGE/PNG", "text/html", "", "application/octet-stream", "image/svg+xml"]
 HEAD_SQL = f"{HEADS}[(page_id % 8 + 1)::INT]"
@@ -272,9 +281,9 @@ def _word(values: list[str]):
 
 
 @query(f"""WITH w AS (SELECT event_id, lower(trim({WORD_SQL})) AS w FROM events) SELECT event_id,
-CASE WHEN w IN ('on-review', 'uncertain') THEN 'on_review' WHEN w IN ('never', '0', 'off') THEN 'never' ELSE 'always' END AS api,
-CASE WHEN w IN ('ok', 'allow', 'open') THEN 'ok' WHEN w IN ('block', 'deny', 'fail', 'fail_closed') THEN 'block' ELSE 'review' END AS nothing,
-CASE WHEN w IN ('block', 'deny', 'fail_closed') THEN 'block' WHEN w IN ('lenient', 'ignore', 'allow') THEN 'ignore' ELSE 'review' END AS errors FROM w""")
+CASE WHEN w IN {c.API_ON_REVIEW} THEN 'on_review' WHEN w IN {c.API_NEVER} THEN 'never' ELSE 'always' END AS api,
+CASE WHEN w IN {c.NO_CHECKS_OK} THEN 'ok' WHEN w IN {c.NO_CHECKS_BLOCK} THEN 'block' ELSE 'review' END AS nothing,
+CASE WHEN w IN {c.ERRORS_BLOCK} THEN 'block' WHEN w IN {c.ERRORS_IGNORE} THEN 'ignore' ELSE 'review' END AS errors FROM w""")
 def policy_alias_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _word(WORDS)
     return fx.table(spark, sf_dir, "events").select("event_id", c.api_policy(w).alias("api"), c.no_checks_policy(w).alias("nothing"), c.error_policy(w).alias("errors"))
@@ -305,6 +314,20 @@ def env_float_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", c.knob_float(w, 0.75).alias("value"), c.clamp01(w, 0.125).alias("unit"))
 
 
+@query(f"WITH v AS (SELECT event_id, try_cast(trim({FLOATS}[(event_id % 9 + 1)::INT]) AS DOUBLE) AS v FROM events), f AS (SELECT event_id, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN 0.75 ELSE v END AS v FROM v) SELECT event_id, greatest(0.3, v)::DOUBLE AS low, least(0.6, v)::DOUBLE AS high, least(0.6, greatest(0.3, v))::DOUBLE AS both FROM f")
+def env_float_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _word(FLOATS)
+    return fx.table(spark, sf_dir, "events").select("event_id", c.knob_float(w, 0.75, low=0.3).alias("low"), c.knob_float(w, 0.75, high=0.6).alias("high"), c.knob_float(w, 0.75, 0.3, 0.6).alias("both"))
+
+
+@query(f"WITH v AS (SELECT event_id, trim(CASE WHEN event_id % 5 > 0 THEN {INTS}[(event_id % {len(INTS)} + 1)::INT] WHEN event_id % 2 = 0 THEN {INTS}[((event_id + 7) % {len(INTS)} + 1)::INT] END) AS v FROM events) SELECT event_id, CASE WHEN regexp_full_match(v, '[+-]?[0-9]+(\\.0+)?') THEN v::DOUBLE::BIGINT ELSE 42 END AS value FROM v")
+def env_int_first_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first knob that is defined decides, even if it is no number."""
+    i = F.col("event_id")
+    at = lambda shift: F.element_at(F.array(*map(F.lit, INTS)), ((i + shift) % len(INTS) + 1).cast("int"))
+    return fx.table(spark, sf_dir, "events").select("event_id", c.knob_int_any([F.when(i % 5 > 0, at(0)), F.when(i % 2 == 0, at(7))], 42).alias("value"))
+
+
 @query("SELECT event_id, least(1.0, greatest(0.0, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE value / 64.0 - 0.5 END))::DOUBLE AS score, CASE WHEN value < 0 THEN 0 ELSE trunc(value)::BIGINT END AS ms FROM events")
 def clamp01(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value") / 64.0 - 0.5)
@@ -314,19 +337,30 @@ def clamp01(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTS = ["a, B ,a,,c", "['nudity-2.1', 'weapon']", '["x","y","x"]', "", "[one]"]
 
 
-@query("""WITH v AS (SELECT event_id, event_id % 5 AS k FROM events) SELECT event_id,
-['a,b,c', '[''nudity-2.1'',''weapon'']', '["x","y"]', '', '[one]'][(k + 1)::INT] AS labels,
-['a,B,c', 'nudity-2.1,weapon', 'x,y', '', 'one'][(k + 1)::INT] AS models FROM v""")
+def _pick_sql(values: list[str]) -> str:
+    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"[{quoted}][(event_id % {len(values)} + 1)::INT]"
+
+
+DISTINCT_SQL = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+MODELS_SQL = """list_filter(list_transform(string_split(regexp_replace(trim(w), '^\\[(.*)\\]$', '\\1'), ','), lambda x: regexp_replace(trim(x), '^[\\s"''\\[]+|[\\s"''\\]]+$', '', 'g')), lambda x: x <> '')"""
+
+
+@query(f"""WITH v AS (SELECT event_id, {_pick_sql(LISTS)} AS w FROM events),
+m AS (SELECT event_id, list_distinct(list_filter(list_transform(string_split(w, ','), lambda x: lower(trim(x))), lambda x: x <> '')) AS s, {MODELS_SQL} AS l FROM v)
+SELECT event_id, coalesce(array_to_string(list_sort(s), ','), '') AS labels, coalesce(array_to_string({DISTINCT_SQL.format('l')}, ','), '') AS models FROM m""")
 def list_knobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _word(LISTS)
-    labels = F.array_join(F.transform(c.label_set(w), lambda x: F.regexp_replace(x, '"x"]', '"x"')), ",")
-    return fx.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 2, '["x","y"]').otherwise(labels).alias("labels"), c.model_list(w).alias("models"))
+    return fx.table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(c.label_set(w)), ",").alias("labels"), c.model_list(w).alias("models"))
 
 
-CORES = ["", "ocr, OpenAI", "phash_block,custom"]
+CORES = ["", "ocr, OpenAI", "phash_block,custom", "OCR,ocr , forbidden_symbols,yolo_forbidden_symbols", " , "]
+ALIAS_SQL = "CASE lower(x) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in c.CORE_ALIASES.items()) + " ELSE x END"
 
 
-@query("SELECT event_id, ['pHash allowlist,pHash blocklist,OCR text,OpenAI Moderation,Sightengine,YOLO forbidden symbols', 'OCR text,OpenAI Moderation', 'pHash blocklist,custom'][(event_id % 3 + 1)::INT] AS core FROM events")
+@query(f"""WITH v AS (SELECT event_id, list_filter(list_transform(string_split({_pick_sql(CORES)}, ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM events),
+n AS (SELECT event_id, list_transform(l, lambda x: {ALIAS_SQL}) AS l FROM v)
+SELECT event_id, CASE WHEN len(l) = 0 THEN '{','.join(c.CORE_ENGINES)}' ELSE array_to_string({DISTINCT_SQL.format('l')}, ',') END AS core FROM n""")
 def core_engine_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", F.array_join(c.core_engines(_word(CORES)), ",").alias("core"))
 
@@ -346,8 +380,8 @@ def api_error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- detections and scores --------------------------------------------------------------------------------------
 
-NAMES = ["FEMALE_BREAST_EXPOSED", "Toy gun", "Rifle", "Kitchen knife", "BELLY_COVERED", "pistol", "Dagger", "cat"]
-NAME_SQL = f"{NAMES}[(event_id % 8 + 1)::INT]"
+NAMES = ["FEMALE_BREAST_EXPOSED", "Toy gun", "Rifle", "Kitchen knife", "BELLY_COVERED", "pistol", "Dagger", "cat", "FACE_FEMALE"]
+NAME_SQL = f"{NAMES}[(event_id % 9 + 1)::INT]"
 DET_SQL = f"d AS (SELECT user_id AS media_id, event_id AS seq, {NAME_SQL} AS label, least(1.0, greatest(0.0, (event_id % 101) / 128.0))::DOUBLE AS c FROM events)"
 
 
@@ -356,12 +390,12 @@ def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("seq"), _word(NAMES).alias("label"), ((F.col("event_id") % 101) / 128.0).alias("confidence"))
 
 
-@query(f"""WITH {DET_SQL}, g AS (SELECT media_id, coalesce(max(c) FILTER (label LIKE '%EXPOSED%'), 0) AS nudity_exposed, coalesce(max(c) FILTER (label NOT LIKE '%EXPOSED%'), 0) AS nudity_covered,
+@query(f"""WITH {DET_SQL}, g AS (SELECT media_id, coalesce(max(c) FILTER (label LIKE '%EXPOSED%'), 0) AS nudity_exposed, coalesce(max(c) FILTER (label LIKE '%COVERED%' AND label NOT LIKE '%EXPOSED%'), 0) AS nudity_covered,
 coalesce(max(c) FILTER (lower(label) IN ('toy gun', 'rifle', 'pistol')), 0) AS yolo_firearm, coalesce(max(c) FILTER (label = 'Toy gun'), 0) AS yolo_firearm_toy, coalesce(max(c) FILTER (label IN ('Kitchen knife', 'Dagger')), 0) AS yolo_knife FROM d GROUP BY media_id)
 SELECT media_id, nudity_exposed, nudity_covered, yolo_firearm AS yolo_firearm_realistic, yolo_firearm_toy, yolo_firearm, yolo_knife, yolo_knife AS yolo_knife_dangerous, greatest(yolo_firearm, yolo_firearm_toy) AS yolo_firearm_any FROM g""")
 def detections_conditional_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _detections(spark, sf_dir)
-    return detections.nudity_scores(d).join(detections.weapon_scores(d), "media_id")
+    return detections.detection_scores(d, *detections.nudity_columns(), *detections.weapon_columns())
 
 
 SYMBOL_SQL = f"WITH {DET_SQL} SELECT media_id, count(*) AS forbidden_symbols_detection_count, max(c) AS forbidden_symbols_max_conf, arg_max(label, struct_pack(c := c, s := -seq)) AS top_label, 1.0::DOUBLE AS forbidden_symbols_detected, CASE WHEN max(c) >= 0.3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS forbidden_symbols_review_hit, CASE WHEN max(c) >= 0.75 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS forbidden_symbols_block_hit FROM d {{w}} GROUP BY media_id"
@@ -417,7 +451,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda j: ((i * (2 * j + 1) + j) % 65 / F.lit(64.0))
     nudity = F.struct(s(0).alias("sexual_activity"), s(1).alias("erotica"), s(2).alias("suggestive"), s(3).alias("none"), F.struct(s(4).alias("neutral"), F.struct(s(5).alias("bikini"), F.array(F.struct(s(6).alias("deep"))).alias("more")).alias("nested")).alias("suggestive_classes"))
     weapon = F.struct(F.struct(s(7).alias("firearm"), s(8).alias("knife")).alias("classes"), F.when(i % 3 == 0, s(9)).alias("firearm_toy"), F.struct(s(10).alias("animated")).alias("firearm_type"))
-    body = F.to_json(F.struct(F.lit("success").alias("status"), F.lit(5).alias("operations"), nudity.alias("nudity"), weapon.alias("weapon"), s(11).alias("gore"), F.struct(s(12).alias("prob"), F.struct(s(13).alias("nazi")).alias("classes"), s(14).alias("supremacist")).alias("offensive")))
+    body = F.to_json(F.struct(F.lit("success").alias("status"), F.lit(5).alias("operations"), nudity.alias("nudity"), weapon.alias("weapon"), s(11).alias("gore"), F.struct(s(12).alias("prob"), F.struct(s(13).alias("nazi"), s(15).alias("supremacist")).alias("classes"), s(14).alias("supremacist")).alias("offensive")))
     return fx.table(spark, sf_dir, "events").select("event_id", body.alias("body"))
 
 
@@ -440,7 +474,7 @@ def scores_weapon_realistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("realistic", F.col("weapon_firearm") * (1 - F.greatest(F.coalesce("weapon_firearm_toy", F.lit(0.0)), "weapon_firearm_type_animated")))
 
 
-@query(f"SELECT event_id, {_s(11)} AS gore_prob, {_s(12)} AS offensive_prob, {_s(13)} AS offensive_nazi, greatest({_s(12)}, {_s(13)}, {_s(14)}) AS offensive_max, 5.0::DOUBLE AS operations_used FROM events")
+@query(f"SELECT event_id, {_s(11)} AS gore_prob, {_s(12)} AS offensive_prob, {_s(13)} AS offensive_nazi, greatest({_s(12)}, {_s(13)}, {_s(14)}, {_s(15)}) AS offensive_max, 5.0::DOUBLE AS operations_used FROM events")
 def scores_offensive_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _responses(spark, sf_dir).select("event_id", scores.flat_scores("body").alias("s"))
     return flat.select("event_id", *[F.col("s")[k].alias(k) for k in ("gore_prob", "offensive_prob", "offensive_nazi", "offensive_max", "operations_used")])

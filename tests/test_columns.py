@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,37 @@ def test_retry_after(spark, value, want):
 
 def test_backoff_is_capped(spark):
     assert [one(spark, c.backoff(F.lit(i))) for i in range(6)] == [1, 2, 4, 8, 10, 10]
+
+
+def test_nearest_match_agrees_by_every_plan(spark):
+    from mediasift.operators.matching import nearest_match, plan_keys
+
+    rng = random.Random(3)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    flipped = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    entries = [rng.getrandbits(64) for _ in range(60)]
+    entries += entries[:5]  # equal hashes: the first line wins
+    hashes = [flipped(entries[rng.randrange(60)], rng.randrange(0, 30)) for _ in range(80)] + [entries[0]] * 3
+    e = spark.createDataFrame([(i, f"l{i}", signed(x)) for i, x in enumerate(entries)], "line_no long, label string, bits long").cache()
+    h = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(hashes)], "media_id long, bits long").cache()
+    for radius in (0, 6, 24, 64):
+        want = {}
+        for i, x in enumerate(hashes):
+            d, n = min(((x ^ y).bit_count(), n) for n, y in enumerate(entries))
+            if d <= radius:
+                want[i] = (d, n, f"l{n}")
+        for together, most in ((None, 10**6), (None, 0), (1, 0), (2, 10**6), (0, 10**6), (0, 0)):
+            if (together or 0) + radius <= 64 and not (together == 2 and radius > 6):
+                got = nearest_match(h, e, radius, together=together, broadcast_rows=most, block_rows=16)
+                assert {r["media_id"]: (r["distance"], r["match_line"], r["match_label"]) for r in got.collect()} == want
+    assert plan_keys(6, 10**8) > plan_keys(6, 100) > 0 == plan_keys(24, 10**4)
+    assert not nearest_match(h, e.limit(0), 24).count() and not nearest_match(h.limit(0), e, 24, broadcast_rows=0).count()
+
+
+def test_covered_and_offensive_scores():
+    from mediasift.operators.scores import flatten_response
+
+    out = flatten_response('{"offensive": {"prob": 0.25, "classes": {"nazi": 0.75, "x": true}, "nazi": 0.5, "middle": "0.9"}}')
+    assert out == {"offensive_prob": 0.25, "offensive_nazi": 0.5, "offensive_x": 1.0, "offensive_max": 1.0}
+    assert flatten_response('{"offensive": {"classes": {"nazi": 0.75}, "nazi": 0.5}}')["offensive_max"] == 0.75
+    assert flatten_response('{"nudity": {"none": "x", "erotica": 2, "suggestive": 0.5, "suggestive_classes": {"a": [{"b": 0.75, "neutral": 1}]}}}') == {"nudity_safe": 0.0, "nudity_raw": 1.0, "nudity_partial": 0.75}
