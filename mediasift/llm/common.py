@@ -1,17 +1,18 @@
-"""Helpers shared by the training-data operators: scratch tables, ranks, groups and components."""
+"""Helpers shared by the training-data operators: ranks, groups and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediasift.scratch import checkpoint_root, discard, materialise, scratch
+
+__all__ = ["attach_groups", "checkpoint_root", "connected_components", "discard", "materialise", "prefix_sums", "scratch", "strip_white", "text_or_empty", "worker_cache"]
+
 #: ASCII white space: the characters of [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
-#: A counted table of up to so many narrow rows may be broadcast.
-BROADCAST_ROWS = 100_000
+#: A group of at least so many rows is heavy: what is known of it is broadcast instead of shuffled to.
+HEAVY_ROWS, HEAVY_SHARE, MOST_HEAVY = 20_000, 1024, 500_000
 
 
 _LIVE: dict = {}
@@ -25,36 +26,6 @@ def worker_cache(key: object, make):
     return _LIVE[key]
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='mediasift-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_root(spark)}/mediasift/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    spark = spark or df_or_path.sparkSession
-    paths = [df_or_path] if isinstance(df_or_path, str) else {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()}
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def strip_white(text: Column) -> Column:
     """text without ASCII white space."""
     return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
@@ -65,15 +36,16 @@ def text_or_empty(docs: DataFrame) -> Column:
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str, rows: int, per_bucket: int = 50_000, total: str | None = None, bucket: Column | None = None) -> DataFrame:
-    """Add `out`: the sum of `value` over the rows of the same keys that come before this one.
+    """Add `out`: the sum of `value` over the rows of the same keys (none of them null) that come before this one.
 
     The order within a key is (bucket, *order), where the bucket is a hash of the row, so that even a key
     that holds all rows is summed by many tasks; only the sums of buckets meet per key. Ties in `order`
     are between rows that are equal in it. With `total`, each key's whole sum is added as well. With `bucket`
-    (a long that ascends with `order`), the order within a key is `order` itself.
+    (a long that ascends with `order`), the order within a key is `order` itself. At every size rows are shuffled
+    once, by key and bucket, and meet the sums of their bucket there.
     """
     buckets = max(1, -(-rows // per_bucket))
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*keys, *order), F.lit(buckets)) if bucket is None else bucket).withColumn("_v", value.cast("long"))
+    df = df.withColumn("_b", (F.pmod(F.xxhash64(*keys, *order), F.lit(buckets)) if bucket is None else bucket).cast("long")).withColumn("_v", value.cast("long"))
     local = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -81,27 +53,25 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     sums = sums.withColumn("_before", F.sum("_s").over(before) - F.col("_s"))
     if total:
         sums = sums.withColumn(total, F.sum("_s").over(whole))
-    sums = sums.drop("_s").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_b2"), "_before", *([total] if total else []))
-    on = F.col("_b") == F.col("_b2")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    sums = materialise(sums.drop("_s"), "sums")
     df = df.withColumn("_local", F.sum("_v").over(local) - F.col("_v"))
-    sums = materialise(sums, "sums")
-    if sums.count() <= BROADCAST_ROWS:
-        sums = F.broadcast(sums)
-    return df.join(sums, on).withColumn(out, F.col("_before") + F.col("_local")).drop("_b", "_b2", "_v", "_before", "_local", *[f"_k{i}" for i in range(len(keys))])
+    return df.join(sums.hint("merge"), [*keys, "_b"]).withColumn(out, F.col("_before") + F.col("_local")).drop("_b", "_v", "_before", "_local")
+
 
+def heavy_from(total: int) -> int:
+    """Rows from which a group of a table of `total` rows is heavy; at most MOST_HEAVY groups can be."""
+    return max(2, min(-(-total // HEAVY_SHARE), max(HEAVY_ROWS, -(-total // MOST_HEAVY))))
 
-def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = 1024) -> DataFrame:
-    """Left join rows with what is known of their groups.
 
-    A group that holds at least one row in `share` goes by broadcast (there are at most `share` of those),
-    all others by a shuffle join at every size, so that no task receives a hot group and small inputs are
-    planned like large ones.
+def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Left join rows with what is known of their groups (a written table; `size` counts a group's rows).
+
+    Heavy groups (a bounded number) go by broadcast, all others by a shuffle join at every size, so that
+    no task receives a hot group and small inputs are planned like large ones.
     """
-    heavy_at = max(2, -(-total // share))
-    heavy = groups.filter(F.col(size) >= heavy_at)
-    light = groups.filter(F.col(size) < heavy_at)
+    at = heavy_from(total)
+    heavy = groups.filter(F.col(size) >= at)
+    light = groups.filter(F.col(size) < at)
     extra = [c for c in groups.columns if c not in keys]
     marked = rows.join(F.broadcast(heavy.select(*keys, F.struct(*extra).alias("_heavy"))), keys, "left")
     hot = marked.filter(F.col("_heavy").isNotNull()).select(*rows.columns, *[F.col("_heavy")[c].alias(c) for c in extra])
@@ -109,26 +79,32 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     return hot.unionByName(rest)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of `edges` (u, v long): component is the smallest node reachable.
 
-    Alternating large-star and small-star steps over written tables; a run ends when a step changes nothing.
-    Groups are reduced by partial aggregation, so a hub costs one row per task.
+    Alternating large-star and small-star steps over written tables, until a step changes nothing. Groups are
+    reduced by partial aggregation, and the edges of a hub meet its minimum by broadcast, so that
+    no task receives a hub.
     """
     edges = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    spark, seen = edges.sparkSession, None
-    for _ in range(rounds):
+    spark, seen, now = edges.sparkSession, None, (edges.count(),)
+
+    def step(pairs: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+        """Each edge with the least neighbour `m` of its u, and the minima."""
+        least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "minima")
+        return attach_groups(pairs, least, ["u"], "n", total), least
+
+    while now[0] and seen != now:
+        seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        after = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(edges, spark)
+        met, minima = step(both, 2 * now[0])
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+        large = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        met, roots = step(large, now[0])
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        after = materialise(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        for old in (edges, minima, large, roots):
+            discard(old, spark)
         edges = after
-        if seen == tuple(now):
-            break
-        seen = tuple(now)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

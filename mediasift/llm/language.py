@@ -36,6 +36,7 @@ REJECT_Z, REJECT_BITS, REJECT_CHARS = 8.0, 4.0, 20
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
 ALPHABET = 1024
+ADDED = ("lang_pred", "score", "rejected")
 ROWS_AT_ONCE, BATCH_CHARS, CACHE_WORDS = 500, 2_000_000, 400_000
 
 
@@ -226,9 +227,9 @@ def fit(docs: DataFrame, learn: Column | None = None, sample_docs: int = SAMPLE_
     return identifier
 
 
-def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
-    """docs with lang_pred, score (the posterior of the language) and rejected."""
-    docs = docs.drop("lang_pred", "score", "rejected")
+def identify(docs: DataFrame, identifier: Identifier, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """docs with lang_pred, score (the posterior of the language) and rejected, or as `added` names them."""
+    docs = docs.drop(*added)
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the sample
 
@@ -253,7 +254,7 @@ def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
             odd = (chars >= REJECT_CHARS) & (entropy[at, best] > usual[best, 0] + np.maximum(REJECT_BITS, REJECT_Z * usual[best, 1]) * np.sqrt(1 + 20 / np.maximum(chars, 1)))
             lang = ["und" if e else known.languages[k] for k, e in zip(best.tolist(), none.tolist(), strict=True)]
             score = np.where(none, 0.0, posterior[at, best])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(none | odd)], [*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(none | odd)], [*names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(predict, f"{fields}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` boolean")

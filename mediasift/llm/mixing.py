@@ -8,6 +8,12 @@ block. The schedule repeats by frames, so a block's slot follows from its number
 blocks. When a source runs out, the others go on with their weights in a new frame; no row is dropped or
 repeated.
 
+The schedule is worked out on the driver from one number a source; it holds a frame of slots for each time a source
+runs out, so sources should be thousands at most, however many rows they have.
+
+Ties: rows of a source that are equal in doc_id and size are interchangeable; equal deadlines go to the source first
+in alphabetical order.
+
 Edge cases: null source is a source of its own; null and empty texts count one byte; a source without a given
 weight gets the least given weight (weights below 1 are refused); repeated rows are scheduled once each; an
 empty table gives no rows; all columns are kept, and block, slot and offset are added (replacing columns of
@@ -27,6 +33,9 @@ from mediasift.llm.common import prefix_sums
 BLOCK_BYTES, FRAME, TEMPER = 1 << 16, 1000, 0.7
 #: Whole rows pass through the sums of a source, so its buckets are small.
 ROWS_A_BUCKET = 8_000
+#: Schedules of so many sources may be broadcast.
+BROADCAST_SOURCES = 1000
+ADDED = ("block", "slot", "offset")
 
 PHASE = T.StructType([T.StructField(n, t) for n, t in (("first", T.LongType()), ("base", T.LongType()), ("weight", T.LongType()), ("frame", T.LongType()), ("slots", T.ArrayType(T.LongType())))])
 SCHEDULE = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_phases", T.ArrayType(PHASE))])
@@ -79,12 +88,12 @@ def tempered(sizes: dict[str | None, int], frame: int = FRAME, temper: float = T
     return {s: max(1, round(frame * max(n, 1) ** temper / whole)) for s, n in sizes.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with block (of its source), slot (in the mixture) and offset (bytes of its source before it).
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_bytes: int = BLOCK_BYTES, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """docs with block (of its source), slot (in the mixture) and offset (bytes of its source before it), or as `added` names them.
 
     The order of the mixture is slot, then offset. Without weights, sizes are tempered.
     """
-    docs = docs.drop("block", "slot", "offset")
+    docs = docs.drop(*added)
     names = docs.columns
     size = F.greatest(F.lit(1), F.coalesce(F.octet_length("text"), F.lit(1))).cast("long")
     found = docs.groupBy(F.col("source").cast("string").alias("s")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).collect()  # a row a source
@@ -96,23 +105,23 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_bytes: int
             raise ValueError("weights are whole numbers of at least 1")
         given = {s: int(weights.get(s, min(weights.values(), default=1))) for s in sizes}
     plan = phases({s: -(-n // block_bytes) for s, n in sizes.items()}, given)
-    schedule = docs.sparkSession.createDataFrame([(s, p) for s, p in plan.items()], SCHEDULE)
+    schedule = docs.sparkSession.createDataFrame([("" if s is None else f"={s}", p) for s, p in plan.items()], SCHEDULE)
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    keyed = docs.select(whole.alias("_row"), F.col("source").cast("string").alias("_of"), F.col("doc_id").alias("_id"), size.alias("_size"))
+    keyed = docs.select(whole.alias("_row"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_of"), F.col("doc_id").alias("_id"), size.alias("_size"))
     placed = prefix_sums(keyed, ["_of"], [F.col("_id"), F.col("_size")], F.col("_size"), "_offset", rows, ROWS_A_BUCKET)
     placed = placed.withColumn("_block", F.floor(F.col("_offset") / block_bytes))
-    joined = placed.join(F.broadcast(schedule), F.col("_of").eqNullSafe(F.col("_source")))  # one row a source
+    joined = placed.join(F.broadcast(schedule) if len(plan) <= BROADCAST_SOURCES else schedule.hint("merge"), F.col("_of") == F.col("_source"))
     phase = F.element_at(F.filter("_phases", lambda p: p["first"] <= F.col("_block")), -1)
     joined = joined.withColumn("_phase", phase).withColumn("_k", F.col("_block") - F.col("_phase")["first"])
     turn = F.col("_phase")["slots"][(F.col("_k") % F.col("_phase")["weight"]).cast("int")]
     slot = F.col("_phase")["base"] + F.floor(F.col("_k") / F.col("_phase")["weight"]) * F.col("_phase")["frame"] + turn
-    return joined.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(names)], F.col("_block").alias("block"), slot.cast("long").alias("slot"), F.col("_offset").alias("offset"))
+    return joined.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(names)], *[value.alias(name) for name, value in zip(added, (F.col("_block"), slot.cast("long"), F.col("_offset")), strict=True)])
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
-    """The mixture's rows in its order, dealt by ranges of slots."""
+def in_order(mixed: DataFrame, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """The mixture's rows in its order, dealt by ranges of slots, without the columns that mix added."""
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, "slot", "offset").sortWithinPartitions("slot", "offset").drop("block", "slot", "offset")
+    return mixed.repartitionByRange(parts, *added[1:]).sortWithinPartitions(*added[1:]).drop(*added)
 
 
 def written_order(mixed: DataFrame) -> DataFrame:

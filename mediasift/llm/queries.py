@@ -92,16 +92,30 @@ h AS (SELECT doc_id, n, sha256(t) AS text_sha256 FROM d)
 SELECT doc_id,
        first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS kept,
+       doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS kept,
        text_sha256
 FROM h
 """
 
 
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      THEN embedding::DOUBLE[] ELSE []::DOUBLE[] END AS e FROM embeddings),
+u AS (SELECT vec_id, e, len(e) AS dim, sqrt(list_dot_product(e, e)) AS norm FROM v),
+p AS (SELECT row_number() OVER () AS r, * FROM u WHERE norm > 0),
+k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.dim = b.dim AND a.r <> b.r AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+n AS (SELECT a, count(*) AS n FROM k GROUP BY a),
+reach AS (SELECT vec_id AS a, vec_id AS c FROM p UNION SELECT reach.a, k.b FROM reach JOIN k ON k.a = reach.c),
+m AS (SELECT a, min(c) AS c FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m.c, vec_id) AS component_id, vec_id = coalesce(m.c, vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""
+
+
 def queries() -> dict[str, Query]:
     found = [op1_best_fit_packing, op2_embedding_near_dedup, op3_token_files, op4_exact_dedup, op5_language_id, op6_simhash_near_dedup, op7_source_mixing, op8_sharding, op9_lm_scoring, op10_licence_scan]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL}

@@ -1,13 +1,14 @@
 """Operator 2: embedding near-deduplication as an exact metric range join.
 
-Vectors are scaled to length one, where cosine >= t means a distance of at most r = sqrt(2 - 2t). Pivots (a
-bounded sample of the vectors) cut the space into cells: a vector is at home with its nearest pivot; a cell
-with many members is cut further by hash, so no cell is unbounded. A vector is replicated to another cell
-only if the triangle inequality lets it reach a member there (its distance to the pivot is at most the cell's
-radius plus r), and of two cells only one receives the other's vectors. Each cell compares its members with
-each other and with its replicas, in blocks, alone. Products in single precision decide pairs clear of the
-threshold; pairs near it are decided in double precision. Identical vectors are one point with a weight, and
-a cell reports link counts and a spanning forest, never its pairs.
+The metric is the angle between vectors; a cosine of at least t is an angle of at most r = arccos(t). Pivots (a
+bounded sample of the vectors, more of them for more vectors) cut the space into cells: a vector is at home with its
+nearest pivot; a cell with many members is cut further by hash, so no cell is unbounded. A vector is replicated to
+another cell only if two bounds of the triangle inequality let it reach a member there: its angle to the pivot is at
+most the cell's radius plus r, and it lies within r of the surface that parts the cell from its own. Of two cells only
+one receives the other's vectors. Each cell compares its members with each other and with its replicas, in
+chunks of bounded size, alone; members are sent once for each chunk of replicas that there is. Products in single
+precision decide pairs clear of the threshold; pairs within their error bound are decided in double precision.
+Identical vectors are one point with a weight, and a cell reports link counts and a spanning forest, never its pairs.
 
 Edge cases: vectors link only with others of their own length, each length with pivots and cells of its own;
 vectors that are null, empty, zero or hold null or non-finite components link with nothing (n_links 0, their
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from mediasift.llm.common import attach_groups, connected_components, materialise
 
 COSINE = 0.95
-MAX_PIVOTS, VECTORS_A_PIVOT, CELL_ROWS, REPLICA_ROWS = 256, 2048, 4096, 16_384
-#: Half-width of the band of single-precision products that double precision decides.
-BAND = 1e-4
+MAX_PIVOTS, VECTORS_A_PIVOT, CELL_ROWS, REPLICA_ROWS = 1024, 6144, 12_288, 16_384
+#: Room for rounding in angles and in differences of cosines.
+SLACK = 1e-6
 
 
 def clean_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -67,15 +68,23 @@ def _matrix(column: pa.Array | list, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column if isinstance(column, list) else column.to_pylist()), "<f8").reshape(-1, dim)
 
 
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots.T)))
+def _reaches(near: np.ndarray, home: np.ndarray, radii: np.ndarray, apart: np.ndarray, angle: float) -> np.ndarray:
+    """Which rows may lie within `angle` of a member of which cell.
+
+    near: cosines of rows and pivots; home: the nearest pivot of each row; radii: the widest angle of each cell;
+    apart: distances between pivots.
+    """
+    ball = near >= np.cos(np.minimum(radii + angle + SLACK, np.pi)) - SLACK
+    own = near[np.arange(len(near)), home]
+    return ball & (own[:, None] - near <= np.sin(angle) * apart[home] + SLACK) & (radii >= 0)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
     """Which rows of x link with which rows of y."""
     near = x.astype(np.float32) @ y.astype(np.float32).T
     hit = near >= cosine
-    i, j = np.nonzero(np.abs(near - np.float32(cosine)) <= BAND)
+    error = (x.shape[1] + 8) * 2.0**-23  # of a product of unit vectors in single precision
+    i, j = np.nonzero(np.abs(near - np.float32(cosine)) <= error)
     for k in range(0, len(i), 100_000):
         a, b = i[k : k + 100_000], j[k : k + 100_000]
         hit[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= cosine
@@ -131,61 +140,78 @@ def near_vectors(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     lengths = points.groupBy("dim").agg(F.count("*").alias("n"), F.min_by("vec", order).alias("vec")).collect()  # a row a vector length
     if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
+    angle = float(np.arccos(cosine))
     pivots, count = {}, {r["dim"]: r["n"] for r in lengths}
     for r in lengths:
         wanted = min(MAX_PIVOTS, -(-r["n"] // VECTORS_A_PIVOT))
         own = points.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("key"), "key").limit(wanted).select("vec").collect() if wanted > 1 else [r]
         pivots[r["dim"]] = _matrix([bytes(p["vec"]) for p in own], r["dim"])  # at most MAX_PIVOTS vectors
+    apart = {d: np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T))) for d, p in pivots.items()}
+    members, reached = {d: np.zeros(len(p), np.int64) for d, p in pivots.items()}, {d: np.zeros(len(p), np.int64) for d, p in pivots.items()}
+    radii = {d: np.full(len(p), -np.inf) for d, p in pivots.items()}
 
     def by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         dims = b.column(0).to_numpy()
         for dim in np.unique(dims).tolist():
             yield dim, b.filter(pa.array(dims == dim))
 
+    def placed_by(dim: int, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """vectors, their cosines to the pivots, and the nearest pivot of each."""
+        x = _matrix(vectors, dim)
+        near = x @ pivots[dim].T
+        return x, near, near.argmax(axis=1)
+
+    def totals(dim: int, number: np.ndarray, radius: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([dim] * len(number), pa.int32()), pa.array(np.arange(len(number))), pa.array(number), pa.array(radius)], ["dim", "cell", "n", "radius"])
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, b in (x for b in batches for x in by_length(b)):
-            d = _distances(_matrix(b.column(1), dim), pivots[dim])
-            near = d.argmin(axis=1)
-            own = d[np.arange(len(d)), near]
-            cells = np.unique(near)
-            yield pa.RecordBatch.from_arrays([pa.array([dim] * len(cells), pa.int32()), pa.array(cells), pa.array([int((near == c).sum()) for c in cells], pa.int64()), pa.array([float(own[near == c].max()) for c in cells])], ["dim", "cell", "n", "radius"])
-
-    met = points.select("dim", "vec").mapInArrow(measure, "dim int, cell long, n long, radius double").groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()  # a row a pivot
-    members, radii = {d: np.zeros(len(p), np.int64) for d, p in pivots.items()}, {d: np.full(len(p), -np.inf) for d, p in pivots.items()}
-    for r in met:
+            _, near, home = placed_by(dim, b.column(1))
+            radius = np.full(len(pivots[dim]), -1.0)
+            np.maximum.at(radius, home, np.arccos(np.clip(near[np.arange(len(near)), home], -1, 1)))
+            yield totals(dim, np.bincount(home, minlength=len(radius)), radius)
+
+    def count_guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, b in (x for b in batches for x in by_length(b)):
+            _, near, home = placed_by(dim, b.column(1))
+            yield totals(dim, _reaches(near, home, radii[dim], apart[dim], angle).sum(axis=0).astype(np.int64), np.zeros(len(pivots[dim])))
+
+    def summed(work) -> list:
+        found = points.select("dim", "vec").mapInArrow(work, "dim int, cell long, n long, radius double")
+        return found.groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()  # a row a pivot
+
+    for r in summed(measure):
         members[r["dim"]][r["cell"]], radii[r["dim"]][r["cell"]] = r["n"], r["radius"]
+    for r in summed(count_guests) if any(len(p) > 1 or count[d] > CELL_ROWS for d, p in pivots.items()) else []:
+        reached[r["dim"]][r["cell"]] = r["n"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, b in (x for b in batches for x in by_length(b)):
             salts = np.maximum(1, -(-members[dim] // CELL_ROWS))
             first = np.cumsum(salts) - salts
-            owner = np.repeat(np.arange(len(salts)), salts)
-            chunks = max(1, -(-count[dim] // (2 * REPLICA_ROWS)))
-            cells = np.arange(len(owner))
+            chunks = np.maximum(1, -(-reached[dim] // (2 * REPLICA_ROWS)))  # about half of those that reach a cell are sent there
             ids, weights = b.column(1).to_numpy(), b.column(2).to_numpy()
-            x = _matrix(b.column(3), dim)
-            d = _distances(x, pivots[dim])
-            near = d.argmin(axis=1)
+            x, near, nearest = placed_by(dim, b.column(3))
             salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-            home = first[near] + (salt % salts[near].astype(np.uint64)).astype(np.int64)
-            chunk = ((salt >> np.uint64(20)) % np.uint64(chunks)).astype(np.int64)
-            reaches = d[:, owner] <= radii[dim][owner] + reach
-            turn = (home[:, None] < cells) ^ ((home[:, None] + cells) % 2 == 1)
-            guest = reaches & turn & (home[:, None] != cells)
+            home = first[nearest] + (salt % salts[nearest].astype(np.uint64)).astype(np.int64)
+            reach = _reaches(near, nearest, radii[dim], apart[dim], angle)
             out: dict[str, list] = {k: [] for k in ("dim", "cell", "chunk", "role", "ids", "weights", "vecs")}
 
             def put(cell: int, part: int, role: int, i: np.ndarray, out=out, dim=dim, ids=ids, weights=weights, x=x) -> None:
                 for k, v in zip(out, (dim, cell, part, role, ids[i].tobytes(), weights[i].tobytes(), x[i].tobytes()), strict=True):
                     out[k].append(v)
 
-            for c in cells.tolist():
-                i = np.flatnonzero(home == c)
-                for part in range(chunks if len(i) else 0):
-                    put(c, part, 0, i)
-                i = np.flatnonzero(guest[:, c])
-                for part in np.unique(chunk[i]).tolist():
-                    put(c, part, 1, i[chunk[i] == part])
+            for pivot in np.flatnonzero(members[dim]).tolist():
+                near_by = np.flatnonzero(reach[:, pivot] | (nearest == pivot))
+                chunk = ((salt[near_by] >> np.uint64(20)) % np.uint64(chunks[pivot])).astype(np.int64)
+                for c in range(int(first[pivot]), int(first[pivot] + salts[pivot])):
+                    own = near_by[home[near_by] == c]
+                    for part in range(int(chunks[pivot]) if len(own) else 0):
+                        put(c, part, 0, own)
+                    other = home[near_by]
+                    sent = (other != c) & ((other < c) ^ ((other + c) % 2 == 1))
+                    for part in np.unique(chunk[sent]).tolist():
+                        put(c, part, 1, near_by[sent & (chunk == part)])
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 

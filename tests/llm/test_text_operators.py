@@ -251,6 +251,23 @@ def test_sharding(odd_docs, odd_rows, no_docs, tmp_path):
     assert written.count() == len(odd_rows) and len(list((tmp_path / "shards").glob("shard=*"))) == 7
 
 
+def test_shards_follow_from_seed_and_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr("mediasift.llm.sharding.BUCKET_ROWS", 40)
+    rows = [(i, f"text {i % 90}", {"k": i % 2}) for i in range(300)] + [(7, "again", {"k": 0})] * 150 + [(None, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string,int>")
+    got = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, splits in ((3, 1), (8, 5), (211, 13)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got.append(sorted(map(str, external_shuffle(df.repartition(splits), 7).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    assert {r["shard"] for r in external_shuffle(df, 7).filter("text = 'again'").collect()} == set(range(7))
+    assert sorted(map(str, external_shuffle(df, 7, seed=18).collect())) != got[0]
+
+
 def test_lm_scoring(spark, odd_docs, odd_rows, no_docs, monkeypatch):
     monkeypatch.setattr("mediasift.llm.lm_score.FLUSH_TOKENS", 500)
     learn = F.coalesce(F.col("doc_id") % 3 != 1, F.lit(True))

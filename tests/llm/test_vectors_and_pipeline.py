@@ -138,7 +138,7 @@ def test_mixture_weights_change_the_packed_rows(spark, tmp_path, monkeypatch):
     source, got = {r[0]: r[3] for r in rows}, []
     for heavy in ("s0", "s1"):
         weights = {"s0": 1, "s1": 1} | {heavy: 9}
-        monkeypatch.setattr(corpus_pipeline, "mix", lambda docs, weights=weights: mixing.mix(docs, weights, 512))
+        monkeypatch.setattr(corpus_pipeline, "mix", lambda docs, weights=weights, **named: mixing.mix(docs, weights, 512, **named))
         packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
         got.append({(r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in packed})
         n = len({r["sequence_id"] for r in packed})
