@@ -2,14 +2,14 @@
 
 Documents are dealt by ranges of doc_id, encoded, and written in ascending doc_id order. A shard is cut into
 blocks of whole documents; each block has its own grammar. Re-Pair runs in bulk rounds: the most frequent
-pairs of neighbouring ids (never across documents) are replaced by new ids, left to right without overlap,
-and the rounds repeat while pairs are frequent. A block stores its rules, the expansion length of each rule,
+pairs of neighbouring symbols (never across documents) are replaced by new ones, left to right without overlap,
+and the rounds repeat until no pair occurs LEAST_COUNT times; rules nest freely. A block stores its rules, the expansion length of each rule,
 the symbols, and where each document starts among symbols and among ids, so one document is decoded without
 the others. Blocks are rows of a table, so that any store that Spark writes can hold them.
 
-Block layout (little-endian): b"RPT1", then as uint32 the width of a symbol in bytes (2 or 4), the first rule
+Block layout (little-endian): b"RPT1", then as uint32 the width of a symbol in bits, the first rule
 id, and the numbers of rules, documents and symbols; then rules (2 symbols each), expansion lengths (uint32),
-starts among symbols (uint32, documents + 1), ids per document (uint32), symbols.
+starts among symbols (uint32, documents + 1), ids per document (uint32), symbols. Symbols are packed to bits.
 
 Edge cases: null and empty texts hold only the end id; null doc_ids come first; repeated rows are stored once
 each; an empty table gives no blocks and no rows; other columns are ignored.
@@ -23,78 +23,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import scratch
+from mediasift.llm.common import prefix_sums, scratch
 from mediasift.llm.tokens import PieceEncoder, with_end
 
 MAGIC = b"RPT1"
 BLOCK_TOKENS, ROWS_AT_ONCE = 2_000_000, 500
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 4096, 8
+RULES_A_ROUND, LEAST_COUNT, TABLE_BITS = 8192, 8, 20
+TASK_BYTES = 24 << 20
 BLOCKS = "shard int, block int, doc_ids array<bigint>, n_tokens long, payload binary"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int) -> bytes:
+def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int, least: int = LEAST_COUNT) -> bytes:
     """One block of documents ids[at[i]:at[i+1]]; `vocabulary` is above every id."""
-    wide = vocabulary + ROUNDS * RULES_A_ROUND > 1 << 16
-    kind, pair_kind, shift = (np.uint32, np.uint64, 32) if wide else (np.uint16, np.uint32, 16)
-    symbols, starts, sizes = ids.astype(kind), at.astype(np.int64), np.diff(at)
-    rules = np.zeros((0, 2), kind)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        pairs = (symbols[:-1].astype(pair_kind) << pair_kind(shift)) | symbols[1:]
-        within = np.ones(len(pairs), bool)
-        edges = starts[(starts > 0) & (starts < len(symbols))]
-        within[edges - 1] = False
-        code, count = np.unique(pairs[within], return_counts=True)
-        code, count = code[count >= LEAST_COUNT], count[count >= LEAST_COUNT]
+    symbols, starts, sizes = ids.astype(np.uint32), at.astype(np.int64), np.diff(at)
+    rules: list[np.ndarray] = []
+    first = vocabulary
+    while len(symbols) > 1:
+        left, right = symbols[:-1], symbols[1:]
+        cell = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - TABLE_BITS)
+        edges = starts[(starts > 0) & (starts < len(symbols))] - 1
+        count = np.bincount(cell, minlength=1 << TABLE_BITS)
+        count -= np.bincount(cell[edges], minlength=1 << TABLE_BITS)
+        busy = (count >= least)[cell]
+        busy[edges] = False
+        some = np.flatnonzero(busy)  # every pair that is frequent, and few others
+        pairs = (left[some].astype(np.uint64) << np.uint64(32)) | right[some]
+        code, count = np.unique(pairs, return_counts=True)
+        code, count = code[count >= least], count[count >= least]
         if not len(code):
             break
         code = code[np.lexsort((code, -count))[:RULES_A_ROUND]]
-        code, rule = _look_up(code, pairs)
-        hit = (code[rule] == pairs) & within
-        place = np.flatnonzero(hit)
+        a, b = (code >> np.uint64(32)).astype(np.uint32), code.astype(np.uint32)
+        own = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - TABLE_BITS)
+        _, alone = np.unique(own, return_index=True)  # pairs that share a cell with a more frequent one wait for the next round
+        alone.sort()
+        code, a, b, own = code[alone], a[alone], b[alone], own[alone]
+        table = np.zeros(1 << TABLE_BITS, np.uint32)
+        table[own] = np.arange(len(code), dtype=np.uint32)
+        rule = table[cell[some]]
+        hit = code[rule] == pairs
+        place, rule = some[hit], rule[hit]
         new_run = np.concatenate([[True], np.diff(place) > 1])  # overlapping hits: take every other one
-        step = np.arange(len(place)) - np.maximum.accumulate(np.where(new_run, np.arange(len(place)), 0))
-        place = place[step % 2 == 0]
-        symbols[place] = (vocabulary + len(rules) + rule[place]).astype(kind)
+        turn = np.arange(len(place))
+        take = (turn - np.maximum.accumulate(np.where(new_run, turn, 0))) % 2 == 0
+        symbols[place[take]] = first + rule[take]
         keep = np.ones(len(symbols), bool)
-        keep[place + 1] = False
+        keep[place[take] + 1] = False
         starts = np.concatenate([[0], np.cumsum(keep)])[starts]
         symbols = symbols[keep]
-        rules = np.concatenate([rules, np.stack([code >> pair_kind(shift), code & pair_kind((1 << shift) - 1)], 1).astype(kind)])
-    head = MAGIC + struct.pack("<5I", symbols.itemsize, vocabulary, len(rules), len(sizes), len(symbols))
-    lengths: list[int] = []
-    for a, b in rules.tolist():
-        lengths.append(sum(lengths[s - vocabulary] if s >= vocabulary else 1 for s in (a, b)))
-    return b"".join([head, rules.tobytes(), np.array(lengths, "<u4").tobytes(), starts.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), symbols.tobytes()])
-
-
-TABLE_BITS = 20
-
-
-def _look_up(code: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the codes that have a cell of the hash table to themselves, most frequent first; for each pair the code in its cell)."""
-
-    def cell(x: np.ndarray) -> np.ndarray:
-        return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
-
-    _, first = np.unique(cell(code), return_index=True)
-    code = code[np.sort(first)]
-    table = np.zeros(1 << TABLE_BITS, np.int32)
-    table[cell(code)] = np.arange(len(code), dtype=np.int32)
-    return code, table[cell(pairs)]
-
-
-def _expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """What each rule stands for, end to end, and offsets."""
-    out: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        out.append(np.concatenate([out[s - first] if s >= first else np.array([s], np.uint32) for s in (a, b)]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)]).astype(np.int64)
+        rules.append(np.stack([a, b], 1))
+        first += len(code)
+    grammar = np.concatenate([np.zeros((0, 2), np.uint32), *rules])
+    width = max(1, (first - 1).bit_length())
+    head = MAGIC + struct.pack("<5I", width, vocabulary, len(grammar), len(sizes), len(symbols))
+    lengths = np.ones(len(grammar), np.int64)
+    done = 0
+    for r in rules:  # a round's rules are made of ids and of rules of earlier rounds
+        lengths[done : done + len(r)] = np.where(r >= vocabulary, lengths[np.maximum(r.astype(np.int64) - vocabulary, 0)], 1).sum(axis=1)
+        done += len(r)
+    return b"".join([head, _pack(grammar, width), lengths.astype("<u4").tobytes(), starts.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), _pack(symbols, width)])
+
+
+def _pack(symbols: np.ndarray, width: int) -> bytes:
+    """The low `width` bits of each symbol, end to end."""
+    return np.packbits(np.unpackbits(symbols.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little"), bitorder="little").tobytes()
+
+
+def _unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(raw, count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4")[:, 0]
+
+
+def _expansions(rules: np.ndarray, first: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each rule stands for, end to end, and offsets; rules are opened level by level until ids are left."""
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    symbols = np.arange(first, first + len(rules), dtype=np.int64)
+    while (open_ := symbols >= first).any():
+        n = np.where(open_, 2, 1)
+        begin = np.cumsum(n) - n
+        opened = np.empty(int(n.sum()), np.int64)
+        opened[begin] = np.where(open_, rules[np.where(open_, symbols - first, 0), 0], symbols)
+        opened[begin[open_] + 1] = rules[symbols[open_] - first, 1]
+        symbols = opened
+    return symbols.astype(np.uint32), at
 
 
 class Block:
@@ -104,13 +120,15 @@ class Block:
         if payload[:4] != MAGIC:
             raise ValueError("not a block of this format")
         width, self.first, n_rules, self.n, n_symbols = struct.unpack_from("<5I", payload, 4)
-        kind, at, take = np.dtype(f"<u{width}"), 24, []
-        for dtype, n in ((kind, 2 * n_rules), (np.dtype("<u4"), n_rules), (np.dtype("<u4"), self.n + 1), (np.dtype("<u4"), self.n), (kind, n_symbols)):
-            take.append(np.frombuffer(payload, dtype, n, at))
-            at += dtype.itemsize * n
+        at, take = 24, []
+        for bits, n in ((width, 2 * n_rules), (32, n_rules), (32, self.n + 1), (32, self.n), (width, n_symbols)):
+            size = -(-bits * n // 8)
+            raw = np.frombuffer(payload, np.uint8, size, at)
+            take.append(_unpack(raw, bits, n) if bits < 32 else raw.view("<u4"))
+            at += size
         rules, self.starts, self.sizes, self.symbols = take[0], *take[2:]
         self.lengths = take[1].astype(np.int64)
-        self.flat, self.at = _expansions(rules.reshape(-1, 2), self.first)
+        self.flat, self.at = _expansions(rules.reshape(-1, 2).astype(np.int64), self.first, self.lengths)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         s = symbols.astype(np.int64)
@@ -159,8 +177,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if held:
             yield flush()
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(docs["text"].cast("string")).cast("long"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.monotonically_increasing_id().alias("_at"))
     ranged = rows.repartitionByRange(parts, "doc_id", "_at").sortWithinPartitions("doc_id", "_at").select("doc_id", "text")
     ranged.mapInArrow(encode, BLOCKS).write.parquet(path)
@@ -169,8 +187,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the files at path: doc_id, start, n_tokens, ids_crc32, decoded from the blocks."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    order = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = blocks.select("shard", "block", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("first"))  # one row per block
+    sizes = blocks.select(F.lit(0).alias("_all"), "shard", "block", "n_tokens")
+    starts = prefix_sums(sizes, ["_all"], [F.col("shard"), F.col("block")], F.col("n_tokens"), "first", 0, bucket=F.col("shard")).select("shard", "block", "first")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,7 +18,7 @@ from mediasift.llm.packing import pack_documents, plan
 from mediasift.llm.queries import queries, tokenizer_path
 from mediasift.llm.sharding import external_shuffle, write_shards
 from mediasift.llm.simhash import fingerprint_batch, keep_one, leaves, link_forest, near_duplicates
-from mediasift.llm.token_files import Block, compress, token_documents
+from mediasift.llm.token_files import LEAST_COUNT, Block, compress, token_documents
 from mediasift.llm.tokens import PieceEncoder
 from tests.llm.conftest import components
 
@@ -89,6 +89,9 @@ def test_repair_round_trip_and_random_access():
         ids, back = block.all()
         assert (back == at).all() and ids.tolist() == sum(docs, [])
         assert len(payload) < 4 * at[-1]
+        parts = [block.symbols[block.starts[i] : block.starts[i + 1]].tolist() for i in range(len(docs))]
+        seen = Counter(pair for x in parts for pair in zip(x[:-1], x[1:], strict=True))
+        assert max(seen.values()) < LEAST_COUNT and block.lengths.max() > 8  # rules nest until no pair is frequent
     with pytest.raises(ValueError):
         Block(b"nope" + payload)
 
