@@ -5,16 +5,21 @@ start context opens it. Words and word pairs are known by 64-bit hashes. Each ta
 documents and sends them, sorted and counted, to the shard of their context; contexts that a sample shows to
 be frequent are split further by the second word, so that no shard grows with one word. A shard writes its
 pairs and contexts as sorted hash arrays to a file in the shared folder; counts of words and of the contexts
-before them (continuation counts) meet by word and become files as well. Scoring tasks map these files into
-memory and look up the sorted distinct pairs and words of a batch of documents. The model covers all
-training text: nothing is pruned. Where the shared folder is not a mounted file system, the files are read
-one at a time instead of mapped.
+before them (continuation counts) meet by word and become files as well. The model covers all training text:
+nothing is pruned.
+
+Scoring reads each file once, however many documents there are: a batch of documents sends its distinct pairs,
+contexts and words to the shards that hold them; a task maps the file of a shard into memory (reads it where the
+shared folder is not a mounted file system) and answers the batches one after the other; the answers of a batch become
+a file, and a second pass over the documents adds them up. So what is moved grows with the documents, not with
+documents times model.
 
 p(w|h) = max(c(hw)-D(c(hw)), 0)/c(h) + g(h) p(w);  p(w) = max(n(w)-D'(n(w)), 0)/n + g' / (V+1), where n(w)
 is the number of contexts before w; D and D' are the three modified discounts from counts of counts.
 
 Edge cases: null and empty texts hold the end token only; repeated rows count as often as they occur; without
 training text every token has probability 1/(V+1) = 1; an empty table gives no rows; other columns are ignored.
+Documents to score should be a scan or a written table: they are read twice and must come in the same order.
 """
 
 from __future__ import annotations
@@ -35,10 +40,13 @@ from mediasift.llm.common import discard, materialise, scratch, worker_cache
 SHARD_BYTES = 16 << 20
 FLUSH_TOKENS, CACHE_WORDS = 2_000_000, 500_000
 HOT_SAMPLE, HOT_BYTES, HOT_WORDS, HOT_SPLIT = 500, 4000, 1024, 64
+#: Counts of pairs are stored in a byte; those from here on apart.
+OFTEN = 255
 START = np.uint64(0x5354415254)
 END = np.uint64(0x454E44)
 
-COUNTS = "kind int, shard int, a binary, b binary, c binary"
+COUNTS = "shard int, context binary, n binary, word binary, c binary"
+QUESTIONS = "batch string, mark long, shard int, a binary, b binary"
 PARTS = "kind int, shard int, a binary, b binary, c binary, stats array<bigint>"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
@@ -98,6 +106,8 @@ class Plan:
     """How pairs are dealt to shards."""
 
     shards: int
+    flush: int = FLUSH_TOKENS
+    often: int = OFTEN
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def shard(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -133,17 +143,21 @@ def _count(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
         _, h, w, c = _sum_pairs(h, w, np.ones(len(h), np.int64))
         shard = plan.shard(h, w)
         order = np.lexsort((h, shard))
-        shard, h, w, c = shard[order], h[order], w[order], c[order]
+        shard, h, w, c = shard[order], h[order], w[order], c[order].astype("<u4")
         first, bounds = _groups(shard)
-        rows = [(0, int(shard[i]), h[i:j].tobytes(), w[i:j].tobytes(), c[i:j].astype("<u4").tobytes()) for i, j in zip(first, bounds[1:], strict=True)]
-        return pa.RecordBatch.from_pylist([dict(zip(("kind", "shard", "a", "b", "c"), r, strict=True)) for r in rows], pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]))
+        out: dict[str, list] = {k: [] for k in ("shard", "context", "n", "word", "c")}
+        for i, j in zip(first.tolist(), bounds[1:].tolist(), strict=True):
+            at, ends = _groups(h[i:j])
+            for k, v in zip(out, (int(shard[i]), h[i:j][at].tobytes(), np.diff(ends).astype("<u4").tobytes(), w[i:j].tobytes(), c[i:j].tobytes()), strict=True):
+                out[k].append(v)
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k != "shard" else pa.int32()) for k, v in out.items()], list(out))
 
     for b in batches:
         for i in range(0, b.num_rows, 500):
             tokens, sizes = Words.read(b.column(0).slice(i, 500).to_pylist())
             held.append((_contexts(tokens, sizes), tokens))
             n += len(tokens)
-            if n >= FLUSH_TOKENS:
+            if n >= plan.flush:
                 yield flush()
                 held, n = [], 0
     if held:
@@ -154,6 +168,25 @@ def _blobs(column: pd.Series, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in column])
 
 
+def _width(a: np.ndarray) -> int:
+    """The fewest bytes that hold every number of a."""
+    return next(w for w in (1, 2, 4, 8) if w == 8 or not len(a) or a.max() < 1 << 8 * w)
+
+
+def _slim(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers, each after its width and length."""
+    return b"".join(np.array([w := _width(c), len(c)], "<u4").tobytes() + c.astype(f"<u{w}").tobytes() for c in columns)
+
+
+def _unslim(raw: bytes) -> list[np.ndarray]:
+    at, out = 0, []
+    while at < len(raw):
+        width, n = np.frombuffer(raw, "<u4", 2, at).tolist()
+        out.append(np.frombuffer(raw, f"<u{width}", n, at + 8).astype(np.int64))
+        at += 8 + width * n
+    return out
+
+
 def _store(root: str, name: str, arrays: list[np.ndarray]) -> None:
     """Write arrays to one file, first under a name of this attempt, so that a lost task leaves no half file."""
     from pyarrow.fs import FileSystem
@@ -161,7 +194,7 @@ def _store(root: str, name: str, arrays: list[np.ndarray]) -> None:
     fs, path = FileSystem.from_uri(root)
     fs.create_dir(path, recursive=True)
     draft = f"{path}/.{name}-{uuid.uuid4().hex}"
-    kept = [np.ascontiguousarray(a, "<u4" if k and (not len(a) or a.max() < 1 << 32) else "<u8") for k, a in enumerate(arrays)]
+    kept = [np.ascontiguousarray(a, f"<u{_width(a)}") for a in arrays]
     with fs.open_output_stream(draft) as out:
         out.write(np.array([len(kept), *[x for a in kept for x in (len(a), a.itemsize)]], "<i8").tobytes())
         for a in kept:
@@ -197,12 +230,13 @@ def _load(root: str, name: str) -> list[np.ndarray] | None:
 def _shard_pairs(frame: pd.DataFrame, plan: Plan, root: str) -> pd.DataFrame:
     """Write a shard's pairs and contexts; return its words for the word shards, its counts of counts, and its parts of split contexts."""
     shard = int(frame["shard"].iloc[0])
-    key, h, w, c = _sum_pairs(_blobs(frame.a, "<u8"), _blobs(frame.b, "<u8"), _blobs(frame.c, "<u4").astype(np.int64))
+    key, h, w, c = _sum_pairs(np.repeat(_blobs(frame.context, "<u8"), _blobs(frame.n, "<u4")), _blobs(frame.word, "<u8"), _blobs(frame.c, "<u4").astype(np.int64))
     order = np.argsort(h, kind="stable")
     first, bounds = _groups(h[order])
     context, sorted_c = h[order][first], c[order]
     stats = [np.add.reduceat(x, first) for x in (sorted_c, (sorted_c == 1).astype(np.int64), (sorted_c == 2).astype(np.int64), (sorted_c > 2).astype(np.int64))]
-    _store(root, f"pairs-{shard}", [key, c])
+    often = np.flatnonzero(c >= plan.often)
+    _store(root, f"pairs-{shard}", [key, np.minimum(c, plan.often), often, c[often]])
     hot = np.isin(context, plan.hot)
     _store(root, f"contexts-{shard}", [context[~hot], *[s[~hot] for s in stats]])
     out = [(1, shard, b"", b"", b"", [int((c == k).sum()) for k in range(1, 5)])]
@@ -236,6 +270,97 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]).clip([0, 0.05, 0.1, 0.15], [0, 1, 2, 3])
 
 
+class Batch:
+    """The distinct words, pairs and contexts of a batch of documents, each in the order of (shard, hash)."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, plan: Plan):
+        self.tokens, self.sizes = tokens, sizes
+        h = _contexts(tokens, sizes)
+        keys, first, self.pair_of = np.unique(pair_keys(h, tokens), return_index=True, return_inverse=True)
+        self.of_pairs = (keys, h[first], tokens[first])
+        self.words, self.word_of = np.unique(tokens, return_inverse=True)
+        self.contexts, self.context_of = np.unique(h[first], return_inverse=True)
+        shards = plan.shard(*self.of_pairs[1:]), plan.shard(self.contexts, np.zeros(len(self.contexts), np.uint64)), plan.word_shard(self.words)
+        self.order = [np.lexsort((k, s)) for k, s in zip((keys, self.contexts, self.words), shards, strict=True)]
+        self.shards = [s[o] for s, o in zip(shards, self.order, strict=True)]
+        self.hashes = [k[o] for k, o in zip((keys, self.contexts, self.words), self.order, strict=True)]
+        self.shift = plan.shards
+
+    def questions(self) -> list[tuple[int, bytes, bytes]]:
+        """(shard, pairs, contexts) and, for word shards, (shards + shard, words, nothing)."""
+        cut = lambda k, lo, hi: self.hashes[k][lo:hi].tobytes()
+        (p0, p1), (c0, c1) = ([np.searchsorted(self.shards[k], np.arange(self.shift), side) for side in ("left", "right")] for k in (0, 1))
+        out = [(s, cut(0, p0[s], p1[s]), cut(1, c0[s], c1[s])) for s in np.flatnonzero((p1 > p0) | (c1 > c0)).tolist()]
+        first, bounds = _groups(self.shards[2])
+        return out + [(self.shift + int(self.shards[2][i]), cut(2, i, j), b"") for i, j in zip(first.tolist(), bounds[1:].tolist(), strict=True)]
+
+    def mark(self, ids: list) -> int:
+        """A checksum by which the second pass knows that it sees the documents of the first."""
+        import zlib
+
+        return zlib.crc32(repr(ids).encode(), zlib.crc32(self.sizes.tobytes()))
+
+    def placed(self, k: int, answers: np.ndarray) -> np.ndarray:
+        """Answers in the order of the questions, back in the order of the hashes."""
+        out = np.empty(len(answers), np.int64)
+        out[self.order[k]] = answers
+        return out
+
+
+def _answer(batches: Iterator[pa.RecordBatch], root: str, plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Rows of QUESTIONS, sorted by shard, with counts in place of hashes."""
+    opened: tuple[int, list] = (-1, [])
+    shards, often = plan.shards, plan.often
+
+    def find(file: list[np.ndarray] | None, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        want = np.frombuffer(raw, "<u8")
+        if file is None or not len(file[0]):
+            return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+        at = np.minimum(np.searchsorted(file[0], want), len(file[0]) - 1)
+        return at, file[0][at] == want
+
+    def read(column: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.int64)
+        out[hit] = column[at[hit]]
+        return out
+
+    def columns(file: list[np.ndarray] | None, raw: bytes, n: int) -> bytes:
+        at, hit = find(file, raw)
+        return _slim([read(c, at, hit) for c in file[1 : n + 1]] if file else [np.zeros(len(at), np.int64)] * n)
+
+    for b in batches:
+        for i in range(b.num_rows):
+            batch, mark, shard, x, y = (c[i].as_py() for c in b.columns)
+            if opened[0] != shard:
+                names = ("pairs", "contexts") if shard < shards else ("words",)
+                opened = (shard, [_load(root, f"{n}-{shard % shards}") for n in names])
+            if shard >= shards:
+                a, c = columns(opened[1][0], x, 2), b""
+            else:
+                pairs, contexts = opened[1]
+                at, hit = find(pairs, x)
+                n = read(pairs[1], at, hit) if pairs else np.zeros(len(at), np.int64)
+                high = np.flatnonzero(n == often)
+                if len(high):
+                    n[high] = pairs[3][np.searchsorted(pairs[2], at[high])]
+                a, c = _slim([n]), columns(contexts, y, 4)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((batch, mark, shard, a, c), (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["batch", "mark", "shard", "a", "b"])
+
+
+def _keep_answers(frame: pd.DataFrame, root: str, shards: int) -> pd.DataFrame:
+    """Write the answers to a batch to its file: mark, counts of pairs, four numbers a context, two a word."""
+    frame = frame.sort_values("shard")
+    of_pairs, of_words = frame[frame.shard < shards], frame[frame.shard >= shards]
+
+    def split(column: pd.Series, n: int) -> list[np.ndarray]:
+        return list(np.concatenate([np.zeros((n, 0), np.int64), *(np.stack(_unslim(x)) for x in column)], axis=1))
+
+    (counts,) = split(of_pairs.a, 1)
+    name = str(frame.batch.iloc[0])
+    _store(root, name, [np.array([frame.mark.iloc[0]], np.int64), counts, *split(of_pairs.b, 4), *split(of_words.a, 2)])
+    return pd.DataFrame({"batch": [name], "pairs": [len(counts)]})
+
+
 @dataclass
 class Model:
     """Where the files are, and the totals (a few numbers; split contexts: at most HOT_WORDS)."""
@@ -250,55 +375,26 @@ class Model:
     word_rest: float
     hot_stats: np.ndarray
 
-    def score(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known tokens, base score, score) of each document."""
-        h = _contexts(tokens, sizes)
-        word, at = np.unique(tokens, return_inverse=True)
-        before, times = self._words(word)
+    def score(self, batch: Batch, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known tokens, base score, score) of each document, from the answers to the batch's questions."""
+        c, (total, k1, k2, k3), (before, times) = batch.placed(0, answers[0]), (batch.placed(1, x) for x in answers[1:5]), (batch.placed(2, x) for x in answers[5:7])
+        if len(self.plan.hot):
+            i = np.minimum(np.searchsorted(self.plan.hot, batch.contexts), len(self.plan.hot) - 1)
+            hot = self.plan.hot[i] == batch.contexts
+            for k, column in enumerate((total, k1, k2, k3)):
+                column[hot] = self.hot_stats[i[hot], k]
         p1 = np.maximum(before - self.word_discounts[np.minimum(before, 3)], 0) / max(self.contexts, 1) + self.word_rest / (self.vocabulary + 1)
         base = np.log10((times + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
-        key = pair_keys(h, tokens)
-        keys, first, back = np.unique(key, return_index=True, return_inverse=True)
-        ph, pw = h[first], tokens[first]
-        c = self._pairs(keys, ph, pw)
-        context, where = np.unique(ph, return_inverse=True)
-        total, k1, k2, k3 = self._contexts_of(context)
-        seen = total > 0
         some = np.maximum(total, 1)
-        rest = np.where(seen, (self.pair_discounts[1] * k1 + self.pair_discounts[2] * k2 + self.pair_discounts[3] * k3) / some, 1.0)
-        p = np.maximum(c - self.pair_discounts[np.minimum(c, 3)], 0) / some[where] + rest[where] * p1[at][first]
-        begins = np.cumsum(sizes) - sizes
-        return np.add.reduceat((times[at] > 0).astype(np.int64), begins), np.add.reduceat(base[at], begins), np.add.reduceat(np.log10(p)[back], begins)
-
-    def _find(self, name: str, shard: np.ndarray, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-        out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
-        order = np.lexsort((keys, shard))
-        first, bounds = _groups(shard[order])
-        for i, j in zip(first, bounds[1:], strict=True):
-            file = _load(self.root, f"{name}-{int(shard[order[i]])}")
-            if file is None or not len(file[0]):
-                continue
-            want = keys[order[i:j]]
-            place = np.minimum(np.searchsorted(file[0], want), len(file[0]) - 1)
-            hit = file[0][place] == want
-            for o, column in zip(out, file[1:], strict=True):
-                o[order[i:j][hit]] = column[place[hit]].astype(np.int64)
-        return out
+        rest = np.where(total > 0, (self.pair_discounts[1] * k1 + self.pair_discounts[2] * k2 + self.pair_discounts[3] * k3) / some, 1.0)
+        word = np.searchsorted(batch.words, batch.of_pairs[2])
+        p = np.maximum(c - self.pair_discounts[np.minimum(c, 3)], 0) / some[batch.context_of] + rest[batch.context_of] * p1[word]
+        begins = np.cumsum(batch.sizes) - batch.sizes
+        return np.add.reduceat((times > 0).astype(np.int64)[batch.word_of], begins), np.add.reduceat(base[batch.word_of], begins), np.add.reduceat(np.log10(p)[batch.pair_of], begins)
 
-    def _words(self, word: np.ndarray) -> list[np.ndarray]:
-        return self._find("words", self.plan.word_shard(word), word, 2)
-
-    def _pairs(self, keys: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return self._find("pairs", self.plan.shard(h, w), keys, 1)[0]
-
-    def _contexts_of(self, context: np.ndarray) -> list[np.ndarray]:
-        out = self._find("contexts", self.plan.shard(context, np.zeros(len(context), np.uint64)), context, 4)
-        if len(self.plan.hot):
-            i = np.minimum(np.searchsorted(self.plan.hot, context), len(self.plan.hot) - 1)
-            hot = self.plan.hot[i] == context
-            for k in range(4):
-                out[k][hot] = self.hot_stats[i[hot], k]
-        return out
+    def remove(self, docs: DataFrame) -> None:
+        """Delete the model's files."""
+        discard(self.root, docs.sparkSession)
 
 
 def fit(docs: DataFrame, learn: Column | None = None) -> Model:
@@ -307,7 +403,7 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Model:
     text = docs["text"].cast("string")
     chosen = docs if learn is None else docs.filter(learn)
     size = chosen.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    plan = Plan(max(4, -(-size // SHARD_BYTES)))
+    plan = Plan(max(4, -(-size // SHARD_BYTES)), FLUSH_TOKENS, OFTEN)
     # Which contexts to split is a matter of balance only; a bounded sample of short texts tells.
     short = chosen.filter(F.octet_length(text) <= HOT_BYTES).select(F.xxhash64(text).alias("h"), text.alias("t"))
     last = short.select("h").orderBy("h").limit(HOT_SAMPLE).agg(F.max("h")).first()[0]  # tasks send hashes, not texts
@@ -334,28 +430,52 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Model:
     return Model(root, plan, v, n, contexts, discounts(*[int(x or 0) for x in of_pairs]), d, rest, hot_stats)
 
 
+def _batches(rows: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[tuple[str, list, Batch]]:
+    """(name, doc_ids, batch) of the rows (doc_id, text) of a task; names follow from its partition."""
+    from pyspark import TaskContext
+
+    part, ids, tokens, sizes, n, number = TaskContext.get().partitionId(), [], [], [], 0, 0
+    for b in rows:
+        for i in range(0, b.num_rows, 500):
+            some = b.slice(i, 500)
+            got, size = Words.read(some.column(1).to_pylist())
+            ids += some.column(0).to_pylist()
+            tokens.append(got)
+            sizes.append(size)
+            n += len(got)
+            if n >= plan.flush:
+                yield f"batch-{part}-{number}", ids, Batch(np.concatenate(tokens), np.concatenate(sizes), plan)
+                ids, tokens, sizes, n, number = [], [], [], 0, number + 1
+    if ids:
+        yield f"batch-{part}-{number}", ids, Batch(np.concatenate(tokens), np.concatenate(sizes), plan)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score (add-half unigram) and score (the model), both log10, of every document."""
+    """doc_id, n_tokens, n_known, base_score (add-half unigram) and score (the model), both log10, of every document.
+
+    The result is a written table.
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    plan, root, folder = model.plan, model.root, scratch(docs.sparkSession, "lm-answers")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, ids, batch in _batches(batches, plan):
+            asked, mark = batch.questions(), batch.mark(ids)
+            columns = [pa.array([name] * len(asked)), pa.array([mark] * len(asked), pa.int64()), pa.array([q[0] for q in asked], pa.int32()), *(pa.array([q[k] for q in asked], pa.binary()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, ["batch", "mark", "shard", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids: list[pa.Array], tokens: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
-            size = np.concatenate(sizes)
-            known, base, own = model.score(np.concatenate(tokens), size)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(size), pa.array(known), pa.array(base), pa.array(own)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-        ids, tokens, sizes, n = [], [], [], 0
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                got, size = Words.read(part.column(1).to_pylist())
-                ids.append(part.column(0))
-                tokens.append(got)
-                sizes.append(size)
-                n += len(got)
-                if n >= FLUSH_TOKENS:
-                    yield out(ids, tokens, sizes)
-                    ids, tokens, sizes, n = [], [], [], 0
-        if ids:
-            yield out(ids, tokens, sizes)
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCORES)
+        for name, ids, batch in _batches(batches, plan):
+            mark, *answers = [x.astype(np.int64) for x in _load(folder, name) or [np.zeros(1)]]
+            if int(mark[0]) != batch.mark(ids):
+                raise RuntimeError("documents came in another order the second time; write them to a table first")
+            known, base, own = model.score(batch, answers)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(batch.sizes), pa.array(known), pa.array(base), pa.array(own)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    asked = rows.mapInArrow(ask, QUESTIONS).repartition("shard").sortWithinPartitions("shard")
+    answered = asked.mapInArrow(lambda b: _answer(b, root, plan), QUESTIONS)
+    kept = answered.groupBy("batch").applyInPandas(lambda f: _keep_answers(f, folder, plan.shards), "batch string, pairs long")
+    kept.agg(F.sum("pairs")).collect()
+    scored = materialise(rows.mapInArrow(run, SCORES), "lm-scores")
+    discard(folder, docs.sparkSession)
+    return scored

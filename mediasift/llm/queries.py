@@ -79,6 +79,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder(5) == 1, F.lit(False))
     model = lm_score.fit(docs, ~held_out)
     found = lm_score.score(docs, model)
+    model.remove(docs)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -273,6 +273,7 @@ def test_shards_follow_from_seed_and_rows_alone(spark, monkeypatch):
 
 def test_lm_scoring(spark, odd_docs, odd_rows, no_docs, monkeypatch):
     monkeypatch.setattr("mediasift.llm.lm_score.FLUSH_TOKENS", 500)
+    monkeypatch.setattr("mediasift.llm.lm_score.OFTEN", 3)
     learn = F.coalesce(F.col("doc_id") % 3 != 1, F.lit(True))
     model = lm_score.fit(odd_docs, learn)
     got = lm_score.score(odd_docs, model).toPandas()
