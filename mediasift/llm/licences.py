@@ -15,6 +15,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,19 +48,18 @@ class Automaton:
     def __init__(self, sequences: list[list[int]], phrases: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # sequence → position of the last word of its first occurrence
-        for number, sequence in enumerate([*sequences, *phrases]):
+        self.ends: list[dict[int, list[int]]] = [{}]  # sequence → positions of the last word of each occurrence
+        for sequence in [*sequences, *phrases]:
             last = 0
             for word in sequence:
                 last = self._extend(last, word)
+        for number, sequence in enumerate(sequences):
             state = 0
-            if number < len(sequences):
-                for at, word in enumerate(sequence):
-                    state = self.next[state][word]
-                    s = state
-                    while s > 0 and number not in self.ends[s]:
-                        self.ends[s][number] = at
-                        s = self.link[s]
+            for at, word in enumerate(sequence):
+                state = s = self.next[state][word]
+                while s > 0:
+                    self.ends[s].setdefault(number, []).append(at)
+                    s = self.link[s]
         own: dict[int, list[tuple[int, int]]] = {}
         for number, phrase in enumerate(phrases):
             state = 0
@@ -74,15 +74,15 @@ class Automaton:
                 s = self.link[s]
             self.phrases.append(found)
 
-    def _state(self, size: int, moves: dict[int, int], link: int, ends: dict[int, int]) -> int:
+    def _state(self, size: int, moves: dict[int, int], link: int) -> int:
         self.next.append(moves)
         self.size.append(size)
         self.link.append(link)
-        self.ends.append(ends)
+        self.ends.append({})
         return len(self.next) - 1
 
     def _split(self, p: int, q: int, word: int) -> int:
-        copy = self._state(self.size[p] + 1, dict(self.next[q]), self.link[q], dict(self.ends[q]))
+        copy = self._state(self.size[p] + 1, dict(self.next[q]), self.link[q])
         self.link[q] = copy
         while p >= 0 and self.next[p].get(word) == q:
             self.next[p][word] = copy
@@ -93,7 +93,7 @@ class Automaton:
         q = self.next[last].get(word)
         if q is not None:  # the prefix read so far has been met in another sequence
             return q if self.size[q] == self.size[last] + 1 else self._split(last, q, word)
-        new, p = self._state(self.size[last] + 1, {}, 0, {}), last
+        new, p = self._state(self.size[last] + 1, {}, 0), last
         while p >= 0 and word not in self.next[p]:
             self.next[p][word] = new
             p = self.link[p]
@@ -170,38 +170,36 @@ class Scanner:
                 matches.append((first + i - length + 1, length, state))
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of maximal matches, in document order, that cover enough of a template."""
-        chains: dict[int, list[tuple[int, int, int]]] = {}
-        told: set[int] = set()
+        """Chains of maximal matches, in document order, that cover enough of a template.
+
+        Matches are (first word, words, state). A chain goes on with the next match that begins at most max_gap words
+        after its end, at the earliest place in the template after its own; words that two matches share count once.
+        """
+        chains: dict[int, tuple[int, int, int, int, bool]] = {}  # template → first word, word after, place after, words covered, told
         spans = []
 
         def close(template: int) -> None:
-            chain = chains.pop(template)
-            share = min(1.0, sum(size for _, size, _ in chain) / self.lengths[template])
-            if share >= self.least_share and template in told:
-                spans.append((self.labels[template], chain[0][0], chain[-1][0] + chain[-1][1] - 1, share))
-            told.discard(template)
+            first, after, _, covered, told = chains.pop(template)
+            share = covered / self.lengths[template]
+            if share >= self.least_share and told:
+                spans.append((self.labels[template], first, after - 1, share))
 
         for start, size, state in matches:
-            for template, end in self.automaton.ends[state].items():
-                chain = chains.get(template)
-                if chain:
-                    last = chain[-1]
-                    after = last[0] + last[1]
-                    if start - after > self.max_gap or end - size + 1 < last[2] + 1:
-                        close(template)
-                        chain = None
-                if self.telling[state]:
-                    told.add(template)
-                if chain:
-                    if start < after:  # matches may overlap: count words once
-                        cut = after - start
-                        if size - cut > 0:
-                            chain.append((after, size - cut, end))
-                        continue
-                    chain.append((start, size, end))
+            for template, ends in self.automaton.ends[state].items():
+                fresh = (start, start + size, ends[0] + 1, size, self.telling[state])
+                if template not in chains:
+                    chains[template] = fresh
+                    continue
+                first, after, place, covered, told = chains[template]
+                shared = max(0, after - start)
+                i = bisect_left(ends, place + size - shared - 1)
+                if shared >= size:
+                    continue
+                if start - after > self.max_gap or i == len(ends):
+                    close(template)
+                    chains[template] = fresh
                 else:
-                    chains[template] = [(start, size, end)]
+                    chains[template] = (first, start + size, ends[i] + 1, covered + size - shared, told or self.telling[state])
         for template in list(chains):
             close(template)
         return sorted(spans, key=lambda s: (s[1], s[2], s[0]))

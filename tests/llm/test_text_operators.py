@@ -358,5 +358,53 @@ def test_generic_openings_carry_no_label():
     assert [{s[0] for s in spans} for _, spans in found] == list(cases.values())
 
 
+def brute_spans(scanner, doc):
+    """Chains by the definition, from maximal matches found by comparing word lists."""
+    texts = [words(x) for v in TEMPLATES.values() for x in v]
+    places = lambda part, t: [i for i in range(len(t) - len(part) + 1) if t[i : i + len(part)] == part]
+    spoken = texts + [words(p) for p in PHRASES]
+    longest = [next((n for n in range(min(i + 1, 400), 0, -1) if any(places(doc[i + 1 - n : i + 1], t) for t in spoken)), 0) for i in range(len(doc))]
+    spans = []
+    for k, t in enumerate(texts):
+        chain = None
+        for i, n in enumerate(longest):
+            if n < 5 or (i + 1 < len(doc) and longest[i + 1] == n + 1):
+                continue
+            part, start = doc[i + 1 - n : i + 1], i + 1 - n
+            if not (at := places(part, t)):
+                continue
+            told = len({scanner.labels[j] for j, x in enumerate(texts) if places(part, x)}) == 1
+            later = [x for x in at if chain and x + max(0, chain[1] - start) >= chain[2]]
+            if chain and chain[1] - start >= n:
+                continue
+            if chain and start - chain[1] <= 8 and later:
+                chain = [chain[0], i + 1, later[0] + n, chain[3] + n - max(0, chain[1] - start), chain[4] or told]
+                continue
+            spans += [(k, *chain)] if chain else []
+            chain = [start, i + 1, at[0] + n, n, told]
+        spans += [(k, *chain)] if chain else []
+    return sorted((scanner.labels[k], first, after - 1, round(covered / len(texts[k]), 9)) for k, first, after, _, covered, told in spans if told and covered / len(texts[k]) >= 0.5)
+
+
+def test_spans_against_brute_force():
+    scanner, rng = Scanner(), np.random.default_rng(12)
+    texts = [words(x) for v in TEMPLATES.values() for x in v]
+    docs = []
+    for _ in range(25):
+        doc = []
+        for t in (texts[i] for i in rng.integers(0, len(texts), 2)):
+            t = list(t)
+            for i in np.flatnonzero(rng.random(len(t)) < rng.choice([0, 0.03, 0.1])):
+                t[i] = b"changed"
+            doc += t[int(rng.integers(0, 4)) :] + [b"x"] * int(rng.integers(0, 12))
+        docs.append(doc)
+    bsd = list(words(TEMPLATES["bsd"][0]))
+    bsd[8::9] = [b"changed"] * len(bsd[8::9])
+    docs.append(bsd)  # repeats itself: a chain must find its later places
+    found = [spans for _, spans in scanner.scan_batch(docs)]
+    assert [sorted((a, b, c, round(d, 9)) for a, b, c, d in spans) for spans in found] == [brute_spans(scanner, d) for d in docs]
+    assert found[-1][0][0] == "bsd" and found[-1][0][3] > 0.85
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
