@@ -5,9 +5,12 @@ language with at most SAMPLE_CHARS characters, picked by a hash of the document
 texts are used). A language with fewer such documents is also learned from longer ones, cut to SAMPLE_CHARS. A model reads the letters of lower-cased words, with a start and an end mark to each word,
 in orders 1 to ORDER; its n-grams and contexts are sorted arrays of 64-bit hashes. A text is assigned to the
 language with the lowest cross-entropy per character; because words are independent, each distinct word is
-scored once. One sampled document in five is held back to calibrate rejection: a text is rejected if it has
-no letter, or, from REJECT_CHARS characters on, if its cross-entropy lies above what such documents have by
-more than REJECT_Z deviations and REJECT_BITS bits a character (text of no learned language, key mashing).
+scored once. One sampled document in five is held back to calibrate rejection, twice: against its own language,
+and with that language left out, as text of a language that was never learned. A text is rejected if it has no
+letter, or, from REJECT_CHARS characters on, if its cross-entropy lies above the median of its language by more than
+halfway from the highest of held-back texts of the language to the median of left-out ones that go to it (at least
+REJECT_Z deviations; with one language alone there is nothing to leave out, and REJECT_BITS bits a character count).
+Short texts get a wider margin, as held-back ones do.
 
 Edge cases: null text, or text without a letter: `und`, score 0, rejected; ties go to the first language in
 alphabetical order; rows without lang are predicted but never learned from; without any labelled row every
@@ -33,6 +36,8 @@ from mediasift.llm.common import worker_cache
 ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, HELD_EVERY = 600, 10_000, 5
 REJECT_Z, REJECT_BITS, REJECT_CHARS = 8.0, 4.0, 20
+#: The sample is drawn among the rows of the lowest hashes, so many times as many as it takes.
+DRAW_FROM = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
 ALPHABET = 1024
@@ -130,7 +135,7 @@ def _count(keys: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 @dataclass
 class Identifier:
-    """Models by language with what calibration found: the median and (robust) deviation of the cross-entropy of each."""
+    """Models by language with what calibration found: the median of the cross-entropy of each, and the margin above it."""
 
     languages: list[str]
     models: list[Model]
@@ -186,12 +191,42 @@ class WordScores(dict):
         return entropy, posterior / posterior.sum(axis=1, keepdims=True), chars
 
 
+def length_factor(chars: np.ndarray) -> np.ndarray:
+    """How much wider the margin of a text of so many characters is."""
+    return np.sqrt(1 + 20 / np.maximum(chars, 1))
+
+
+def calibrate(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, float]]:
+    """(median, margin) of each language from (cross-entropies by language, characters) of its held-back texts."""
+    long = [(e[c >= REJECT_CHARS], c[c >= REJECT_CHARS]) for e, c in held]
+    out = []
+    for k, (entropy, chars) in enumerate(long):
+        if not len(chars):
+            out.append((0.0, float("inf")))
+            continue
+        own = entropy[:, k]
+        middle = float(np.median(own))
+        least = REJECT_Z * max(0.05, 1.4826 * float(np.median(np.abs(own - middle))))
+        top = float(((own - middle) / length_factor(chars)).max())
+        foreign = []
+        for j, (e, c) in enumerate(long):
+            if j != k and len(c):
+                nearest = np.where(np.arange(e.shape[1]) == j, np.inf, e).argmin(axis=1) == k
+                foreign.append(((e[:, k] - middle) / length_factor(c))[nearest])
+        left_out = np.concatenate([np.zeros(0), *foreign])
+        out.append((middle, max(least, top, (top + float(np.median(left_out))) / 2 if len(left_out) else REJECT_BITS)))
+    return out
+
+
 def fit(docs: DataFrame, learn: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Identifier:
     """Learn from the rows of docs (doc_id, text, lang) where `learn` holds and lang is not null."""
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull()
     rows = docs.filter(usable if learn is None else usable & learn).select("doc_id", "text", "lang", (F.char_length("text") > sample_chars).alias("_long"))
     pick = Window.partitionBy("lang").orderBy("_long", "_h", "doc_id")
-    ids = rows.select("lang", "doc_id", "_long", F.xxhash64("doc_id", F.lit("sample")).alias("_h")).withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample_docs)
+    n = rows.groupBy("lang", "_long").agg(F.count("*").alias("_n"))  # a row or two a language
+    drawn = rows.select("lang", "doc_id", "_long", F.xxhash64("doc_id", F.lit("sample")).alias("_h")).join(F.broadcast(n), ["lang", "_long"])
+    drawn = drawn.filter((F.col("_h").cast("double") / 2.0**63 + 1) / 2 <= DRAW_FROM * sample_docs / F.col("_n"))
+    ids = drawn.withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample_docs)
     ids = ids.select(F.col("doc_id").alias("_id"), "_r")  # sample_docs rows a language
     excerpt = F.when(F.col("_long"), F.regexp_replace(F.substring("text", 1, sample_chars), r"\s\S*$", "")).otherwise(F.col("text"))  # of whole words
     sample = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id"))).select("lang", excerpt.alias("text"), "_r", "doc_id")
@@ -219,11 +254,7 @@ def fit(docs: DataFrame, learn: Column | None = None, sample_docs: int = SAMPLE_
     for m in models:
         m.alphabet = max(ALPHABET, *(x.alphabet for x in models))  # a letter that a language never showed costs the same in all
     identifier = Identifier(languages, models, [], int.from_bytes(np.random.default_rng().bytes(7), "little"))
-    for k, texts in enumerate(held):
-        entropy, _, chars = WordScores(identifier).predict(texts) if texts else (np.zeros((0, len(models))), None, np.zeros(0))
-        own = entropy[chars >= REJECT_CHARS, k]
-        middle = float(np.median(own)) if len(own) else 0.0
-        identifier.usual.append((middle, max(0.05, 1.4826 * float(np.median(np.abs(own - middle))))) if len(own) else (0.0, float("inf")))
+    identifier.usual = calibrate([WordScores(identifier).predict(texts)[::2] if texts else (np.zeros((0, len(models))), np.zeros(0)) for texts in held])
     return identifier
 
 
@@ -251,7 +282,7 @@ def identify(docs: DataFrame, identifier: Identifier, added: tuple[str, str, str
             none = chars == 0
             at = np.arange(len(best))
             usual = np.array(known.usual or [(0.0, np.inf)])
-            odd = (chars >= REJECT_CHARS) & (entropy[at, best] > usual[best, 0] + np.maximum(REJECT_BITS, REJECT_Z * usual[best, 1]) * np.sqrt(1 + 20 / np.maximum(chars, 1)))
+            odd = (chars >= REJECT_CHARS) & (entropy[at, best] > usual[best, 0] + usual[best, 1] * length_factor(chars))
             lang = ["und" if e else known.languages[k] for k, e in zip(best.tolist(), none.tolist(), strict=True)]
             score = np.where(none, 0.0, posterior[at, best])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(none | odd)], [*names, *added])

@@ -156,15 +156,54 @@ def test_language_of_long_documents_only(spark):
         assert got and all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in got)
 
 
-def test_character_model_sums_to_one():
-    model = language.train(["abc abd acd bcd dab", "cab bad"], 3)
-    model.alphabet = 6
-    total = 2.0 ** model.log2(["ab" + x for x in "abcd"])[0]
-    ends = 2.0 ** model.log2(["ab"])[0]
-    assert 0 < total.sum() < 1 and 0 < ends[0] < 1
-    # p(. | start a b) over the alphabet: letters continue, the end mark ends
-    keep, grams, contexts, highest = language._grams(["ab" + x for x in "abcd"], 3)
-    assert highest.max() == 3 and len(keep) == 16
+def brute_kneser_ney(texts, order):
+    """p(character | history) of an interpolated Kneser-Ney model, from plain counts."""
+    seqs = ["\1" + w + "\2" for t in texts for w in t.split()]
+    events = [s[max(0, p - order + 1) : p + 1] for s in seqs for p in range(1, len(s))]
+    tables = []
+    for k in range(1, order + 1):
+        count = Counter(e for e in events if len(e) == k)
+        if k < order:  # else the number of different characters before
+            count.update(g[1:] for g in {e[len(e) - k - 1 :] for e in events if len(e) > k})
+        n = Counter(count.values())
+        tables.append((count, n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5))
+
+    def p(gram, alphabet):
+        out = 1 / alphabet
+        for k, (count, d) in enumerate(tables[: len(gram)], 1):
+            g = gram[len(gram) - k :]
+            after = {x: c for x, c in count.items() if x[:-1] == g[:-1]}
+            if after:
+                out = max(count[g] - d, 0) / sum(after.values()) + d * len(after) / sum(after.values()) * out
+        return out
+
+    return p
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_character_model_is_interpolated_kneser_ney(order):
+    texts = ["abc abd acd bcd dab abc abc", "cab bad abad a b ad"]
+    model, p = language.train(texts, order), brute_kneser_ney(texts, order)
+    words = ["abc", "a", "dcba", "xab", "badabad", "bb"]
+    for alphabet in (6, 1024):
+        model.alphabet = alphabet
+        seqs = ["\1" + w + "\2" for w in words]
+        want = [sum(np.log2(p(s[max(0, i - order + 1) : i + 1], alphabet)) for i in range(1, len(s))) for s in seqs]
+        got, sizes = model.log2(words)
+        assert got.tolist() == pytest.approx(want) and sizes.tolist() == [len(w) + 1 for w in words]
+    letters = sorted(set("".join(texts)) - {" "}) + ["\2"]
+    assert sum(p(("\1ab" + x)[-order:], len(letters)) for x in letters) == pytest.approx(1)
+
+
+def test_calibrated_rejection_of_left_out_languages(spark):
+    rng = np.random.default_rng(4)
+    stems = {"aa": ["ka", "ko", "ki", "tak"], "bb": ["lu", "mel", "ul", "em"], "cc": ["zor", "raz", "oz", "ra"]}
+    rows = [(i, " ".join("".join(rng.choice(stems[lang], rng.integers(1, 4))) for _ in range(rng.integers(8, 40))), lang) for i, lang in enumerate(list(stems) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for left in stems:
+        got = language.identify(docs, language.fit(docs, F.col("lang") != left)).collect()
+        assert np.mean([r["rejected"] for r in got if r["lang"] == left]) > 0.9
+        assert not any(r["rejected"] for r in got if r["lang"] != left)
 
 
 def brute_fingerprint(text):
