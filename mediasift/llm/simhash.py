@@ -4,13 +4,15 @@ Fingerprints: texts are lower-cased in A-Z, cut into words at ASCII white space,
 words (fewer words: the whole sequence) is hashed by XXH64 with seed 42; a bit is set if it is set in over
 half of the shingle hashes. A text without words has fingerprint zero.
 
-Search: over whole 64-bit fingerprints a vantage point prunes next to nothing (distances crowd around 32).
-So the fingerprint is cut into `parts`, of which one must lie within `distance // parts` of its counterpart
-if two fingerprints lie within `distance`, and each part has a vantage-point tree of its own. Every level of
-a tree splits by the Hamming distance to its vantage point; by the triangle inequality a fingerprint can only
-meet those whose distance to each vantage point differs by that radius at most. Leaves are the shards: a
-fingerprint is stored in one leaf a tree and queried in the leaves within its radius (with parts > distance
-the radius is zero, and no leaf overlaps another). Pairs that share a leaf are compared exactly; a leaf of
+Search: over whole 64-bit fingerprints a vantage point prunes next to nothing (distances crowd around 32), so
+trees are built over parts. The bits are cut into bands; of two fingerprints within `distance`, some combination of
+bands (a part) lies within a small radius of its counterpart, and each part has a vantage-point tree of its own. Every
+level of a tree splits by the Hamming distance of the part to its vantage point; by the triangle inequality a
+fingerprint can only meet those whose distance to each vantage point differs by that radius at most. Leaves are the
+shards: a fingerprint is stored in one leaf a tree and queried in all leaves that its radius overlaps. With more
+bands than `distance` the radius of the combinations is zero, and no leaf overlaps another; with fewer, neighbouring
+leaves are queried as well. `plan_bands` takes the number of bands for which trees and pairs in leaves cost
+least: parts get wider as fingerprints get more, so that leaves stay small. Pairs that share a leaf are compared exactly; a leaf of
 many fingerprints is cut into chunks that meet pairwise in tasks of bounded size. Equal fingerprints are one
 point; of the pairs found only a spanning forest leaves a task.
 
@@ -23,6 +25,8 @@ ignored by `near_duplicates` and kept by `keep_one`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -71,37 +75,56 @@ def fingerprint_batch(texts: list[str | None], shingle: int = SHINGLE, seed: int
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprint_batch(b.column(1).to_pylist())
+            fp = fingerprint_batch(b.column(1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp long")
 
 
-def vantage_points(bits: int, levels: int) -> list[int]:
-    """Vantage points of a part: fixed pseudo-random bit patterns of its width."""
-    return [int(x) for x in np.random.default_rng(7).integers(0, 1 << min(bits, 63), levels)]
+def parts_of(distance: int, bands: int) -> tuple[list[int], int]:
+    """(bit masks of the parts, radius): fingerprints within distance lie within the radius in one of the parts."""
+    edges = [round(BITS * i / bands) for i in range(bands + 1)]
+    cuts = [(1 << high) - (1 << low) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+    whole = max(1, bands - distance)  # so many bands no differing bit falls into
+    return [sum(chosen) for chosen in combinations(cuts, whole)], 0 if bands > distance else distance // bands
+
+
+def plan_bands(points: int, distance: int) -> int:
+    """The number of bands with the fewest leaves to visit and fingerprints to meet there, if bits are evenly spread."""
+
+    def cost(bands: int) -> float:
+        return comb(bands, distance) * (1 + points / 2 ** (BITS * (bands - distance) / bands))
+
+    return min(range(distance + 1, min(distance + 5, BITS) + 1), key=cost) if distance < BITS else 1
+
+
+def vantage_points(mask: int, levels: int) -> list[int]:
+    """Vantage points of a part: fixed pseudo-random bit patterns."""
+    return [int(x) & mask for x in np.random.default_rng(7).integers(0, 1 << 63, levels, dtype=np.uint64) * np.uint64(2) + np.arange(levels, dtype=np.uint64) % np.uint64(2)]
 
 
 def _branches(near: Column, base: int):
     return lambda key: F.transform(near, lambda d: key * base + d)
 
 
-def leaves(fp: Column, parts: int, radius: int, levels: int) -> tuple[Column, Column]:
+def _signed(bits: int) -> int:
+    return bits - (1 << BITS) if bits >> (BITS - 1) else bits
+
+
+def leaves(fp: Column, masks: list[int], radius: int, levels: int) -> tuple[Column, Column]:
     """(the leaf that stores fp, the leaves it is queried in), one entry for each part; leaves are longs."""
-    width = BITS // parts
     store, probe = [], []
-    for p in range(parts):
-        bits = width if p < parts - 1 else BITS - width * p
-        value = F.shiftrightunsigned(fp, width * p).bitwiseAND(F.lit((1 << bits) - 1)) if bits < BITS else fp
+    for p, mask in enumerate(masks):
+        bits = mask.bit_count()
         keys = F.array(F.lit(p).cast("long"))
         home: Column = F.lit(p).cast("long")
-        for v in vantage_points(bits, levels):
-            d = F.bit_count(value.bitwiseXOR(F.lit(v))).cast("long")
+        for v in vantage_points(mask, levels):
+            d = F.bit_count(fp.bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(v)))).cast("long")
             home = home * (bits + 1) + d
             if radius:
                 near = F.sequence(F.greatest(d - radius, F.lit(0)), F.least(d + radius, F.lit(bits)))
@@ -164,11 +187,10 @@ def _links_in_leaves(batches: Iterator[pa.RecordBatch], distance: int) -> Iterat
         yield links(held)
 
 
-def link_forest(points: DataFrame, distance: int = DISTANCE, parts: int | None = None, levels: int = LEVELS) -> DataFrame:
-    """Edges (u, v) between `rep`s of points (fp, rep) that span all links at `distance` or fewer bits."""
-    parts = parts or distance + 1
-    radius = distance // parts
-    store, probe = leaves(F.col("fp"), parts, radius, levels)
+def link_forest(points: DataFrame, distance: int = DISTANCE, bands: int | None = None, levels: int = LEVELS) -> DataFrame:
+    """Edges (u, v) between `rep`s of points (fp, rep) that span all links at `distance` or fewer bits. points should be a written table."""
+    masks, radius = parts_of(distance, bands or plan_bands(points.count(), distance))
+    store, probe = leaves(F.col("fp"), masks, radius, levels)
     points = points.filter("rep is not null")
     placed = points.select(F.explode(store).alias("leaf"), "fp", "rep")
     counts = placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF_ROWS)
@@ -185,6 +207,23 @@ def link_forest(points: DataFrame, distance: int = DISTANCE, parts: int | None =
     return met.mapInArrow(lambda batches: _links_in_leaves(batches, distance), "u long, v long")
 
 
+def candidate_pairs(docs: DataFrame, shingle: int, distance: int = DISTANCE) -> DataFrame:
+    """(u, v): documents (doc_id not null) whose fingerprints link; enough pairs to span nearly all groups, none of them a hub."""
+    rows = materialise(fingerprints(docs, shingle).filter("doc_id is not null"), "fingerprints")
+    points = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fp, last = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            fp, ids = np.append(fp, b.column(0).to_numpy()), np.append(last, b.column(1).to_numpy())
+            same = np.flatnonzero((fp[1:] == fp[:-1]) & (ids[1:] != ids[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[same]), pa.array(ids[same + 1])], ["u", "v"])
+            fp, last = fp[-1:], ids[-1:]
+
+    sorted_ = rows.select("fp", "doc_id").repartitionByRange("fp", "doc_id").sortWithinPartitions("fp", "doc_id")
+    return link_forest(points, distance).unionByName(sorted_.mapInArrow(neighbours, "u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id: one row per document."""
     rows = materialise(fingerprints(docs), "fingerprints")

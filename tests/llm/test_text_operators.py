@@ -17,7 +17,7 @@ from mediasift.llm.licences import Scanner, scan_licences, words
 from mediasift.llm.packing import pack_documents, plan
 from mediasift.llm.queries import queries, tokenizer_path
 from mediasift.llm.sharding import external_shuffle, write_shards
-from mediasift.llm.simhash import fingerprint_batch, keep_one, leaves, link_forest, near_duplicates
+from mediasift.llm.simhash import fingerprint_batch, keep_one, leaves, link_forest, near_duplicates, parts_of, plan_bands
 from mediasift.llm.token_files import LEAST_COUNT, Block, compress, token_documents
 from mediasift.llm.tokens import PieceEncoder
 from tests.llm.conftest import components
@@ -232,23 +232,27 @@ def test_simhash(spark, odd_docs, odd_rows, no_docs):
     assert near_duplicates(no_docs).count() == keep_one(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("distance,parts,levels", [(3, 4, 10), (3, 2, 3), (5, 2, 2), (2, 1, 2)])
-def test_link_forest_finds_every_component(spark, monkeypatch, distance, parts, levels):
+@pytest.mark.parametrize("distance,bands,levels", [(3, 4, 10), (3, 5, 10), (3, 7, 10), (3, 2, 3), (5, 2, 2), (2, 1, 2)])
+def test_link_forest_finds_every_component(spark, monkeypatch, distance, bands, levels):
     monkeypatch.setattr("mediasift.llm.simhash.LEAF_ROWS", 8)  # many chunks
     rng = np.random.default_rng(6)
     centres = rng.integers(0, 1 << 63, 30)
     fps = np.unique([int(c) ^ sum(1 << int(b) for b in rng.integers(0, 63, rng.integers(0, 5))) for c in centres for _ in range(6)])
     points = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps)], "fp bigint, rep bigint")
-    edges = [(r["u"], r["v"]) for r in link_forest(points, distance, parts, levels).collect()]
+    edges = [(r["u"], r["v"]) for r in link_forest(points, distance, bands, levels).collect()]
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= distance]
     assert all((int(fps[a]) ^ int(fps[b])).bit_count() <= distance for a, b in edges)
     assert components(len(fps), edges) == components(len(fps), pairs)
 
 
-def test_leaves_of_zero_radius_are_the_home_leaf(spark):
-    store, probe = leaves(F.lit(-1).cast("bigint"), 4, 0, 10)
+def test_parts_and_leaves(spark):
+    masks, radius = parts_of(3, 5)
+    assert radius == 0 and len(masks) == 10 and all(25 <= m.bit_count() <= 26 for m in masks)
+    assert parts_of(3, 2)[1] == 1 and parts_of(3, 1) == ([(1 << 64) - 1], 3)
+    assert [plan_bands(n, 3) for n in (100, 10**6, 10**9, 10**11)] == [4, 5, 6, 8]
+    store, probe = leaves(F.lit(-1).cast("bigint"), masks, 0, 10)
     r = spark.range(1).select(store.alias("s"), probe.alias("p")).first()
-    assert list(r["s"]) == list(r["p"]) and len(set(r["s"])) == 4
+    assert list(r["s"]) == list(r["p"]) and len(set(r["s"])) == 10
 
 
 def test_pfair_frames_and_phases():
