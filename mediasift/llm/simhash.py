@@ -40,47 +40,49 @@ LEVELS, LEAF_ROWS = 10, 4096
 BATCH_SHINGLES = 200_000
 
 
-def fingerprint_batch(texts: list[str | None], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Fingerprints of texts as uint64."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """Hashes of the shingles of a text, repeats included; none if it has no words."""
     from xxhash import xxh64_intdigest
 
-    out, hashes, sizes = np.zeros(len(texts), np.uint64), [], []
-
-    def flush(end: int) -> None:
-        n = np.array(sizes)
-        rows = np.flatnonzero(n) + end - len(n)
-        if len(rows):
-            h = np.array(hashes, np.uint64).astype("<u8")
-            some = n[n > 0]
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            count = np.add.reduceat(bits, np.cumsum(some) - some, axis=0, dtype=np.int32)
-            out[rows] = np.packbits(2 * count > some[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-        hashes.clear()
-        sizes.clear()
-
-    for i, text in enumerate(texts):
-        words = (text or "").encode().lower().split()
-        if len(words) > shingle:
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            begins = np.concatenate([[0], ends[:-shingle]])
-            hashes += [xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-            sizes.append(len(words) - shingle + 1)
-        else:
-            hashes += [xxh64_intdigest(b" ".join(words), seed)] if words else []
-            sizes.append(1 if words else 0)
-        if len(hashes) >= BATCH_SHINGLES:
-            flush(i + 1)
-    flush(len(texts))
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return [xxh64_intdigest(joined, seed)] if words else []
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begins = np.concatenate([[0], ends[:-shingle]])
+    return [xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints (uint64) of texts from their shingle hashes (uint64) end to end."""
+    out = np.zeros(len(sizes), np.uint64)
+    some = sizes[sizes > 0]
+    if len(some):
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count = np.add.reduceat(bits, np.cumsum(some) - some, axis=0, dtype=np.int32)
+        out[sizes > 0] = np.packbits(2 * count > some[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprint_batch(texts: list[str | None], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Fingerprints of texts as uint64."""
+    out, hashes, sizes = [np.zeros(0, np.uint64)], [], []
+    for text in texts:
+        found = shingle_hashes(text, shingle, seed)
+        hashes += found
+        sizes.append(len(found))
+        if len(hashes) >= BATCH_SHINGLES:
+            out.append(majority_bits(np.array(hashes, np.uint64), np.array(sizes)))
+            hashes, sizes = [], []
+    return np.concatenate([*out, majority_bits(np.array(hashes, np.uint64), np.array(sizes, np.int64))])
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprint_batch(b.column(1).to_pylist(), shingle)
+            fp = fingerprint_batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp long")
@@ -207,9 +209,8 @@ def link_forest(points: DataFrame, distance: int = DISTANCE, bands: int | None =
     return met.mapInArrow(lambda batches: _links_in_leaves(batches, distance), "u long, v long")
 
 
-def candidate_pairs(docs: DataFrame, shingle: int, distance: int = DISTANCE) -> DataFrame:
-    """(u, v): documents (doc_id not null) whose fingerprints link; enough pairs to span nearly all groups, none of them a hub."""
-    rows = materialise(fingerprints(docs, shingle).filter("doc_id is not null"), "fingerprints")
+def candidate_pairs(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(u, v): documents (doc_id, fp) whose fingerprints link; enough pairs to span nearly all groups, none of them a hub."""
     points = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

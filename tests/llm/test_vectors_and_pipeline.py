@@ -108,9 +108,12 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == seen["best_fit_packing"]
 
 
-@pytest.mark.parametrize("group_rows", [32, 3])
-def test_near_copies_by_jaccard(spark, tmp_path, monkeypatch, group_rows):
+@pytest.mark.parametrize("group_rows,pair_rows", [(16, 64), (3, 64), (3, 4)])
+def test_near_copies_by_jaccard(spark, tmp_path, monkeypatch, group_rows, pair_rows):
     monkeypatch.setattr(shingle_dedup, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(shingle_dedup, "PAIR_ROWS", pair_rows)
+    monkeypatch.setattr(shingle_dedup, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(shingle_dedup, "candidate_pairs", lambda rows: rows.selectExpr("doc_id AS u", "doc_id AS v").limit(0))  # the filter alone misses nothing
     rng = np.random.default_rng(2)
     rows = [(i, " ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(rng.integers(20, 160)))) for i in range(40)]
     for i in range(40, 120):  # copies with words changed in any place
@@ -121,6 +124,9 @@ def test_near_copies_by_jaccard(spark, tmp_path, monkeypatch, group_rows):
     near = rows[6][1].split()
     near[-1:] = ["changed"]
     rows += [(200, " ".join(near)), (201, None), (202, ""), (None, rows[3][1])]
+    passage = " ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(90))
+    for i in range(300, 330):  # a passage that is most of some documents, with tails of many lengths
+        rows.append((i, passage + " " + " ".join(f"tail{i % 11}x{k}" for k in range(int(rng.integers(5, 60))))))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     some = [(i, {tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))}) for i, t in rows if i is not None]
     pairs = [(a, b) for a, (_, x) in enumerate(some) for b, (_, y) in enumerate(some[:a]) if 5 * len(x & y) >= 4 * len(x | y)]
@@ -128,7 +134,7 @@ def test_near_copies_by_jaccard(spark, tmp_path, monkeypatch, group_rows):
     df.write.parquet(f"{tmp_path}/docs")
     got = corpus_pipeline.without_near_copies(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(want) and len(got) == len(want) + 1
-    assert 200 not in want and len(want) < 100
+    assert 200 not in want and len(want) < 110 and 1 < len(want & set(range(300, 330))) < 25
 
 
 def test_mixture_weights_change_the_packed_rows(spark, tmp_path, monkeypatch):
