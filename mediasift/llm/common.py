@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +25,22 @@ _LIVE: dict = {}
 def worker_cache(key: object, make):
     """What a Python worker keeps between tasks: one object at a time, so that operators don't add up."""
     if key not in _LIVE:
-        _LIVE.clear()
+        if _LIVE:
+            _LIVE.clear()
+            give_back()
         _LIVE[key] = make()
     return _LIVE[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive the operator that filled them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def strip_white(text: Column) -> Column:
     """text without ASCII white space."""
     return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")

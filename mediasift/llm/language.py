@@ -42,7 +42,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
 ALPHABET = 1024
 ADDED = ("lang_pred", "score", "rejected")
-ROWS_AT_ONCE, BATCH_CHARS, CACHE_WORDS = 500, 2_000_000, 400_000
+ROWS_AT_ONCE, BATCH_CHARS, CACHE_WORDS, LEARN_WORDS = 250, 1_000_000, 250_000, 10_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -159,8 +159,8 @@ class WordScores(dict):
         return slot
 
     def _learn(self) -> None:
-        for i in range(0, len(self.new), 50_000):
-            some = self.new[i : i + 50_000]
+        for i in range(0, len(self.new), LEARN_WORDS):
+            some = self.new[i : i + LEARN_WORDS]
             got = [m.log2(some) for m in self.identifier.models]
             self.scores.frombytes(np.stack([g[0] for g in got], 1).tobytes())
             self.chars.frombytes(got[0][1].tobytes())

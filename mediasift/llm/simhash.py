@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import attach_groups, connected_components, materialise
+from mediasift.llm.common import attach_groups, connected_components, materialise, worker_cache
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
 LEVELS, LEAF_ROWS = 10, 4096
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("shingles", dict)  # nothing is kept: other operators' caches go
         for b in batches:
             fp = fingerprint_batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
