@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from mediasift.llm.common import discard, materialise, scratch, worker_cache
 
 SHARD_BYTES = 16 << 20
-FLUSH_TOKENS, CACHE_WORDS = 2_000_000, 500_000
+FLUSH_TOKENS, CACHE_WORDS = 1_000_000, 250_000
 HOT_SAMPLE, HOT_BYTES, HOT_WORDS, HOT_SPLIT = 500, 4000, 1024, 64
 #: Counts of pairs are stored in a byte; those from here on apart.
 OFTEN = 255
 START = np.uint64(0x5354415254)
 END = np.uint64(0x454E44)
 
-COUNTS = "shard int, context binary, n binary, word binary, c binary"
+COUNTS = "shard int, contexts binary, words binary, numbers binary"
 QUESTIONS = "batch string, mark long, shard int, a binary, b binary"
 PARTS = "kind int, shard int, a binary, b binary, c binary, stats array<bigint>"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -143,12 +143,13 @@ def _count(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
         _, h, w, c = _sum_pairs(h, w, np.ones(len(h), np.int64))
         shard = plan.shard(h, w)
         order = np.lexsort((h, shard))
-        shard, h, w, c = shard[order], h[order], w[order], c[order].astype("<u4")
+        shard, h, w, c = shard[order], h[order], w[order], c[order]
         first, bounds = _groups(shard)
-        out: dict[str, list] = {k: [] for k in ("shard", "context", "n", "word", "c")}
+        out: dict[str, list] = {k: [] for k in ("shard", "contexts", "words", "numbers")}
         for i, j in zip(first.tolist(), bounds[1:].tolist(), strict=True):
             at, ends = _groups(h[i:j])
-            for k, v in zip(out, (int(shard[i]), h[i:j][at].tobytes(), np.diff(ends).astype("<u4").tobytes(), w[i:j].tobytes(), c[i:j].tobytes()), strict=True):
+            words, of = np.unique(w[i:j], return_inverse=True)
+            for k, v in zip(out, (int(shard[i]), _pack_keys(h[i:j][at]), _pack_keys(words), _slim([np.diff(ends), of, c[i:j]])), strict=True):
                 out[k].append(v)
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k != "shard" else pa.int32()) for k, v in out.items()], list(out))
 
@@ -164,29 +165,51 @@ def _count(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
         yield flush()
 
 
-def _blobs(column: pd.Series, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in column])
-
-
 def _width(a: np.ndarray) -> int:
     """The fewest bytes that hold every number of a."""
     return next(w for w in (1, 2, 4, 8) if w == 8 or not len(a) or a.max() < 1 << 8 * w)
 
 
 def _slim(columns: list[np.ndarray]) -> bytes:
-    """Columns of numbers, each after its width and length."""
-    return b"".join(np.array([w := _width(c), len(c)], "<u4").tobytes() + c.astype(f"<u{w}").tobytes() for c in columns)
+    """Columns of numbers, each in the fewest bytes a number and compressed."""
+    out = []
+    for c in columns:
+        raw = c.astype(f"<u{(w := _width(c))}").tobytes()
+        small = pa.compress(raw, "lz4", asbytes=True) if raw else b""
+        out += [np.array([w, len(c), len(small)], "<u4").tobytes(), small]
+    return b"".join(out)
 
 
 def _unslim(raw: bytes) -> list[np.ndarray]:
     at, out = 0, []
     while at < len(raw):
-        width, n = np.frombuffer(raw, "<u4", 2, at).tolist()
-        out.append(np.frombuffer(raw, f"<u{width}", n, at + 8).astype(np.int64))
-        at += 8 + width * n
+        width, n, size = np.frombuffer(raw, "<u4", 3, at).tolist()
+        data = pa.decompress(raw[at + 12 : at + 12 + size], width * n, "lz4", asbytes=True) if n else b""
+        out.append(np.frombuffer(data, f"<u{width}").astype(np.int64))
+        at += 12 + size
     return out
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending hashes as differences of as many bits as the widest needs."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys).astype("<u8")
+    width = max(1, int(steps.max()).bit_length()) if len(steps) else 1
+    bits = np.unpackbits(steps.view(np.uint8).reshape(-1, 8), axis=1, count=width, bitorder="little")
+    return np.array([len(keys), width], "<u4").tobytes() + keys[:1].astype("<u8").tobytes() + np.packbits(bits, bitorder="little").tobytes()
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    n, width = np.frombuffer(raw, "<u4", 2).tolist()
+    bits = np.zeros((n - 1, 64), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(raw, np.uint8, offset=16), count=(n - 1) * width, bitorder="little").reshape(n - 1, width)
+    steps = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<u8", 1, 8), steps]), dtype=np.uint64)
+
+
 def _store(root: str, name: str, arrays: list[np.ndarray]) -> None:
     """Write arrays to one file, first under a name of this attempt, so that a lost task leaves no half file."""
     from pyarrow.fs import FileSystem
@@ -230,7 +253,12 @@ def _load(root: str, name: str) -> list[np.ndarray] | None:
 def _shard_pairs(frame: pd.DataFrame, plan: Plan, root: str) -> pd.DataFrame:
     """Write a shard's pairs and contexts; return its words for the word shards, its counts of counts, and its parts of split contexts."""
     shard = int(frame["shard"].iloc[0])
-    key, h, w, c = _sum_pairs(np.repeat(_blobs(frame.context, "<u8"), _blobs(frame.n, "<u4")), _blobs(frame.word, "<u8"), _blobs(frame.c, "<u4").astype(np.int64))
+    parts = []
+    for contexts, words, numbers in zip(frame.contexts, frame.words, frame.numbers, strict=True):
+        n, of, c = _unslim(numbers)
+        parts.append((np.repeat(_unpack_keys(contexts), n), _unpack_keys(words)[of], c))
+    key, h, w, c = _sum_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    del parts
     order = np.argsort(h, kind="stable")
     first, bounds = _groups(h[order])
     context, sorted_c = h[order][first], c[order]
@@ -248,13 +276,14 @@ def _shard_pairs(frame: pd.DataFrame, plan: Plan, root: str) -> pd.DataFrame:
     order = np.lexsort((word, to))
     word, before, times, to = word[order], before[order], times[order], to[order]
     first, bounds = _groups(to)
-    out += [(3, int(to[i]), word[i:j].tobytes(), before[i:j].astype("<u4").tobytes(), times[i:j].astype("<i8").tobytes(), None) for i, j in zip(first, bounds[1:], strict=True)]
+    out += [(3, int(to[i]), _pack_keys(word[i:j]), _slim([before[i:j], times[i:j]]), b"", None) for i, j in zip(first, bounds[1:], strict=True)]
     return pd.DataFrame(out, columns=["kind", "shard", "a", "b", "c", "stats"])
 
 
 def _shard_words(frame: pd.DataFrame, root: str) -> pd.DataFrame:
     """Write a shard's words; return their totals."""
-    w, before, times = _blobs(frame.a, "<u8"), _blobs(frame.b, "<u4").astype(np.int64), _blobs(frame.c, "<i8")
+    w = np.concatenate([_unpack_keys(x) for x in frame.a])
+    before, times = np.concatenate([np.stack(_unslim(x)) for x in frame.b], axis=1)
     order = np.argsort(w, kind="stable")
     first, _ = _groups(w[order])
     word, before, times = w[order][first], np.add.reduceat(before[order], first), np.add.reduceat(times[order], first)
@@ -288,7 +317,7 @@ class Batch:
 
     def questions(self) -> list[tuple[int, bytes, bytes]]:
         """(shard, pairs, contexts) and, for word shards, (shards + shard, words, nothing)."""
-        cut = lambda k, lo, hi: self.hashes[k][lo:hi].tobytes()
+        cut = lambda k, lo, hi: _pack_keys(self.hashes[k][lo:hi])
         (p0, p1), (c0, c1) = ([np.searchsorted(self.shards[k], np.arange(self.shift), side) for side in ("left", "right")] for k in (0, 1))
         out = [(s, cut(0, p0[s], p1[s]), cut(1, c0[s], c1[s])) for s in np.flatnonzero((p1 > p0) | (c1 > c0)).tolist()]
         first, bounds = _groups(self.shards[2])
@@ -313,7 +342,7 @@ def _answer(batches: Iterator[pa.RecordBatch], root: str, plan: Plan) -> Iterato
     shards, often = plan.shards, plan.often
 
     def find(file: list[np.ndarray] | None, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        want = np.frombuffer(raw, "<u8")
+        want = _unpack_keys(raw)
         if file is None or not len(file[0]):
             return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
         at = np.minimum(np.searchsorted(file[0], want), len(file[0]) - 1)
@@ -357,7 +386,7 @@ def _keep_answers(frame: pd.DataFrame, root: str, shards: int) -> pd.DataFrame:
 
     (counts,) = split(of_pairs.a, 1)
     name = str(frame.batch.iloc[0])
-    _store(root, name, [np.array([frame.mark.iloc[0]], np.int64), counts, *split(of_pairs.b, 4), *split(of_words.a, 2)])
+    _store(root, name, [np.frombuffer(_slim([np.array([frame.mark.iloc[0]], np.int64), counts, *split(of_pairs.b, 4), *split(of_words.a, 2)]), np.uint8)])
     return pd.DataFrame({"batch": [name], "pairs": [len(counts)]})
 
 
@@ -466,7 +495,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, batch in _batches(batches, plan):
-            mark, *answers = [x.astype(np.int64) for x in _load(folder, name) or [np.zeros(1)]]
+            kept = _load(folder, name)
+            mark, *answers = _unslim(kept[0].tobytes()) if kept else [np.array([-1])]
             if int(mark[0]) != batch.mark(ids):
                 raise RuntimeError("documents came in another order the second time; write them to a table first")
             known, base, own = model.score(batch, answers)

@@ -32,7 +32,7 @@ from mediasift.llm.tokens import PieceEncoder, with_end
 MAGIC = b"RPT1"
 BLOCK_TOKENS, ROWS_AT_ONCE = 2_000_000, 500
 RULES_A_ROUND, LEAST_COUNT, TABLE_BITS = 8192, 8, 20
-TASK_BYTES = 24 << 20
+TASK_BYTES, SEARCHED = 24 << 20, 100_000
 BLOCKS = "shard int, block int, doc_ids array<bigint>, n_tokens long, payload binary"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -42,40 +42,56 @@ def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int, least: int = LEAS
     symbols, starts, sizes = ids.astype(np.uint32), at.astype(np.int64), np.diff(at)
     rules: list[np.ndarray] = []
     first = vocabulary
+    since = 0  # symbols from here on are in no pair that has been counted; smaller ones only in pairs that are rare
     while len(symbols) > 1:
         left, right = symbols[:-1], symbols[1:]
-        cell = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - TABLE_BITS)
         edges = starts[(starts > 0) & (starts < len(symbols))] - 1
-        count = np.bincount(cell, minlength=1 << TABLE_BITS)
-        count -= np.bincount(cell[edges], minlength=1 << TABLE_BITS)
-        busy = (count >= least)[cell]
-        busy[edges] = False
-        some = np.flatnonzero(busy)  # every pair that is frequent, and few others
-        pairs = (left[some].astype(np.uint64) << np.uint64(32)) | right[some]
+        if since:
+            new = np.flatnonzero(symbols >= since)
+            near = np.zeros(len(left) + 1, bool)
+            near[new] = True
+            near[new[new > 0] - 1] = True
+            near = near[:-1]
+        else:
+            cell = _cells(left, right)
+            count = np.bincount(cell, minlength=1 << TABLE_BITS)
+            near = (count >= least)[cell]
+        near[edges] = False
+        some = np.flatnonzero(near).astype(np.int32)  # every pair that is frequent, and few others
+        wide = first > 1 << 16
+        pairs = (left[some].astype(np.uint64) << np.uint64(32)) | right[some] if wide else (left[some] << np.uint32(16)) | right[some]
         code, count = np.unique(pairs, return_counts=True)
         code, count = code[count >= least], count[count >= least]
         if not len(code):
             break
-        code = code[np.lexsort((code, -count))[:RULES_A_ROUND]]
-        a, b = (code >> np.uint64(32)).astype(np.uint32), code.astype(np.uint32)
-        own = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - TABLE_BITS)
-        _, alone = np.unique(own, return_index=True)  # pairs that share a cell with a more frequent one wait for the next round
-        alone.sort()
-        code, a, b, own = code[alone], a[alone], b[alone], own[alone]
-        table = np.zeros(1 << TABLE_BITS, np.uint32)
-        table[own] = np.arange(len(code), dtype=np.uint32)
-        rule = table[cell[some]]
+        shift = code.dtype.type(32 if wide else 16)
+        chosen = np.lexsort((code, -count))[:RULES_A_ROUND]
+        code = np.sort(code[chosen]) if len(some) < SEARCHED else code[chosen]
+        a, b = (code >> shift).astype(np.uint32), (code & ((code.dtype.type(1) << shift) - code.dtype.type(1))).astype(np.uint32)
+        whole = len(chosen) < RULES_A_ROUND
+        if len(some) < SEARCHED:
+            rule = np.minimum(np.searchsorted(code, pairs), len(code) - 1).astype(np.uint32)
+        else:
+            own = _cells(a, b)
+            _, alone = np.unique(own, return_index=True)  # pairs that share a cell with a more frequent one wait for the next round
+            alone.sort()
+            whole &= len(alone) == len(code)
+            code, a, b, own = code[alone], a[alone], b[alone], own[alone]
+            table = np.zeros(1 << TABLE_BITS, np.uint32)
+            table[own] = np.arange(len(code), dtype=np.uint32)
+            rule = table[_cells(left[some], right[some])]
         hit = code[rule] == pairs
         place, rule = some[hit], rule[hit]
-        new_run = np.concatenate([[True], np.diff(place) > 1])  # overlapping hits: take every other one
-        turn = np.arange(len(place))
-        take = (turn - np.maximum.accumulate(np.where(new_run, turn, 0))) % 2 == 0
-        symbols[place[take]] = first + rule[take]
+        turn = np.arange(len(place), dtype=np.int32)
+        run = np.where(np.diff(place, prepend=np.int32(-2)) > 1, turn, np.int32(0))  # overlapping hits: take every other one
+        take = (turn - np.maximum.accumulate(run)) % 2 == 0
+        symbols[place[take]] = np.uint32(first) + rule[take]
         keep = np.ones(len(symbols), bool)
         keep[place[take] + 1] = False
-        starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+        starts = np.searchsorted(np.flatnonzero(keep), starts).astype(np.int64)
         symbols = symbols[keep]
         rules.append(np.stack([a, b], 1))
+        since = first if whole else 0
         first += len(code)
     grammar = np.concatenate([np.zeros((0, 2), np.uint32), *rules])
     width = max(1, (first - 1).bit_length())
@@ -88,6 +104,10 @@ def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int, least: int = LEAS
     return b"".join([head, _pack(grammar, width), lengths.astype("<u4").tobytes(), starts.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), _pack(symbols, width)])
 
 
+def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - TABLE_BITS)
+
+
 def _pack(symbols: np.ndarray, width: int) -> bytes:
     """The low `width` bits of each symbol, end to end."""
     return np.packbits(np.unpackbits(symbols.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little"), bitorder="little").tobytes()
