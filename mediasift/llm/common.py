@@ -6,7 +6,7 @@ import ctypes
 import gc
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediasift.scratch import checkpoint_root, discard, materialise, scratch
@@ -32,6 +32,12 @@ def worker_cache(key: object, make):
     return _LIVE[key]
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of data frames that nothing refers to any more; it looks at what the JVM's collector finds."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers outlive the operator that filled them."""
     gc.collect()

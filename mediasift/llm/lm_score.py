@@ -4,12 +4,12 @@ Words are the runs of other than ASCII white space after lower-casing A-Z; one e
 start context opens it. Words and word pairs are known by 64-bit hashes. Each task counts the pairs of its
 documents and sends them, sorted and counted, to the shard of their context; contexts that a sample shows to
 be frequent are split further by the second word, so that no shard grows with one word. A shard writes its
-pairs and contexts as sorted hash arrays to a file in the shared folder; counts of words and of the contexts
-before them (continuation counts) meet by word and become files as well. The model covers all training text:
+pairs as a sorted hash array to a file in the shared folder; counts of words, of the contexts before them
+(continuation counts) and of what follows them as contexts meet by word and become files as well. The model covers all training text:
 nothing is pruned.
 
-Scoring reads each file once, however many documents there are: a batch of documents sends its distinct pairs,
-contexts and words to the shards that hold them; a task maps the file of a shard into memory (reads it where the
+Scoring reads each file once, however many documents there are: a batch of documents sends its distinct pairs
+and words to the shards that hold them; a task maps the file of a shard into memory (reads it where the
 shared folder is not a mounted file system) and answers the batches one after the other; the answers of a batch become
 a file, and a second pass over the documents adds them up. So what is moved grows with the documents, not with
 documents times model.
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import discard, materialise, scratch, worker_cache
+from mediasift.llm.common import discard, materialise, release_shuffles, scratch, worker_cache
 
 SHARD_BYTES = 16 << 20
 FLUSH_TOKENS, CACHE_WORDS = 1_000_000, 250_000
@@ -46,7 +46,7 @@ START = np.uint64(0x5354415254)
 END = np.uint64(0x454E44)
 
 COUNTS = "shard int, contexts binary, words binary, numbers binary"
-QUESTIONS = "batch string, mark long, shard int, a binary, b binary"
+QUESTIONS = "batch string, mark long, shard int, a binary"
 PARTS = "kind int, shard int, a binary, b binary, c binary, stats array<bigint>"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
@@ -108,12 +108,11 @@ class Plan:
     shards: int
     flush: int = FLUSH_TOKENS
     often: int = OFTEN
-    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    hot: np.ndarray = field(default_factory=lambda: np.array([START]))
 
     def shard(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        if len(self.hot):
-            i = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
-            h = np.where(self.hot[i] == h, h + _mix(w) % np.uint64(HOT_SPLIT), h)
+        i = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
+        h = np.where(self.hot[i] == h, h + _mix(w) % np.uint64(HOT_SPLIT), h)
         return ((_mix(h) >> np.uint64(20)) % np.uint64(self.shards)).astype(np.int64)
 
     def word_shard(self, w: np.ndarray) -> np.ndarray:
@@ -251,7 +250,7 @@ def _load(root: str, name: str) -> list[np.ndarray] | None:
 
 
 def _shard_pairs(frame: pd.DataFrame, plan: Plan, root: str) -> pd.DataFrame:
-    """Write a shard's pairs and contexts; return its words for the word shards, its counts of counts, and its parts of split contexts."""
+    """Write a shard's pairs; return its words and contexts for the word shards, its counts of counts, and its parts of split contexts."""
     shard = int(frame["shard"].iloc[0])
     parts = []
     for contexts, words, numbers in zip(frame.contexts, frame.words, frame.numbers, strict=True):
@@ -266,7 +265,6 @@ def _shard_pairs(frame: pd.DataFrame, plan: Plan, root: str) -> pd.DataFrame:
     often = np.flatnonzero(c >= plan.often)
     _store(root, f"pairs-{shard}", [key, np.minimum(c, plan.often), often, c[often]])
     hot = np.isin(context, plan.hot)
-    _store(root, f"contexts-{shard}", [context[~hot], *[s[~hot] for s in stats]])
     out = [(1, shard, b"", b"", b"", [int((c == k).sum()) for k in range(1, 5)])]
     out += [(2, shard, context[i : i + 1].tobytes(), b"", b"", [int(s[i]) for s in stats]) for i in np.flatnonzero(hot)]
     order = np.argsort(w, kind="stable")
@@ -277,17 +275,25 @@ def _shard_pairs(frame: pd.DataFrame, plan: Plan, root: str) -> pd.DataFrame:
     word, before, times, to = word[order], before[order], times[order], to[order]
     first, bounds = _groups(to)
     out += [(3, int(to[i]), _pack_keys(word[i:j]), _slim([before[i:j], times[i:j]]), b"", None) for i, j in zip(first, bounds[1:], strict=True)]
+    context, stats, to = context[~hot], [s[~hot] for s in stats], plan.word_shard(context[~hot])
+    order = np.lexsort((context, to))
+    first, bounds = _groups(to[order])
+    out += [(4, int(to[order[i]]), _pack_keys(context[order[i:j]]), _slim([s[order[i:j]] for s in stats]), b"", None) for i, j in zip(first, bounds[1:], strict=True)]
     return pd.DataFrame(out, columns=["kind", "shard", "a", "b", "c", "stats"])
 
 
 def _shard_words(frame: pd.DataFrame, root: str) -> pd.DataFrame:
-    """Write a shard's words; return their totals."""
-    w = np.concatenate([_unpack_keys(x) for x in frame.a])
-    before, times = np.concatenate([np.stack(_unslim(x)) for x in frame.b], axis=1)
+    """Write a shard's words with what is known of them as words and as contexts; return their totals."""
+    of_words, of_contexts = frame[frame.kind == 3], frame[frame.kind == 4]
+    w = np.concatenate([_unpack_keys(x) for x in of_words.a])
+    before, times = np.concatenate([np.stack(_unslim(x)) for x in of_words.b], axis=1)
     order = np.argsort(w, kind="stable")
     first, _ = _groups(w[order])
     word, before, times = w[order][first], np.add.reduceat(before[order], first), np.add.reduceat(times[order], first)
-    _store(root, f"words-{int(frame['shard'].iloc[0])}", [word, before, times])
+    stats = np.zeros((4, len(word)), np.int64)
+    if len(of_contexts):  # every context is a word; each comes from one shard
+        stats[:, np.searchsorted(word, np.concatenate([_unpack_keys(x) for x in of_contexts.a]))] = np.concatenate([np.stack(_unslim(x)) for x in of_contexts.b], axis=1)
+    _store(root, f"words-{int(frame['shard'].iloc[0])}", [word, before, times, *stats])
     return pd.DataFrame([(int(len(word)), int(times.sum()), int(before.sum()), *[int((before == k).sum()) for k in range(1, 5)])], columns=["v", "n", "contexts", "n1", "n2", "n3", "n4"])
 
 
@@ -300,7 +306,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class Batch:
-    """The distinct words, pairs and contexts of a batch of documents, each in the order of (shard, hash)."""
+    """The distinct pairs and words of a batch of documents, each in the order of (shard, hash), and its contexts."""
 
     def __init__(self, tokens: np.ndarray, sizes: np.ndarray, plan: Plan):
         self.tokens, self.sizes = tokens, sizes
@@ -309,19 +315,19 @@ class Batch:
         self.of_pairs = (keys, h[first], tokens[first])
         self.words, self.word_of = np.unique(tokens, return_inverse=True)
         self.contexts, self.context_of = np.unique(h[first], return_inverse=True)
-        shards = plan.shard(*self.of_pairs[1:]), plan.shard(self.contexts, np.zeros(len(self.contexts), np.uint64)), plan.word_shard(self.words)
-        self.order = [np.lexsort((k, s)) for k, s in zip((keys, self.contexts, self.words), shards, strict=True)]
+        shards = plan.shard(*self.of_pairs[1:]), plan.word_shard(self.words)
+        self.order = [np.lexsort((k, s)) for k, s in zip((keys, self.words), shards, strict=True)]
         self.shards = [s[o] for s, o in zip(shards, self.order, strict=True)]
-        self.hashes = [k[o] for k, o in zip((keys, self.contexts, self.words), self.order, strict=True)]
+        self.hashes = [k[o] for k, o in zip((keys, self.words), self.order, strict=True)]
         self.shift = plan.shards
 
-    def questions(self) -> list[tuple[int, bytes, bytes]]:
-        """(shard, pairs, contexts) and, for word shards, (shards + shard, words, nothing)."""
-        cut = lambda k, lo, hi: _pack_keys(self.hashes[k][lo:hi])
-        (p0, p1), (c0, c1) = ([np.searchsorted(self.shards[k], np.arange(self.shift), side) for side in ("left", "right")] for k in (0, 1))
-        out = [(s, cut(0, p0[s], p1[s]), cut(1, c0[s], c1[s])) for s in np.flatnonzero((p1 > p0) | (c1 > c0)).tolist()]
-        first, bounds = _groups(self.shards[2])
-        return out + [(self.shift + int(self.shards[2][i]), cut(2, i, j), b"") for i, j in zip(first.tolist(), bounds[1:].tolist(), strict=True)]
+    def questions(self) -> list[tuple[int, bytes]]:
+        """(shard, pairs) and, for word shards, (shards + shard, words)."""
+        out = []
+        for k in (0, 1):
+            first, bounds = _groups(self.shards[k])
+            out += [(k * self.shift + int(self.shards[k][i]), _pack_keys(self.hashes[k][i:j])) for i, j in zip(first.tolist(), bounds[1:].tolist(), strict=True)]
+        return out
 
     def mark(self, ids: list) -> int:
         """A checksum by which the second pass knows that it sees the documents of the first."""
@@ -338,7 +344,7 @@ class Batch:
 
 def _answer(batches: Iterator[pa.RecordBatch], root: str, plan: Plan) -> Iterator[pa.RecordBatch]:
     """Rows of QUESTIONS, sorted by shard, with counts in place of hashes."""
-    opened: tuple[int, list] = (-1, [])
+    opened: tuple[int, list | None] = (-1, None)
     shards, often = plan.shards, plan.often
 
     def find(file: list[np.ndarray] | None, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -353,31 +359,26 @@ def _answer(batches: Iterator[pa.RecordBatch], root: str, plan: Plan) -> Iterato
         out[hit] = column[at[hit]]
         return out
 
-    def columns(file: list[np.ndarray] | None, raw: bytes, n: int) -> bytes:
-        at, hit = find(file, raw)
-        return _slim([read(c, at, hit) for c in file[1 : n + 1]] if file else [np.zeros(len(at), np.int64)] * n)
-
     for b in batches:
         for i in range(b.num_rows):
-            batch, mark, shard, x, y = (c[i].as_py() for c in b.columns)
+            batch, mark, shard, raw = (c[i].as_py() for c in b.columns)
             if opened[0] != shard:
-                names = ("pairs", "contexts") if shard < shards else ("words",)
-                opened = (shard, [_load(root, f"{n}-{shard % shards}") for n in names])
+                opened = (shard, _load(root, f"{'pairs' if shard < shards else 'words'}-{shard % shards}"))
+            file = opened[1]
+            at, hit = find(file, raw)
             if shard >= shards:
-                a, c = columns(opened[1][0], x, 2), b""
+                answer = [read(c, at, hit) for c in file[1:7]] if file else [np.zeros(len(at), np.int64)] * 6
             else:
-                pairs, contexts = opened[1]
-                at, hit = find(pairs, x)
-                n = read(pairs[1], at, hit) if pairs else np.zeros(len(at), np.int64)
+                n = read(file[1], at, hit) if file else np.zeros(len(at), np.int64)
                 high = np.flatnonzero(n == often)
                 if len(high):
-                    n[high] = pairs[3][np.searchsorted(pairs[2], at[high])]
-                a, c = _slim([n]), columns(contexts, y, 4)
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((batch, mark, shard, a, c), (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["batch", "mark", "shard", "a", "b"])
+                    n[high] = file[3][np.searchsorted(file[2], at[high])]
+                answer = [n]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((batch, mark, shard, _slim(answer)), (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["batch", "mark", "shard", "a"])
 
 
 def _keep_answers(frame: pd.DataFrame, root: str, shards: int) -> pd.DataFrame:
-    """Write the answers to a batch to its file: mark, counts of pairs, four numbers a context, two a word."""
+    """Write the answers to a batch to its file: mark, counts of pairs, six numbers a word."""
     frame = frame.sort_values("shard")
     of_pairs, of_words = frame[frame.shard < shards], frame[frame.shard >= shards]
 
@@ -386,7 +387,7 @@ def _keep_answers(frame: pd.DataFrame, root: str, shards: int) -> pd.DataFrame:
 
     (counts,) = split(of_pairs.a, 1)
     name = str(frame.batch.iloc[0])
-    _store(root, name, [np.frombuffer(_slim([np.array([frame.mark.iloc[0]], np.int64), counts, *split(of_pairs.b, 4), *split(of_words.a, 2)]), np.uint8)])
+    _store(root, name, [np.frombuffer(_slim([np.array([frame.mark.iloc[0]], np.int64), counts, *split(of_words.a, 6)]), np.uint8)])
     return pd.DataFrame({"batch": [name], "pairs": [len(counts)]})
 
 
@@ -406,12 +407,10 @@ class Model:
 
     def score(self, batch: Batch, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, score) of each document, from the answers to the batch's questions."""
-        c, (total, k1, k2, k3), (before, times) = batch.placed(0, answers[0]), (batch.placed(1, x) for x in answers[1:5]), (batch.placed(2, x) for x in answers[5:7])
-        if len(self.plan.hot):
-            i = np.minimum(np.searchsorted(self.plan.hot, batch.contexts), len(self.plan.hot) - 1)
-            hot = self.plan.hot[i] == batch.contexts
-            for k, column in enumerate((total, k1, k2, k3)):
-                column[hot] = self.hot_stats[i[hot], k]
+        c, (before, times, *stats) = batch.placed(0, answers[0]), (batch.placed(1, x) for x in answers[1:])
+        at = np.minimum(np.searchsorted(batch.words, batch.contexts), len(batch.words) - 1)
+        i = np.minimum(np.searchsorted(self.plan.hot, batch.contexts), len(self.plan.hot) - 1)
+        total, k1, k2, k3 = (np.where(self.plan.hot[i] == batch.contexts, self.hot_stats[i, k], x[at]) for k, x in enumerate(stats))
         p1 = np.maximum(before - self.word_discounts[np.minimum(before, 3)], 0) / max(self.contexts, 1) + self.word_rest / (self.vocabulary + 1)
         base = np.log10((times + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
         some = np.maximum(total, 1)
@@ -445,13 +444,15 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Model:
     root = scratch(spark, "lm")
     counted = chosen.select(text.alias("text")).mapInArrow(lambda b: _count(b, plan), COUNTS)
     parts = materialise(counted.groupBy("shard").applyInPandas(lambda f: _shard_pairs(f, plan, root), PARTS), "lm-parts")
-    totals = parts.filter("kind = 3").groupBy("shard").applyInPandas(lambda f: _shard_words(f, root), "v long, n long, contexts long, n1 long, n2 long, n3 long, n4 long").groupBy().sum().first()
+    totals = parts.filter("kind > 2").groupBy("shard").applyInPandas(lambda f: _shard_words(f, root), "v long, n long, contexts long, n1 long, n2 long, n3 long, n4 long").groupBy().sum().first()
     v, n, contexts, *of_words = [int(x or 0) for x in totals]
     of_pairs = parts.filter("kind = 1").select(*[F.sum(F.col("stats")[k]).alias(f"n{k}") for k in range(4)]).first()
     hot = {}
     for r in parts.filter("kind = 2").groupBy("a").agg(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(4)]).collect():  # at most HOT_WORDS
         hot[int(np.frombuffer(bytes(r["a"]), "<u8")[0])] = [r[f"s{k}"] for k in range(4)]
     discard(parts, spark)
+    del counted, parts
+    release_shuffles(spark)
     hot_stats = np.array([hot.get(int(x), [0, 0, 0, 0]) for x in plan.hot], np.int64).reshape(-1, 4)
     d = discounts(*of_words)
     above = v - of_words[0] - of_words[1]
@@ -490,8 +491,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, batch in _batches(batches, plan):
             asked, mark = batch.questions(), batch.mark(ids)
-            columns = [pa.array([name] * len(asked)), pa.array([mark] * len(asked), pa.int64()), pa.array([q[0] for q in asked], pa.int32()), *(pa.array([q[k] for q in asked], pa.binary()) for k in (1, 2))]
-            yield pa.RecordBatch.from_arrays(columns, ["batch", "mark", "shard", "a", "b"])
+            columns = [pa.array([name] * len(asked)), pa.array([mark] * len(asked), pa.int64()), pa.array([q[0] for q in asked], pa.int32()), pa.array([q[1] for q in asked], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["batch", "mark", "shard", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, batch in _batches(batches, plan):
@@ -508,4 +509,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kept.agg(F.sum("pairs")).collect()
     scored = materialise(rows.mapInArrow(run, SCORES), "lm-scores")
     discard(folder, docs.sparkSession)
+    del asked, answered, kept
+    release_shuffles(docs.sparkSession)
     return scored
