@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediasift.scratch import checkpoint_root, discard, materialise, scratch
 
-__all__ = ["attach_groups", "checkpoint_root", "connected_components", "discard", "materialise", "prefix_sums", "scratch", "strip_white", "text_or_empty", "worker_cache"]
+__all__ = ["attach_groups", "checkpoint_root", "connected_components", "discard", "in_batches", "materialise", "prefix_sums", "scratch", "strip_white", "text_or_empty", "worker_cache"]
 
 #: ASCII white space: the characters of [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -19,6 +19,7 @@ WHITE = " \t\n\x0b\x0c\r"
 HEAVY_ROWS, HEAVY_SHARE, MOST_HEAVY = 20_000, 1024, 500_000
 
 
+ARROW_ROWS = 500
 _LIVE: dict = {}
 
 
@@ -32,6 +33,14 @@ def worker_cache(key: object, make):
     return _LIVE[key]
 
 
+def in_batches(rows: DataFrame) -> DataFrame:
+    """rows, whose texts may be long: Arrow batches of this session hold at most ARROW_ROWS rows from here on."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return rows
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of data frames that nothing refers to any more; it looks at what the JVM's collector finds."""
     gc.collect()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import worker_cache
+from mediasift.llm.common import in_batches, worker_cache
 
 ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, HELD_EVERY = 600, 10_000, 5
@@ -288,4 +288,4 @@ def identify(docs: DataFrame, identifier: Identifier, added: tuple[str, str, str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(none | odd)], [*names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict, f"{fields}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` boolean")
+    return in_batches(docs).mapInArrow(predict, f"{fields}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` boolean")

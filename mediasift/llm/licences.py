@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mediasift.llm.common import in_batches
 from mediasift.llm.licence_texts import PHRASES, TEMPLATES
 
 MIN_WORDS, MAX_GAP, LEAST_SHARE = 5, 8, 0.5
@@ -240,4 +241,4 @@ def scan_licences(docs: DataFrame) -> DataFrame:
             if ids:
                 yield rows(ids, held)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(scan, SCHEMA)
+    return in_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))).mapInArrow(scan, SCHEMA)

@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import discard, materialise, release_shuffles, scratch, worker_cache
+from mediasift.llm.common import discard, in_batches, materialise, release_shuffles, scratch, worker_cache
 
 SHARD_BYTES = 16 << 20
-FLUSH_TOKENS, CACHE_WORDS = 1_000_000, 250_000
+FLUSH_TOKENS, CACHE_WORDS = 1_500_000, 200_000
 HOT_SAMPLE, HOT_BYTES, HOT_WORDS, HOT_SPLIT = 500, 4000, 1024, 64
 #: Counts of pairs are stored in a byte; those from here on apart.
 OFTEN = 255
@@ -305,16 +305,27 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]).clip([0, 0.05, 0.1, 0.15], [0, 1, 2, 3])
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, a place of each, and which of them stands at each place)."""
+    order = np.argsort(keys).astype(np.int32)
+    ascending = keys[order]
+    new = np.concatenate([np.ones(min(1, len(keys)), bool), ascending[1:] != ascending[:-1]])
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ascending[new], order[new], of
+
+
 class Batch:
     """The distinct pairs and words of a batch of documents, each in the order of (shard, hash), and its contexts."""
 
     def __init__(self, tokens: np.ndarray, sizes: np.ndarray, plan: Plan):
         self.tokens, self.sizes = tokens, sizes
         h = _contexts(tokens, sizes)
-        keys, first, self.pair_of = np.unique(pair_keys(h, tokens), return_index=True, return_inverse=True)
+        keys, first, self.pair_of = _distinct(pair_keys(h, tokens))
         self.of_pairs = (keys, h[first], tokens[first])
-        self.words, self.word_of = np.unique(tokens, return_inverse=True)
-        self.contexts, self.context_of = np.unique(h[first], return_inverse=True)
+        del h
+        self.words, _, self.word_of = _distinct(tokens)
+        self.contexts, _, self.context_of = _distinct(self.of_pairs[1])
         shards = plan.shard(*self.of_pairs[1:]), plan.word_shard(self.words)
         self.order = [np.lexsort((k, s)) for k, s in zip((keys, self.words), shards, strict=True)]
         self.shards = [s[o] for s, o in zip(shards, self.order, strict=True)]
@@ -442,7 +453,7 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Model:
         often = word[(n > len(tokens) / (4 * plan.shards)) & (n > 20)]
         plan.hot = np.sort(np.unique(np.append(often[:HOT_WORDS], START)))
     root = scratch(spark, "lm")
-    counted = chosen.select(text.alias("text")).mapInArrow(lambda b: _count(b, plan), COUNTS)
+    counted = in_batches(chosen.select(text.alias("text"))).mapInArrow(lambda b: _count(b, plan), COUNTS)
     parts = materialise(counted.groupBy("shard").applyInPandas(lambda f: _shard_pairs(f, plan, root), PARTS), "lm-parts")
     totals = parts.filter("kind > 2").groupBy("shard").applyInPandas(lambda f: _shard_words(f, root), "v long, n long, contexts long, n1 long, n2 long, n3 long, n4 long").groupBy().sum().first()
     v, n, contexts, *of_words = [int(x or 0) for x in totals]
@@ -485,7 +496,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     The result is a written table.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    rows = in_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
     plan, root, folder = model.plan, model.root, scratch(docs.sparkSession, "lm-answers")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

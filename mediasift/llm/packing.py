@@ -1,13 +1,14 @@
 """Operator 1: best-fit packing of documents into sequences of a fixed capacity.
 
-Bulk-synchronous best fit (decreasing). Pieces are sorted by length; equal lengths form a run. One superstep
-takes one run: its pieces look for the smallest gap that holds them (their successor among the gaps), pieces
-that want the same gap are told apart by rank, the gaps shrink, and the run repeats until it is placed; what
-no gap holds opens new sequences. Lengths and gaps are whole numbers up to the capacity, so both sorted lists
-are held as runs of ranks and the supersteps touch at most capacity runs however many pieces there are. Ranks
-are counted by many tasks, and every piece finds its place by a successor search in the list of rank
-intervals, which each task sweeps for its own rows. The result has as many sequences as sequential
-best-fit-decreasing.
+Bulk-synchronous best fit (decreasing) over runs. Pieces are sorted by length; equal lengths form a run, and equal
+gaps form a run as well. One superstep takes one run of pieces: it looks for the smallest gap that holds them (the
+successor among the runs of gaps), as many pieces as there are gaps take one each, in order of rank, those gaps shrink,
+and the run goes on until it is placed; what no gap holds opens new sequences. Lengths and gaps are whole
+numbers up to the capacity, so there are at most capacity runs of each however many pieces there are, and `plan` takes
+the supersteps on the driver over counts alone: a superstep over rows would move all pieces and gaps for each of up to
+capacity lengths. What grows with the pieces is distributed: ranks are counted by many tasks, and every piece finds its
+place by a successor search in the list of rank intervals, which each task sweeps for its own rows. The
+result has as many sequences as sequential best-fit-decreasing.
 
 Pieces are ranked by a hash, or, for documents with an ordered _position, by that: equal lengths are then placed
 in its order and sequences are numbered by the position of their first piece.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import materialise, prefix_sums
+from mediasift.llm.common import in_batches, materialise, prefix_sums
 from mediasift.llm.tokens import PieceEncoder, with_end
 
 POSITION, POSITION_BITS = "_position", 16
@@ -58,7 +59,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
             crc = np.fromiter((zlib.crc32(ids[i:j]) for i, j in zip(begin, begin + length, strict=True)), np.int64, len(doc))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc), *[b.column(2).take(pa.array(doc)) for _ in ordered]], ["doc_id", "piece", "start", "length", "ids_crc32", *ordered])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *ordered).mapInArrow(cut, PIECES + "".join(f", {c} long" for c in ordered))
+    return in_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *ordered)).mapInArrow(cut, PIECES + "".join(f", {c} long" for c in ordered))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

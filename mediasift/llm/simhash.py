@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import attach_groups, connected_components, materialise, worker_cache
+from mediasift.llm.common import attach_groups, connected_components, in_batches, materialise, worker_cache
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
 LEVELS, LEAF_ROWS = 10, 4096
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = fingerprint_batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    return in_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))).mapInArrow(compute, "doc_id long, fp long")
 
 
 def parts_of(distance: int, bands: int) -> tuple[list[int], int]:

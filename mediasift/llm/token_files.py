@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import prefix_sums, scratch
+from mediasift.llm.common import in_batches, prefix_sums, scratch
 from mediasift.llm.tokens import PieceEncoder, with_end
 
 MAGIC = b"RPT1"
@@ -201,7 +201,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.monotonically_increasing_id().alias("_at"))
     ranged = rows.repartitionByRange(parts, "doc_id", "_at").sortWithinPartitions("doc_id", "_at").select("doc_id", "text")
-    ranged.mapInArrow(encode, BLOCKS).write.parquet(path)
+    in_batches(ranged).mapInArrow(encode, BLOCKS).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
