@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediasift.scratch import checkpoint_root, discard, materialise, scratch
 
-__all__ = ["attach_groups", "checkpoint_root", "connected_components", "discard", "in_batches", "materialise", "prefix_sums", "scratch", "strip_white", "text_or_empty", "worker_cache"]
+__all__ = ["attach_groups", "checkpoint_root", "connected_components", "discard", "give_back", "in_batches", "materialise", "prefix_sums", "scratch", "strip_white", "text_or_empty", "worker_cache"]
 
 #: ASCII white space: the characters of [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"

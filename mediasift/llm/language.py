@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import in_batches, worker_cache
+from mediasift.llm.common import give_back, in_batches, worker_cache
 
 ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, HELD_EVERY = 600, 10_000, 5
@@ -42,7 +42,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
 ALPHABET = 1024
 ADDED = ("lang_pred", "score", "rejected")
-ROWS_AT_ONCE, BATCH_CHARS, CACHE_WORDS, LEARN_WORDS = 250, 1_000_000, 250_000, 10_000
+ROWS_AT_ONCE, BATCH_CHARS, CACHE_WORDS, LEARN_WORDS = 250, 1_000_000, 120_000, 10_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -265,6 +265,10 @@ def identify(docs: DataFrame, identifier: Identifier, added: tuple[str, str, str
     shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from answers(batches)
+        give_back()
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             texts = [t or "" for t in b.column(names.index("text")).to_pylist()]

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from mediasift.llm.common import discard, in_batches, materialise, release_shuffles, scratch, worker_cache
 
 SHARD_BYTES = 16 << 20
-FLUSH_TOKENS, CACHE_WORDS = 1_500_000, 200_000
+FLUSH_TOKENS, CACHE_WORDS = 2_000_000, 100_000
 HOT_SAMPLE, HOT_BYTES, HOT_WORDS, HOT_SPLIT = 500, 4000, 1024, 64
 #: Counts of pairs are stored in a byte; those from here on apart.
 OFTEN = 255
@@ -275,7 +275,8 @@ def _shard_pairs(frame: pd.DataFrame, plan: Plan, root: str) -> pd.DataFrame:
     word, before, times, to = word[order], before[order], times[order], to[order]
     first, bounds = _groups(to)
     out += [(3, int(to[i]), _pack_keys(word[i:j]), _slim([before[i:j], times[i:j]]), b"", None) for i, j in zip(first, bounds[1:], strict=True)]
-    context, stats, to = context[~hot], [s[~hot] for s in stats], plan.word_shard(context[~hot])
+    # All but START are words, and a word is a context as often as it stands: only the kinds of what follows are sent.
+    context, stats, to = context[~hot], [s[~hot] for s in stats[1:]], plan.word_shard(context[~hot])
     order = np.lexsort((context, to))
     first, bounds = _groups(to[order])
     out += [(4, int(to[order[i]]), _pack_keys(context[order[i:j]]), _slim([s[order[i:j]] for s in stats]), b"", None) for i, j in zip(first, bounds[1:], strict=True)]
@@ -290,7 +291,7 @@ def _shard_words(frame: pd.DataFrame, root: str) -> pd.DataFrame:
     order = np.argsort(w, kind="stable")
     first, _ = _groups(w[order])
     word, before, times = w[order][first], np.add.reduceat(before[order], first), np.add.reduceat(times[order], first)
-    stats = np.zeros((4, len(word)), np.int64)
+    stats = np.zeros((3, len(word)), np.int64)
     if len(of_contexts):  # every context is a word; each comes from one shard
         stats[:, np.searchsorted(word, np.concatenate([_unpack_keys(x) for x in of_contexts.a]))] = np.concatenate([np.stack(_unslim(x)) for x in of_contexts.b], axis=1)
     _store(root, f"words-{int(frame['shard'].iloc[0])}", [word, before, times, *stats])
@@ -378,7 +379,7 @@ def _answer(batches: Iterator[pa.RecordBatch], root: str, plan: Plan) -> Iterato
             file = opened[1]
             at, hit = find(file, raw)
             if shard >= shards:
-                answer = [read(c, at, hit) for c in file[1:7]] if file else [np.zeros(len(at), np.int64)] * 6
+                answer = [read(c, at, hit) for c in file[1:6]] if file else [np.zeros(len(at), np.int64)] * 5
             else:
                 n = read(file[1], at, hit) if file else np.zeros(len(at), np.int64)
                 high = np.flatnonzero(n == often)
@@ -389,7 +390,7 @@ def _answer(batches: Iterator[pa.RecordBatch], root: str, plan: Plan) -> Iterato
 
 
 def _keep_answers(frame: pd.DataFrame, root: str, shards: int) -> pd.DataFrame:
-    """Write the answers to a batch to its file: mark, counts of pairs, six numbers a word."""
+    """Write the answers to a batch to its file: mark, counts of pairs, five numbers a word."""
     frame = frame.sort_values("shard")
     of_pairs, of_words = frame[frame.shard < shards], frame[frame.shard >= shards]
 
@@ -398,7 +399,7 @@ def _keep_answers(frame: pd.DataFrame, root: str, shards: int) -> pd.DataFrame:
 
     (counts,) = split(of_pairs.a, 1)
     name = str(frame.batch.iloc[0])
-    _store(root, name, [np.frombuffer(_slim([np.array([frame.mark.iloc[0]], np.int64), counts, *split(of_words.a, 6)]), np.uint8)])
+    _store(root, name, [np.frombuffer(_slim([np.array([frame.mark.iloc[0]], np.int64), counts, *split(of_words.a, 5)]), np.uint8)])
     return pd.DataFrame({"batch": [name], "pairs": [len(counts)]})
 
 
@@ -421,7 +422,7 @@ class Model:
         c, (before, times, *stats) = batch.placed(0, answers[0]), (batch.placed(1, x) for x in answers[1:])
         at = np.minimum(np.searchsorted(batch.words, batch.contexts), len(batch.words) - 1)
         i = np.minimum(np.searchsorted(self.plan.hot, batch.contexts), len(self.plan.hot) - 1)
-        total, k1, k2, k3 = (np.where(self.plan.hot[i] == batch.contexts, self.hot_stats[i, k], x[at]) for k, x in enumerate(stats))
+        total, k1, k2, k3 = (np.where(self.plan.hot[i] == batch.contexts, self.hot_stats[i, k], x[at]) for k, x in enumerate((times, *stats)))
         p1 = np.maximum(before - self.word_discounts[np.minimum(before, 3)], 0) / max(self.contexts, 1) + self.word_rest / (self.vocabulary + 1)
         base = np.log10((times + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
         some = np.maximum(total, 1)
