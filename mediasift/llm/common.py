@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediasift.scratch import checkpoint_root, discard, materialise, scratch
 
-__all__ = ["attach_groups", "checkpoint_root", "connected_components", "discard", "give_back", "in_batches", "materialise", "prefix_sums", "scratch", "strip_white", "text_or_empty", "worker_cache"]
+__all__ = ["attach_groups", "checkpoint_root", "connected_components", "discard", "give_back", "in_batches", "materialise", "prefix_sums", "release_shuffles", "scratch", "strip_white", "text_or_empty", "tidy", "worker_cache"]
 
 #: ASCII white space: the characters of [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -41,6 +41,16 @@ def in_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def tidy(work):
+    """work (a generator of batches), after which a task gives freed memory back."""
+
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of data frames that nothing refers to any more; it looks at what the JVM's collector finds."""
     gc.collect()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import in_batches, materialise, prefix_sums
+from mediasift.llm.common import in_batches, materialise, prefix_sums, tidy
 from mediasift.llm.tokens import PieceEncoder, with_end
 
 POSITION, POSITION_BITS = "_position", 16
@@ -59,7 +59,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
             crc = np.fromiter((zlib.crc32(ids[i:j]) for i, j in zip(begin, begin + length, strict=True)), np.int64, len(doc))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc), *[b.column(2).take(pa.array(doc)) for _ in ordered]], ["doc_id", "piece", "start", "length", "ids_crc32", *ordered])
 
-    return in_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *ordered)).mapInArrow(cut, PIECES + "".join(f", {c} long" for c in ordered))
+    return in_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *ordered)).mapInArrow(tidy(cut), PIECES + "".join(f", {c} long" for c in ordered))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -21,7 +21,7 @@ CUT, DOCUMENT = "\x00", "\x01document\x01"
 BETWEEN = CUT + DOCUMENT + CUT
 CUT_BEFORE = (" ", ",", ".", "\n")
 BLANKS = (" ", "\n")
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 #: What a piece asks of the piece before it, and offers to the one after it.
 BAD, WANTS_ALNUM, WANTS_INK, ENDS_ALNUM, ENDS_INK = 1, 2, 4, 8, 16
 
@@ -55,7 +55,7 @@ class PieceEncoder:
     def of(cls, path: str) -> PieceEncoder:
         return worker_cache(("pieces", path), lambda: cls(path))
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
