@@ -30,7 +30,7 @@ from mediasift.llm.common import in_batches, prefix_sums, scratch
 from mediasift.llm.tokens import PieceEncoder, with_end
 
 MAGIC = b"RPT1"
-BLOCK_TOKENS, ROWS_AT_ONCE = 2_000_000, 500
+BLOCK_TOKENS, ROWS_AT_ONCE, CACHED_PIECES = 2_000_000, 500, 600_000
 RULES_A_ROUND, LEAST_COUNT, TABLE_BITS = 8192, 8, 20
 TASK_BYTES, SEARCHED = 24 << 20, 100_000
 BLOCKS = "shard int, block int, doc_ids array<bigint>, n_tokens long, payload binary"
@@ -173,7 +173,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, block = PieceEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, block = PieceEncoder.of(tokenizer, CACHED_PIECES), TaskContext.get().partitionId(), 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         tokens = 0
 

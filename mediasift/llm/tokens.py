@@ -4,24 +4,24 @@ The tokenizer cuts a text by a pattern before it merges bytes, so a text may be
 always cuts, and the ids of the pieces joined are the ids of the text. `PieceEncoder` cuts before a space,
 comma, full stop or line break where this holds, encodes pieces that it hasn't met, and looks up the rest.
 Documents in which a cut would not be safe (runs of white space, punctuation after punctuation, NUL) are
-encoded whole. The cache only saves time: it is emptied when it holds `limit` pieces.
+encoded whole. The cache only saves time: when it holds `limit` pieces, those met only once are let go.
 """
 
 from __future__ import annotations
 
 import array
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from mediasift.llm.common import worker_cache
 
 CUT, DOCUMENT = "\x00", "\x01document\x01"
-BETWEEN = CUT + DOCUMENT + CUT
 CUT_BEFORE = (" ", ",", ".", "\n")
 BLANKS = (" ", "\n")
-BATCH_CHARS = 500_000
+BATCH_BYTES = 1_000_000
 #: What a piece asks of the piece before it, and offers to the one after it.
 BAD, WANTS_ALNUM, WANTS_INK, ENDS_ALNUM, ENDS_INK = 1, 2, 4, 8, 16
 
@@ -39,7 +39,8 @@ LETTERS = _byte_letters()
 class _Slots(dict):
     """Piece to slot number; a new piece gets the next slot and is noted in `new`."""
 
-    def __init__(self):
+    def __init__(self, pieces: list[str]):
+        super().__init__(zip(pieces, range(len(pieces)), strict=True))
         self.new: list[str] = []
 
     def __missing__(self, piece: str) -> int:
@@ -52,10 +53,10 @@ class PieceEncoder:
     """Encodes batches of texts; one lives in each Python worker and tokenizer file."""
 
     @classmethod
-    def of(cls, path: str) -> PieceEncoder:
-        return worker_cache(("pieces", path), lambda: cls(path))
+    def of(cls, path: str, limit: int = 300_000) -> PieceEncoder:
+        return worker_cache(("pieces", path, limit), lambda: cls(path, limit))
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -68,11 +69,22 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slots = _Slots()
+        self._hold([DOCUMENT], np.zeros(0, np.uint32), np.zeros(1, np.int64), np.full(1, ENDS_ALNUM | ENDS_INK, np.int8))
+
+    def _hold(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray, flags: np.ndarray) -> None:
+        self.slots = _Slots(pieces)
         self.flat, self.start, self.length, self.flags = array.array("I"), array.array("q"), array.array("q"), array.array("b")
-        self.slots[DOCUMENT]
-        self.slots.new.clear()
-        self._add([[]], [ENDS_ALNUM | ENDS_INK])
+        self.uses = np.zeros(len(pieces), np.int64)
+        self._add(flat, lengths, flags)
+
+    def _shrink(self) -> None:
+        """Keep the pieces that were met again, the most frequent half of `limit` of them."""
+        keep = self.uses >= 2
+        if keep.sum() > self.limit // 2:
+            keep[np.argsort(-self.uses, kind="stable")[self.limit // 2 :]] = False
+        keep[0] = True
+        lengths, flags, flat = np.array(self.length), np.array(self.flags), np.array(self.flat)
+        self._hold(list(compress(self.slots, keep.tolist())), flat[np.repeat(keep, lengths)], lengths[keep], flags[keep])
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,55 +102,67 @@ class PieceEncoder:
     def _learn(self) -> None:
         """Encode the pieces met for the first time, in the order of their slots."""
         tokenize, new = self.tokenizer.model.tokenize, self.slots.new
-        ids: list[list[int] | None] = [None] * len(new)
-        other = []
+        ids: list[list[int]] = [[]] * len(new)
+        words, bodies, other, flags = [], [], [], np.full(len(new), ENDS_ALNUM | ENDS_INK, np.int8)
         for i, p in enumerate(new):
-            body = p[1:] if p[:1] in BLANKS else p
-            if body.isalpha():  # one piece of the tokenizer's pattern: only the merges are needed
-                if p[0] == "\n":
-                    ids[i] = [*self.break_ids, *[t.id for t in tokenize(body.encode().decode("latin-1").translate(LETTERS))]]
-                else:
-                    ids[i] = [t.id for t in tokenize(p.encode().decode("latin-1").translate(LETTERS))]
+            if (p[1:] if p[:1] in BLANKS else p).isalpha():  # one piece of the tokenizer's pattern: only the merges are needed
+                words.append(i)
+                bodies.append(p[1:] if p[0] == "\n" else p)
             else:
                 other.append(i)
+                flags[i] = self.flag(p)
+        letters = "\n".join(bodies).encode().decode("latin-1").translate(LETTERS).split(LETTERS[ord("\n")])
+        for i, body in zip(words, letters, strict=False):  # no words: one empty body
+            ids[i] = [t.id for t in tokenize(body)]
+            if new[i][0] == "\n":
+                ids[i][:0] = self.break_ids
+                flags[i] |= WANTS_INK
         for k in range(0, len(other), 4096):
             for i, got in zip(other[k : k + 4096], self.direct([new[i] for i in other[k : k + 4096]]), strict=True):
                 ids[i] = got
-        self._add(ids, [*map(self.flag, new)])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths, flags)
+        self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
         new.clear()
 
-    def _add(self, ids: list[list[int]], flags: list[int]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _add(self, flat: np.ndarray, lengths: np.ndarray, flags: np.ndarray) -> None:
         self.start.frombytes((len(self.flat) + np.cumsum(lengths) - lengths).tobytes())
         self.length.frombytes(lengths.tobytes())
-        self.flags.extend(flags)
-        self.flat.extend(chain.from_iterable(ids))
+        self.flags.frombytes(flags.tobytes())
+        self.flat.frombytes(flat.tobytes())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end as uint32, offsets of n + 1 texts); null is empty."""
-        parts, sizes, some, chars = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], [], 0
-        for text in texts.to_pylist():
-            some.append(text or "")
-            chars += len(some[-1])
-            if chars >= BATCH_CHARS:
-                self._encode(some, parts, sizes)
-                some, chars = [], 0
-        if some:
-            self._encode(some, parts, sizes)
+        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < len(texts):
+            k = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH_BYTES)) + 1
+            self._encode(texts.slice(i, k - i), parts, sizes)
+            i = k
         return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
 
-    def _encode(self, texts: list[str], parts: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+    def _encode(self, texts: pa.Array, parts: list[np.ndarray], sizes: list[np.ndarray]) -> None:
         if len(self.slots) > self.limit:
-            self.clear()
-        whole = np.fromiter((CUT in t or DOCUMENT in t for t in texts), bool, len(texts))
-        joined = BETWEEN.join(texts) if not whole.any() else BETWEEN.join("" if w else t for t, w in zip(texts, whole, strict=True))
+            self._shrink()
+        marked = pc.or_(pc.match_substring(texts, CUT), pc.match_substring(texts, DOCUMENT))
+        whole = marked.to_numpy(zero_copy_only=False).copy()
+        cut = pc.if_else(marked, "", texts) if whole.any() else texts
         for c in CUT_BEFORE:
-            joined = joined.replace(c, CUT + c)
-        pieces = (BETWEEN + joined).split(CUT)[1:]
-        piece = np.fromiter(map(self.slots.__getitem__, pieces), np.int32, len(pieces))
-        del pieces, joined
+            cut = pc.replace_substring(cut, c, CUT + c)
+        lists = pc.split_pattern(cut, CUT)
+        coded = lists.values.dictionary_encode()
+        at = lists.offsets.to_numpy()[:-1] + np.arange(len(texts))  # a mark stands before each document
+        inner = np.ones(len(coded) + len(texts), bool)
+        inner[at] = False
+        distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), CUT)[0].as_py().split(CUT)
+        slot = np.fromiter(map(self.slots.__getitem__, distinct), np.int32, len(distinct))
+        piece = np.zeros(len(inner), np.int32)
+        piece[inner] = slot[coded.indices.to_numpy()]
+        del cut, lists, coded, inner, distinct
         self._learn()
-        at = np.flatnonzero(piece == 0)  # a mark stands before each document
+        self.uses += np.bincount(piece, minlength=len(self.uses))
         flags = np.frombuffer(self.flags, np.int8)[piece]
         wants, gives = flags[1:], flags[:-1]
         unsafe = (flags & BAD) > 0
@@ -155,7 +179,7 @@ class PieceEncoder:
         if whole.any():
             offsets, last = np.concatenate([[0], np.cumsum(size)]), 0
             places = np.flatnonzero(whole)
-            for i, got in zip(places, self.direct([texts[i] for i in places]), strict=True):
+            for i, got in zip(places, self.direct(texts.take(pa.array(places)).to_pylist()), strict=True):
                 parts += [ids[offsets[last] : offsets[i]], np.array(got, np.uint32)]
                 size[i], last = len(got), i + 1
             ids = ids[offsets[last] :]
