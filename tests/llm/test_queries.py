@@ -20,17 +20,19 @@ def tables(spark, tmp_path_factory):
     rows += [(200, None, "xx", "s0"), (201, "", None, None), (202, rows[3][1] + " ", "xx", "s0"), (203, "GNU General Public License. apache license, CC BY cc-by", "yy", "s1"), (None, "no id", None, None)]
     vectors = [(i, (v := np_rng.normal(size=8)).tolist()) for i in range(60)]
     vectors += [(100 + i, (np.array(vectors[i % 7][1]) + np_rng.normal(size=8) * 0.15).tolist()) for i in range(40)]
+    vectors += [(300 + i, np_rng.normal(size=64).tolist()) for i in range(70)]
     vectors += [(200, None), (201, [0.0] * 8), (202, [1.0, None]), (203, [1.0, 0.0]), (204, [1.0, 0.01]), (205, []), (206, [float("nan")] * 8)]
     path = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(*v, 1) for v in vectors], "vec_id bigint, embedding array<float>, label int").repartition(2).write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(0, rows[4][1]), (1, None), (2, "gnu general Ünï")], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     return path, rows
 
 
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_query_agrees_with_its_sql(spark, tables, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables[0]}/{t}.parquet/*.parquet'")
     theirs = duck.execute(q.oracle_sql()[name])
     columns = [c[0] for c in theirs.description]
