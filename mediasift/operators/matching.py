@@ -8,8 +8,6 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.functions.columns import hamming
-
 #: Rows (entries, or entries by their keys) that may be broadcast: some 20 MB. Longer lists are shuffled.
 BROADCAST_ROWS = 200_000
 #: Hashes and entries of one task where all of them must be compared.
@@ -56,32 +54,46 @@ def plan_keys(radius: int, entries: int) -> int:
     return best if best and cost[best] < max(entries, 64) else 0
 
 
-def nearest_match(hashes: DataFrame, entries: DataFrame, radius: int, key: str = "media_id", together: int | None = None, broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The nearest entry within radius of each hash (key, bits); the first line wins ties.
+def near_pairs(hashes: DataFrame, entries: DataFrame, radius: int, together: int | None = None, broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(bits, entry_bits, distance) once for every two hashes of both sides that differ in at most radius bits.
 
-    Candidates come from an equi-join on masked bits (`_cuts`) and are checked exactly. Where a radius is so wide
-    that keys would save nothing, hashes and entries meet in blocks. The side of the list is broadcast
-    only if its counted rows are few; both ways are exact at every size.
+    Distinct hashes meet, however many rows they have. Candidates come from an equi-join on masked bits (`_cuts`) and are
+    checked exactly; a pair that agrees under several masks counts at the first one. Where a radius is so wide that keys
+    would save nothing, hashes and entries meet in blocks. The side of the entries is broadcast only if its
+    counted rows are few; all ways are exact at every size.
     """
-    hashes = hashes.select(key, "bits")
-    entries = entries.select("line_no", "label", F.col("bits").alias("entry_bits"))
+    hashes = hashes.select("bits").filter("bits is not null").distinct()
+    entries = entries.select(F.col("bits").alias("entry_bits")).filter("entry_bits is not null").distinct()
     n = entries.count()
     together = plan_keys(radius, n) if together is None else together
-    near = hamming(F.col("bits"), F.col("entry_bits")) <= radius
+    differ = F.col("bits").bitwiseXOR(F.col("entry_bits"))
+    near = F.bit_count(differ) <= radius
     if together:
         masks = _cuts(radius, together)
         cut = lambda bits: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(bits).bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])).alias("_cut")
-        keyed = entries.select("line_no", "label", "entry_bits", cut("entry_bits"))
-        pairs = hashes.select(key, "bits", cut("bits")).join(F.broadcast(keyed) if n * len(masks) <= broadcast_rows else keyed, "_cut").filter(near)
+        keyed = entries.select("entry_bits", cut("entry_bits"))
+        first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(masks)])
+        pairs = hashes.select("bits", cut("bits")).join(F.broadcast(keyed) if n * len(masks) <= broadcast_rows else keyed, "_cut").filter(near).filter(first == F.col("_cut.i"))
     elif n <= broadcast_rows:
         pairs = hashes.join(F.broadcast(entries), near)
     else:
         rows, columns = -(-hashes.count() // block_rows) or 1, -(-n // block_rows)
         turn = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
-        mine = hashes.select(key, "bits", F.pmod(F.xxhash64("bits", key), F.lit(rows)).alias("_r"), turn(columns).alias("_c"))
-        theirs = entries.select("line_no", "label", "entry_bits", F.pmod(F.xxhash64("entry_bits", "line_no"), F.lit(columns)).alias("_c"), turn(rows).alias("_r"))
+        mine = hashes.select("bits", F.pmod(F.xxhash64("bits"), F.lit(rows)).alias("_r"), turn(columns).alias("_c"))
+        theirs = entries.select("entry_bits", F.pmod(F.xxhash64("entry_bits"), F.lit(columns)).alias("_c"), turn(rows).alias("_r"))
         pairs = mine.join(theirs.hint("merge"), ["_r", "_c"]).filter(near)
-    return _best(pairs.withColumn("distance", hamming(F.col("bits"), F.col("entry_bits"))), key)
+    return pairs.select("bits", "entry_bits", F.bit_count(differ).alias("distance"))
+
+
+def nearest_match(hashes: DataFrame, entries: DataFrame, radius: int, key: str = "media_id", together: int | None = None, broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The nearest entry within radius of each hash (key, bits); the first line wins ties.
+
+    Distinct hashes are matched (`near_pairs`), and each hash's best entry then goes to all its rows.
+    """
+    lines = entries.groupBy(F.col("bits").alias("entry_bits")).agg(F.min(F.struct("line_no", "label")).alias("_line"))
+    pairs = near_pairs(hashes, entries, radius, together, broadcast_rows, block_rows).join(lines, "entry_bits")
+    best = _best(pairs.select("bits", "distance", "_line.line_no", "_line.label"), "bits")
+    return hashes.select(key, "bits").join(best, "bits").groupBy(key).agg(F.min(F.struct("distance", "match_line", "match_label")).alias("_best")).select(key, "_best.*")
 
 
 def nearest_of_two(frames: DataFrame, entries: DataFrame, radius: int, key: str = "media_id") -> DataFrame:

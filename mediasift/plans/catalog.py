@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift.functions import columns as c
-from mediasift.operators import cache, detections, frames, matching, routing, runtime, scores, text
+from mediasift.operators import cache, detections, frames, learning, matching, routing, runtime, scores, text
 from mediasift.operators.verdict import Settings, fold
 from mediasift.plans import fixtures as fx
 from mediasift.sources.lists import parse_hash_lines
@@ -592,6 +592,31 @@ def autolearn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.learned(verdicts, hexes, routing.Learning(enabled=True, first_and_last=True))
 
 
+#: The plain loop: each input is judged by the lists so far, which carry on to the next.
+IN_ORDER_SQL = f"""
+WITH RECURSIVE {fx.HASHES_SQL}, {fx.TURNS_SQL},
+run(k, turn, label, settled_by, distance, learned, block, allow) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::INT, NULL::BOOLEAN, block, allow FROM given
+  UNION ALL
+  SELECT k, turn, label, settled_by, CASE settled_by WHEN 'block' THEN b WHEN 'allow' THEN a END, CASE settled_by WHEN 'block' THEN coalesce(gb > b, true) WHEN 'allow' THEN coalesce(ga > a, true) END,
+         CASE WHEN label = 'BLOCK' THEN block || [f, l] ELSE block END, CASE WHEN label = 'OK' THEN allow || [f, l] ELSE allow END
+  FROM (SELECT *, CASE WHEN b <= 1 THEN 'BLOCK' WHEN a <= 0 THEN 'OK' ELSE own END AS label, CASE WHEN b <= 1 THEN 'block' WHEN a <= 0 THEN 'allow' END AS settled_by
+    FROM (SELECT t.*, run.block, run.allow,
+      list_min(list_transform(run.block, lambda e: least(bit_count(xor(e, f)), bit_count(xor(e, l)))))::INT AS b, list_min(list_transform(run.allow, lambda e: least(bit_count(xor(e, f)), bit_count(xor(e, l)))))::INT AS a,
+      list_min(list_transform(given.block, lambda e: least(bit_count(xor(e, f)), bit_count(xor(e, l)))))::INT AS gb, list_min(list_transform(given.allow, lambda e: least(bit_count(xor(e, f)), bit_count(xor(e, l)))))::INT AS ga
+      FROM run JOIN t ON t.k = run.k + 1, given)))
+SELECT turn, label, settled_by, distance, learned FROM run WHERE k > 0
+"""
+
+
+@query(IN_ORDER_SQL)
+def autolearn_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of inputs that learn from each other, one after the other."""
+    h = fx.hashes(spark, sf_dir)
+    how = routing.Learning(enabled=True, first_and_last=True)
+    return learning.learn_in_order(fx.turns(h), fx.given_entries(h), how, block_radius=1, allow_radius=0)
+
+
 # ---- runtime statistics -----------------------------------------------------------------------------------------
 
 STATS_SQL = "round(sum({t}) / count(*), 2) AS avg_{p}ms, trunc(quantile_cont({t}, 0.5))::BIGINT AS median_{p}ms, min({t}) AS min_{p}ms, max({t}) AS max_{p}ms, quantile_disc({t}, 0.95) AS p95_{p}ms"

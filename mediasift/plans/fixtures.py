@@ -29,6 +29,25 @@ def allow_list(hashed: DataFrame) -> DataFrame:
     return hashed.select(F.col("media_id").alias("line_no"), F.concat(F.lit("a"), "label").alias("label"), F.col("bits").bitwiseXOR(F.expr("media_id % 2")).alias("bits"))
 
 
+def turns(hashed: DataFrame) -> DataFrame:
+    """turn, first, last, own: vectors in the order of their ids, with twelve bits of their hash, so that many are near each other."""
+    first = F.col("bits").bitwiseAND(4095)
+    own = F.when(F.col("media_id") % 11 == 0, "BLOCK").when(F.col("media_id") % 11 < 3, "OK").otherwise("REVIEW")
+    return hashed.select(F.col("media_id").alias("turn"), first.alias("first"), first.bitwiseXOR(F.col("media_id") % 2).alias("last"), own.alias("own"))
+
+
+def given_entries(hashed: DataFrame) -> DataFrame:
+    """list_kind, bits: hashes two bits off some vectors, and those of others."""
+    bits = F.col("bits").bitwiseAND(4095)
+    block = hashed.filter("media_id % 97 = 5").select(F.lit("block").alias("list_kind"), bits.bitwiseXOR(F.lit(3).cast("bigint")).alias("bits"))
+    return block.unionByName(hashed.filter("media_id % 101 = 7").select(F.lit("allow").alias("list_kind"), bits.alias("bits")))
+
+
+TURNS_SQL = """
+t AS (SELECT row_number() OVER (ORDER BY media_id) AS k, media_id AS turn, bits & 4095 AS f, xor(bits & 4095, media_id % 2) AS l, CASE WHEN media_id % 11 = 0 THEN 'BLOCK' WHEN media_id % 11 < 3 THEN 'OK' ELSE 'REVIEW' END AS own FROM h),
+given AS (SELECT coalesce(list(xor(bits & 4095, 3::BIGINT)) FILTER (media_id % 97 = 5), []) AS block, coalesce(list(bits & 4095) FILTER (media_id % 101 = 7), []) AS allow FROM h)
+"""
+
 HASHES_SQL = """
 u AS (SELECT vec_id AS media_id, label::VARCHAR AS label,
              list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << (63 - i) ELSE 0 END)) AS v FROM embeddings),
