@@ -16,6 +16,10 @@ from mediasift.sources.settings import switch
 RESULTS = "media_id string, engine string, engine_ord int, status string, scores map<string,double>, details map<string,string>, error string"
 
 
+#: Fixed value: characters of a searched text that its result shows.
+SHOWN_TEXT = 2000
+
+
 @dataclass(frozen=True)
 class Engine:
     """A scorer. `run` takes media and returns media_id, scores, details and error (null where it went well)."""
@@ -82,8 +86,8 @@ def text_engine(patterns: list[str], least: int = 3) -> Engine:
     """The first listed pattern in the recognised `text`."""
 
     def run(media: DataFrame) -> DataFrame:
-        found = text_check(media, "media_id", "text", patterns, least)
-        details = F.map_filter(F.create_map(F.lit("hit"), F.col("hit")), lambda k, v: v.isNotNull())
+        found = text_check(media, "media_id", "text", patterns, least, SHOWN_TEXT)
+        details = F.map_filter(F.create_map(F.lit("hit"), F.col("hit"), F.lit("text"), F.col("text")), lambda k, v: v.isNotNull())
         return found.select("media_id", F.create_map(F.lit("ocr_match"), F.col("ocr_match")).alias("scores"), details.alias("details"), F.lit(None).cast("string").alias("error"))
 
     return Engine("OCR text", run, bool(patterns), "ocr blocklist empty")

@@ -197,9 +197,26 @@ def text_blocklist_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.text_check(fx.table(spark, sf_dir, "documents"), "doc_id", "text", PATTERNS)
 
 
-@query(f"SELECT doc_id, CASE WHEN length(trim(text)) >= 100 AND {_hit_sql('text', ['the'])} IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ocr_match, CASE WHEN length(trim(text)) >= 100 THEN {_hit_sql('text', ['the'])} END AS hit FROM documents")
+FRAMED_SQL = "SELECT doc_id, chr(10) || chr(9) || left(text, (doc_id % 8)::INT) || chr(13) || chr(10) || ' ' AS t FROM documents"
+
+
+@query(f"WITH f AS ({FRAMED_SQL}), s AS (SELECT doc_id, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM f) SELECT doc_id, CASE WHEN length(t) >= 4 AND regexp_matches(t, '[a-z]', 'i') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ocr_match, CASE WHEN length(t) >= 4 AND regexp_matches(t, '[a-z]', 'i') THEN '[a-z]' END AS hit, CASE WHEN length(t) >= 4 THEN t[:5] ELSE '' END AS text FROM s")
 def text_min_len_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.text_check(fx.table(spark, sf_dir, "documents"), "doc_id", "text", ["the"], 100)
+    """Short texts between line breaks and blanks, which don't count."""
+    framed = F.concat(F.lit("\n\t"), F.expr("left(text, cast(doc_id % 8 as int))"), F.lit("\r\n "))
+    return text.text_check(fx.table(spark, sf_dir, "documents").select("doc_id", framed.alias("text")), "doc_id", "text", ["[a-z]"], 4, shown=5)
+
+
+WORD_PAIRS_SQL = "SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), unnest(range(1, len(w))) t(i)"
+
+
+@query(f"WITH p AS (SELECT row_number() OVER (ORDER BY a, b) AS n, a || '\\s+(?:' || b || ')' AS p FROM ({WORD_PAIRS_SQL})), m AS (SELECT doc_id, min_by(p, n) AS hit FROM documents, p WHERE regexp_matches(lower(text), p) GROUP BY doc_id) SELECT doc_id, CASE WHEN hit IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ocr_match, hit FROM documents LEFT JOIN m USING (doc_id)")
+def text_first_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of all pairs of neighbouring benchmark words, some thousands of patterns, searched at once."""
+    words = fx.table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.expr("slice(w, 1, greatest(size(w) - 1, 0))").alias("a"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("b"))).alias("p"))
+    listed = [rf"{r['a']}\s+(?:{r['b']})" for r in pairs.select("p.*").distinct().orderBy("a", "b").collect()]  # a list file, as it would be read
+    return text.text_check(fx.table(spark, sf_dir, "documents"), "doc_id", "text", listed)
 
 
 @query(f"SELECT coalesce({_hit_sql('text', PATTERNS)}, '-') AS hit, count(*) AS docs FROM documents GROUP BY 1")
