@@ -33,11 +33,16 @@ from mediasift.llm.common import attach_groups, discard, materialise
 LONGEST, BUCKETS, LEAST_WORDS = 3, 10_000, 20
 #: Rows of a sorted partition; a row has five numbers.
 SORT_ROWS = 4_000_000
+#: Tasks that add up the counts of all others; the driver adds up theirs.
+MERGE_TASKS = 32
 #: Letters become lower case, other ASCII but digits becomes a space; bytes from 128 on belong to words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 FEATURES = "key binary, copies long, n_words long, n_features long, features binary"
-COUNTED = "bucket int, n long"
+
+
+def _bucket_type(buckets: int) -> type:
+    return np.uint16 if buckets <= 1 << 16 else np.uint32
 
 
 def feature_buckets(text: str, buckets: int = BUCKETS) -> tuple[int, np.ndarray]:
@@ -48,11 +53,7 @@ def feature_buckets(text: str, buckets: int = BUCKETS) -> tuple[int, np.ndarray]
     for n in range(1, LONGEST):
         runs = list(map(crc32, spaced[n:], runs))  # each run goes on with the next word
         found = found + runs
-    return len(words), (np.array(found, np.uint32) % buckets).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-
-
-def _bucket_type(buckets: int) -> type:
-    return np.uint16 if buckets <= 1 << 16 else np.uint32
+    return len(words), (np.array(found, np.uint32) % buckets).astype(_bucket_type(buckets))
 
 
 def text_features(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -69,8 +70,8 @@ def text_features(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return texts.select(F.unhex(F.sha2("text", 256)).alias("key"), "text", "copies").mapInArrow(compute, FEATURES)
 
 
-def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> dict[int, int]:
-    """Features by bucket over all copies; each task counts its own rows first, so that at most `buckets` rows a task are shuffled."""
+def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Features by bucket over all copies: a row of counts a task, added up by MERGE_TASKS tasks and then here."""
     kind = _bucket_type(buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,17 +81,19 @@ def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> dict[int, int]
             for n in np.unique(copies):  # rows of equal copies are counted at once
                 held = b.column(1).filter(pa.array(copies == n))
                 total += n * np.bincount(np.frombuffer(b"".join(x.as_py() for x in held), kind), minlength=buckets)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((np.frombuffer(x.as_py(), np.int64) for b in batches for x in b.column(0)), np.zeros(buckets, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
-    counted = features.select("copies", "features").mapInArrow(count, COUNTED).groupBy("bucket").agg(F.sum("n").alias("n"))
-    return {r["bucket"]: r["n"] for r in counted.collect()}  # at most `buckets` rows
+    counted = features.select("copies", "features").mapInArrow(count, "counts binary").repartition(MERGE_TASKS).mapInArrow(add, "counts binary")
+    return sum((np.frombuffer(r["counts"], np.int64) for r in counted.collect()), np.zeros(buckets, np.int64))
 
 
-def bucket_gains(documents: dict[int, int], target: dict[int, int], buckets: int = BUCKETS) -> np.ndarray:
-    """The gain of each bucket, in thousandths: how much more often the target has it."""
-    s, t = (np.array([counts.get(b, 0) for b in range(buckets)], np.int64) for counts in (documents, target))
-    whole_s, whole_t = int(s.sum()), int(t.sum())
+def bucket_gains(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The gain of each bucket, in thousandths: how much more often the target (t) has it than the documents (s)."""
+    buckets, whole_s, whole_t = len(s), int(s.sum()), int(t.sum())
     ratio = ((t + 1.0) * (whole_s + buckets)) / ((s + 1.0) * (whole_t + buckets))
     return np.floor(1000 * np.log(ratio)).astype(np.int64)
 
@@ -133,7 +136,7 @@ def resample(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (5, 10
     texts = rows.groupBy("text").agg(F.count("*").alias("copies"))
     features = materialise(text_features(texts, buckets), "features")
     aims = target.select(F.coalesce(target["text"].cast("string"), F.lit("")).alias("text")).groupBy("text").agg(F.count("*").alias("copies"))
-    gains = bucket_gains(bucket_counts(features, buckets), bucket_counts(text_features(aims, buckets), buckets), buckets)
+    gains = bucket_gains(bucket_counts(features, buckets), bucket_counts(text_features(aims, buckets), buckets))
     weights = materialise(weigh(features, gains), "weights")
     discard(features)
     total, drawable = weights.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n_words") >= least_words, F.col("copies"))), F.lit(0))).first()
