@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediasift.scratch import checkpoint_root, discard, materialise, scratch
 
-__all__ = ["attach_groups", "checkpoint_root", "connected_components", "discard", "give_back", "in_batches", "materialise", "prefix_sums", "release_shuffles", "scratch", "strip_white", "text_or_empty", "tidy", "worker_cache"]
+__all__ = ["attach_groups", "checkpoint_root", "connected_components", "discard", "give_back", "in_batches", "materialise", "prefix_sums", "release_shuffles", "scratch", "strip_white", "text_or_empty", "tidy", "unused_names", "worker_cache"]
 
 #: ASCII white space: the characters of [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -66,6 +66,14 @@ def give_back() -> None:
         trim(0)
 
 
+def unused_names(df: DataFrame, names: tuple[str, ...]) -> tuple[str, ...]:
+    """names, led by as many underscores as it takes for df to have none of them."""
+    held, lead = {c.lower() for c in df.columns}, "_"
+    while any(f"{lead}{n}".lower() in held for n in names):
+        lead += "_"
+    return tuple(lead + n for n in names)
+
+
 def strip_white(text: Column) -> Column:
     """text without ASCII white space."""
     return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")

@@ -1,8 +1,8 @@
 """Operator 5: language identification by interpolated Kneser-Ney character models.
 
 One model per language, learned from a bounded sample of labelled rows: SAMPLE_DOCS documents of each
-language with at most SAMPLE_CHARS characters, picked by a hash of the document (both are parameters; whole
-texts are used). A language with fewer such documents is also learned from longer ones, cut to SAMPLE_CHARS. A model reads the letters of lower-cased words, with a start and an end mark to each word,
+language with at most SAMPLE_CHARS characters, picked by a hash of the text (both are parameters; whole
+texts are used, each once however many copies there are and whatever ids they have). A language with fewer such documents is also learned from longer ones, cut to SAMPLE_CHARS. A model reads the letters of lower-cased words, with a start and an end mark to each word,
 in orders 1 to ORDER; its n-grams and contexts are sorted arrays of 64-bit hashes. A text is assigned to the
 language with the lowest cross-entropy per character; because words are independent, each distinct word is
 scored once. One sampled document in five is held back to calibrate rejection, twice: against its own language,
@@ -219,20 +219,22 @@ def calibrate(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, fl
 
 
 def fit(docs: DataFrame, learn: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Identifier:
-    """Learn from the rows of docs (doc_id, text, lang) where `learn` holds and lang is not null."""
-    usable = F.col("lang").isNotNull() & F.col("text").isNotNull()
-    rows = docs.filter(usable if learn is None else usable & learn).select("doc_id", "text", "lang", (F.char_length("text") > sample_chars).alias("_long"))
-    pick = Window.partitionBy("lang").orderBy("_long", "_h", "doc_id")
-    n = rows.groupBy("lang", "_long").agg(F.count("*").alias("_n"))  # a row or two a language
-    drawn = rows.select("lang", "doc_id", "_long", F.xxhash64("doc_id", F.lit("sample")).alias("_h")).join(F.broadcast(n), ["lang", "_long"])
-    drawn = drawn.filter((F.col("_h").cast("double") / 2.0**63 + 1) / 2 <= DRAW_FROM * sample_docs / F.col("_n"))
-    ids = drawn.withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample_docs)
-    ids = ids.select(F.col("doc_id").alias("_id"), "_r")  # sample_docs rows a language
+    """Learn from the rows of docs (text, lang) where `learn` holds and lang is not null.
+
+    Texts are drawn by their own hash and once each, so that neither ids nor copies change what is learned.
+    """
+    usable = docs["lang"].isNotNull() & docs["text"].isNotNull()
+    rows = docs.filter(usable if learn is None else usable & learn).select(docs["lang"].alias("lang"), docs["text"].alias("text"), (F.char_length(docs["text"]) > sample_chars).alias("_long"), F.xxhash64(docs["text"], F.lit("sample")).alias("_h"))
+    pick = Window.partitionBy("lang").orderBy("_long", "_h")
+    n = rows.groupBy("lang", "_long").agg(F.approx_count_distinct("_h").alias("_n"))  # a row or two a language
+    drawn = rows.select("lang", "_long", "_h").join(F.broadcast(n), ["lang", "_long"])
+    drawn = drawn.filter((F.col("_h").cast("double") / 2.0**63 + 1) / 2 <= DRAW_FROM * sample_docs / F.col("_n")).select("lang", "_long", "_h").distinct()
+    ids = drawn.withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample_docs).select("lang", "_h", "_r")  # sample_docs rows a language
     excerpt = F.when(F.col("_long"), F.regexp_replace(F.substring("text", 1, sample_chars), r"\s\S*$", "")).otherwise(F.col("text"))  # of whole words
-    sample = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id"))).select("lang", excerpt.alias("text"), "_r", "doc_id")
+    sample = rows.join(F.broadcast(ids), ["lang", "_h"]).groupBy("lang", "_r").agg(F.min(excerpt).alias("text"))
 
     def learn_one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_r").drop_duplicates("_r").head(sample_docs)
+        frame = frame.sort_values("_r")
         held = np.arange(len(frame)) % HELD_EVERY == HELD_EVERY - 1
         m = train(frame.text[~held].tolist())
         out = [(frame.lang.iloc[0], -1, [], str(m.alphabet).encode(), b"")]

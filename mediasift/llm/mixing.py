@@ -124,11 +124,11 @@ def in_order(mixed: DataFrame, added: tuple[str, str, str] = ADDED) -> DataFrame
     return mixed.repartitionByRange(parts, *added[1:]).sortWithinPartitions(*added[1:]).drop(*added)
 
 
-def written_order(mixed: DataFrame) -> DataFrame:
-    """mixed, read from the Parquet files of `in_order`, with _position (long), ascending in the mixture's order.
+def written_order(mixed: DataFrame, out: str) -> DataFrame:
+    """mixed, read from the Parquet files of `in_order`, with `out` (long), ascending in the mixture's order.
 
     Files are written in the order of their ranges, so a row's place is the number of its file and its row there.
     """
     file = mixed.metadataColumn("_metadata")
     number = F.shiftleft(F.regexp_extract(file["file_name"], r"part-(\d+)", 1).cast("long"), 44) + F.shiftleft(F.regexp_extract(file["file_name"], r"-c(\d+)", 1).cast("long"), 32)
-    return mixed.withColumn("_position", number + file["row_index"])
+    return mixed.withColumn(out, number + file["row_index"])

@@ -10,7 +10,7 @@ capacity lengths. What grows with the pieces is distributed: ranks are counted b
 place by a successor search in the list of rank intervals, which each task sweeps for its own rows. The
 result has as many sequences as sequential best-fit-decreasing.
 
-Pieces are ranked by a hash, or, for documents with an ordered _position, by that: equal lengths are then placed
+Pieces are ranked by a hash, or by a column that the caller names as `position`: equal lengths are then placed
 in its order and sequences are numbered by the position of their first piece.
 
 Edge cases: null and empty texts hold only the end id; a document longer than the capacity is cut into
@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 from mediasift.llm.common import in_batches, materialise, prefix_sums, tidy
 from mediasift.llm.tokens import PieceEncoder, with_end
 
-POSITION, POSITION_BITS = "_position", 16
+POSITION_BITS = 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANK_BITS, ROWS_AT_ONCE = 44, 500
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """Documents as pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32 (and _position, if docs have it)."""
-    ordered = [POSITION] if POSITION in docs.columns else []
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, position: str | None = None) -> DataFrame:
+    """Documents as pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32 (and position, if docs' column `position` gives one)."""
+    ordered = ["position"] if position else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer)
@@ -59,7 +59,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
             crc = np.fromiter((zlib.crc32(ids[i:j]) for i, j in zip(begin, begin + length, strict=True)), np.int64, len(doc))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc), *[b.column(2).take(pa.array(doc)) for _ in ordered]], ["doc_id", "piece", "start", "length", "ids_crc32", *ordered])
 
-    return in_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *ordered)).mapInArrow(tidy(cut), PIECES + "".join(f", {c} long" for c in ordered))
+    return in_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[position].cast("long").alias(c) for c in ordered])).mapInArrow(tidy(cut), PIECES + "".join(f", {c} long" for c in ordered))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -114,17 +114,16 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces (doc_id, piece, length, …) with sequence_id and offset. The input should be a written table."""
+def pack(pieces: DataFrame, capacity: int, position: str | None = None) -> DataFrame:
+    """pieces (doc_id, piece, length, …) with sequence_id and offset, in the order of `position` if that is given. The input should be a written table."""
     counts = {int(r["length"]): r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if any(size > capacity or size < 1 for size in counts):
         raise ValueError("a piece is empty or longer than the capacity")
     rows = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
     key, sequence, offset = (rows[:, 0] << RANK_BITS) + rows[:, 1], rows[:, 3], rows[:, 4]
     names = pieces.columns
-    ordered = POSITION in names
-    order = [F.col(POSITION if ordered else "doc_id"), F.col("piece")]
-    bucket = F.shiftright(F.col(POSITION), POSITION_BITS) if ordered else None
+    order = [F.col(position or "doc_id"), F.col("piece")]
+    bucket = F.shiftright(F.col(position), POSITION_BITS) if position else None
     ranked = prefix_sums(pieces, ["length"], order, F.lit(1), "_rank", sum(counts.values()), bucket=bucket).select(*names, "_rank")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +136,14 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     placed = ranked.mapInArrow(sweep, f"{fields}, sequence_id long, offset long")
-    if not ordered:
+    if not position:
         return placed
     placed = materialise(placed, "placed")
-    heads = placed.filter("offset = 0").select("sequence_id", "piece", POSITION, F.lit(0).alias("_all"))
+    heads = placed.filter("offset = 0").select("sequence_id", "piece", position, F.lit(0).alias("_all"))
     numbers = prefix_sums(heads, ["_all"], order, F.lit(1), "_number", 0, bucket=bucket).select("sequence_id", "_number")
-    return placed.join(numbers.hint("merge"), "sequence_id").select(*[c for c in names if c != POSITION], F.col("_number").alias("sequence_id"), "offset")
+    return placed.join(numbers.hint("merge"), "sequence_id").select(*[c for c in names if c != position], F.col("_number").alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, position: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every document."""
-    return pack(materialise(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(materialise(token_pieces(docs, tokenizer, capacity, end_id, position), "pieces"), capacity, "position" if position else None)

@@ -345,7 +345,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 def keep_one_similar(docs: DataFrame) -> DataFrame:
     """docs with one document (the smallest doc_id) of each group of similar ones."""
     gone = similar_groups(docs).filter("node <> component").select(F.col("node").alias("gone_id"))
-    kept = docs.join(materialise(gone, "gone").hint("merge"), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = materialise(gone, "gone").hint("merge")
+    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
     twice = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if not twice:
         return kept
