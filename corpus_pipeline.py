@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from mediasift.llm import language
-from mediasift.llm.common import materialise
+from mediasift.llm.common import materialise, unused_names
 from mediasift.llm.exact_dedup import drop_duplicates
 from mediasift.llm.mixing import ADDED, in_order, mix, written_order
 from mediasift.llm.packing import pack_documents
@@ -22,7 +22,7 @@ from mediasift.llm.shingle_dedup import keep_one_similar
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the identifier, learned from the labelled rows, does not reject."""
-    added = tuple(f"__{name}" for name in language.ADDED)
+    added = unused_names(docs, language.ADDED)
     found = language.identify(docs, language.fit(docs), added)
     return found.filter(~found[added[2]]).drop(*added)
 
@@ -39,13 +39,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order that gives every source its tempered weight all along."""
-    added = tuple(f"__{name}" for name in ADDED)
+    added = unused_names(docs, ADDED)
     return in_order(mix(docs, added=added), added)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 1024 tokens, which are numbered in the mixture's order."""
-    return pack_documents(written_order(docs), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
+    (place,) = unused_names(docs, ("position",))
+    return pack_documents(written_order(docs, place), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2, place)
 
 
 STAGES = [
