@@ -11,6 +11,8 @@ from mediasift.functions import columns as c
 from mediasift.operators import cache, detections, frames, learning, matching, routing, runtime, scores, text
 from mediasift.operators.verdict import Settings, fold
 from mediasift.plans import fixtures as fx
+from mediasift.scratch import scratch
+from mediasift.sources import store
 from mediasift.sources.lists import parse_hash_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -509,6 +511,16 @@ def scores_moderation_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- cache ------------------------------------------------------------------------------------------------------
 
 
+@query("WITH b AS (SELECT md5(text) AS key, min(item_id) AS label FROM benchmark GROUP BY 1), d AS (SELECT md5(text) AS key, min(doc_id) AS label FROM documents GROUP BY 1) SELECT key, coalesce(b.label, d.label) AS label, b.label IS NOT NULL AS earlier FROM d FULL JOIN b USING (key)")
+def cache_store_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two jobs insert entries into a store; a key of both keeps the entry of the first."""
+    path = scratch(spark, "entries")
+    for name, row in (("benchmark", "item_id"), ("documents", "doc_id")):
+        rows = fx.table(spark, sf_dir, name).groupBy(F.md5("text").alias("key")).agg(F.min(row).alias("label"))
+        store.add_entries(rows.withColumn("earlier", F.lit(name == "benchmark")), path, 10_000)
+    return store.first_entries(store.read_entries(spark, path, "key string, label bigint, earlier boolean"), ["key"]).drop("seq")
+
+
 @query("SELECT doc_id, sha256('model-x' || chr(10) || lang || chr(10) || text) AS key FROM documents")
 def api_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fx.table(spark, sf_dir, "documents")

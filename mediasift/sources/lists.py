@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediasift.functions.columns import bits_of_hex
 from mediasift.operators.text import usable_patterns
+from mediasift.sources.store import add_entries, first_entries, read_entries
 
 
 def parse_hash_lines(lines: DataFrame, line_no: Column, text: Column, default_label: str) -> DataFrame:
@@ -32,8 +33,14 @@ def read_hash_list(spark: SparkSession, path: str, default_label: str) -> DataFr
 
 
 def append_hashes(entries: DataFrame, path: str) -> None:
-    """Append (hex, label) rows to a list folder; one writer at a time."""
-    entries.select(F.concat_ws(",", "hex", "label").alias("value")).coalesce(1).write.mode("append").text(path)
+    """Insert (hex, label) rows into a list store; any number of writers at a time, the first entry of a hash holds."""
+    add_entries(entries.select(F.lower("hex").alias("hex"), "label"), path, 10_000)
+
+
+def read_hash_store(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a list store, as read_hash_list gives them; line_no is their order."""
+    held = first_entries(read_entries(spark, path, "hex string, label string"), ["hex"])
+    return held.select(F.col("seq").alias("line_no"), "hex", "label", F.length("hex").alias("hex_len"), bits_of_hex(F.col("hex")).alias("bits"))
 
 
 def read_patterns(spark: SparkSession, path: str, strip_prefix: bool = False) -> list[str]:

@@ -16,7 +16,7 @@ from mediasift.operators.engines import Engine, allowlist_engine, blocklist_engi
 from mediasift.operators.scores import flatten_response, shown_scores
 from mediasift.sources import models, settings
 from mediasift.sources.gif import gif_frames
-from mediasift.sources.lists import append_hashes, read_cache, read_hash_list
+from mediasift.sources.lists import append_hashes, read_cache, read_hash_list, read_hash_store
 from mediasift.sources.media import animation_hashes, list_media, read_images, sample_places
 from mediasift.streaming.landing import arriving_files, moderate_stream
 
@@ -125,7 +125,9 @@ def test_hash_list_file(spark, tmp_path):
     new = spark.createDataFrame([("ABCDEF0123456789", "again"), ("00ff00ff00ff00ff", "n")], "hex string, label string")
     fresh = matching.insert_if_absent(new, read_hash_list(spark, f"file://{tmp_path}/l.txt", "block"))
     append_hashes(fresh, f"file://{tmp_path}/grown")
-    assert [r["hex"] for r in read_hash_list(spark, f"file://{tmp_path}/grown", "block").collect()] == ["00ff00ff00ff00ff"]
+    append_hashes(spark.createDataFrame([("00FF00FF00FF00FF", "late"), ("0000000000000001", "z")], "hex string, label string").coalesce(1), f"file://{tmp_path}/grown")
+    grown = read_hash_store(spark, f"file://{tmp_path}/grown").orderBy("line_no").collect()
+    assert [(r["hex"], r["label"], r["bits"]) for r in grown] == [("00ff00ff00ff00ff", "n", 0x00FF00FF00FF00FF), ("0000000000000001", "z", 1)]
 
 
 def test_nearest_match_ties_and_limits(spark):
