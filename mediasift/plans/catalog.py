@@ -14,6 +14,7 @@ from mediasift.plans import fixtures as fx
 from mediasift.scratch import scratch
 from mediasift.sources import store
 from mediasift.sources.lists import parse_hash_lines
+from mediasift.streaming import cache_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -511,6 +512,17 @@ def scores_moderation_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- cache ------------------------------------------------------------------------------------------------------
 
 
+@query("WITH k AS (SELECT event_type || '-' || user_id AS key, min(event_id) AS seq, max_by(props, event_id) AS value FROM events GROUP BY 1) SELECT key, seq, value FROM k ORDER BY seq DESC LIMIT 50")
+def cache_stream_evict_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream into a cache of 50 entries, kept as the stream's state."""
+    schema = fx.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a stream takes a pattern or a folder, not a file
+    updates = events.select(F.concat("event_type", F.lit("-"), "user_id").alias("key"), F.col("event_id").alias("seq"), F.col("props").alias("value"))
+    path = scratch(spark, "cache-stream")
+    cache_state.start(cache_state.cache_changes(updates, 50), f"{path}/changes", f"{path}/checkpoint").awaitTermination()
+    return cache_state.cache_of(spark.read.parquet(f"{path}/changes"))
+
+
 @query("WITH b AS (SELECT md5(text) AS key, min(item_id) AS label FROM benchmark GROUP BY 1), d AS (SELECT md5(text) AS key, min(doc_id) AS label FROM documents GROUP BY 1) SELECT key, coalesce(b.label, d.label) AS label, b.label IS NOT NULL AS earlier FROM d FULL JOIN b USING (key)")
 def cache_store_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two jobs insert entries into a store; a key of both keeps the entry of the first."""

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift.functions.columns import IMAGE_EXTENSIONS, is_image_path
 from mediasift.functions.imagehash import hash_pixels
-from mediasift.sources.gif import gif_frames
+from mediasift.sources.gif import Animation
 
 MEDIA = "media_id string, path string, name string, source_kind string, length bigint, load_error string"
 HASHES = "media_id string, n_frames int, pos int, idx int, hash_hex string, load_error string"
@@ -62,21 +61,26 @@ def sample_places(n: int, sample: int) -> list[int]:
 
 
 def animation_hashes(files: DataFrame, sample: int = 12) -> DataFrame:
-    """Hashes of sampled frames of GIF contents (media_id, content), one row a frame; unreadable ones an error row."""
+    """Hashes of sampled frames of GIF contents (media_id, content), one row a frame; unreadable ones an error row.
+
+    Only sampled frames, and those that their pictures depend on, are decoded; sampled ones that can't be are left out.
+    """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             rows = []
             for media_id, content in zip(frame["media_id"], frame["content"], strict=True):
+                found, error = [], None
                 try:
-                    frames: list[np.ndarray] = list(gif_frames(content))
+                    animation = Animation(content)
+                    for pos, idx in enumerate(sample_places(len(animation), sample)):
+                        try:
+                            found.append((media_id, len(animation), pos, idx, hash_pixels(animation.frame(idx)), None))
+                        except ValueError:
+                            continue
                 except (ValueError, IndexError) as e:
-                    frames, error = [], f"{type(e).__name__}: {e}"
-                else:
-                    error = None if frames else "no frames"
-                if error:
-                    rows.append((media_id, 0, None, None, None, error))
-                rows += [(media_id, len(frames), pos, idx, hash_pixels(frames[idx]), None) for pos, idx in enumerate(sample_places(len(frames), sample))]
+                    error = f"{type(e).__name__}: {e}"
+                rows += found or [(media_id, 0, None, None, None, error or "no frames")]
             yield pd.DataFrame(rows, columns=["media_id", "n_frames", "pos", "idx", "hash_hex", "load_error"]).astype({"pos": "Int32", "idx": "Int32"})
 
     return files.select("media_id", "content").mapInPandas(decode, HASHES)
