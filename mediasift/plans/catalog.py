@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift.functions import columns as c
+from mediasift.functions.jpeg import encode_jpeg
 from mediasift.operators import cache, detections, frames, learning, matching, routing, runtime, scores, text
 from mediasift.operators.verdict import Settings, fold
 from mediasift.plans import fixtures as fx
-from mediasift.scratch import scratch
+from mediasift.scratch import materialise, scratch
 from mediasift.sources import store
 from mediasift.sources.lists import parse_hash_lines
 from mediasift.streaming import cache_state
@@ -186,6 +189,46 @@ def frame_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.first_k(fx.table(spark, sf_dir, "conversations"), "conv_id", "turn", 2).select("conv_id", "turn", "role")
 
 
+# ---- images -----------------------------------------------------------------------------------------------------
+
+#: Mean difference of a tile's pixels that a payload of the usual quality may make.
+NEAR_PIXELS = 6
+
+
+@query("SELECT vec_id, 64 AS width, 64 AS height, 3 AS n_channels, true AS near FROM embeddings")
+def jpeg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as tiles of 8 x 8 grey pixels, 64 to an image, written as JPEG payloads and read back by the image source."""
+    folder = scratch(spark, "jpeg")
+    grey = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.round(128 + 400 * F.coalesce(F.get("embedding", i), F.lit(0.0))).cast("int"))))
+    tiles = fx.table(spark, sf_dir, "embeddings").select("vec_id", grey.alias("tile"))
+    pages = tiles.groupBy(F.floor(F.col("vec_id") / 64).alias("page")).agg(F.collect_list(F.struct((F.col("vec_id") % 64).cast("int").alias("at"), "tile")).alias("tiles"))  # 64 tiles a page
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = store._open(folder)
+        files.create_dir(root)
+        for b in batches:
+            for page, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                image = np.zeros((8, 8, 8, 8), np.uint8)  # row of tiles, row of pixels, tile, pixel
+                for t in found:
+                    image[t["at"] // 8, :, t["at"] % 8] = np.array(t["tile"]).reshape(8, 8)
+                with files.open_output_stream(f"{root}/{page}.jpg") as out:
+                    out.write(encode_jpeg(image.reshape(64, 64)))
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["page"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pixels = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 8, 8, 8, 8, 3)[..., 1].transpose(0, 1, 3, 2, 4).reshape(-1, 64)
+            ids = (np.array(b.column(0).to_pylist(), np.int64).reshape(-1, 1) * 64 + np.arange(64)).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(pixels.astype(np.int32)))], ["vec_id", "read"])
+
+    materialise(pages.mapInArrow(write, "page long"), "pages")
+    images = spark.read.format("image").load(folder).select(F.regexp_extract("image.origin", r"(-?\d+)\.jpg$", 1).cast("long").alias("page"), "image.*")
+    read = images.select("page", "data").mapInArrow(cut, "vec_id long, read array<int>")
+    sizes = images.agg(F.min("width").alias("width"), F.max("height").alias("height"), F.max("nChannels").alias("n_channels"))
+    apart = F.aggregate(F.zip_with("tile", "read", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b) / 64
+    return tiles.join(read, "vec_id").crossJoin(F.broadcast(sizes)).select("vec_id", "width", "height", "n_channels", (apart <= NEAR_PIXELS).alias("near"))  # one row of sizes
+
+
 # ---- text -------------------------------------------------------------------------------------------------------
 
 PATTERNS = ["license", "token\\s*=", "worthless|stupid", "the"]
