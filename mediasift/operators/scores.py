@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from functools import partial, reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Names that API responses use, and the scores that reports prefer.
 NEUTRAL = ("none", "safe", "neutral", "other", "non_suggestive", "normal", "ok", "no_nudity", "non_nudity", "clothed", "fully_clothed", "covered", "not_nude", "nonnude")
@@ -26,74 +23,146 @@ SHOWN_SYMBOLS = ("forbidden_symbols_max_conf", "forbidden_symbols_detection_coun
 SHOWN_API = ("nudity_safe", "nudity_raw", "nudity_partial", "weapon_firearm", "weapon_firearm_toy", "weapon_knife", "gore_prob", "violence_prob", "offensive_max")
 
 
-def _is_number(x: object) -> bool:
-    return isinstance(x, (int, float))
+#: Fields of a weapon model that are scores themselves.
+WEAPON_FIELDS = ("firearm", "knife", "firearm_toy", "firearm_gesture")
+NUMBERS, SCORES = "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE|BOOLEAN)", "map<string,double>"
 
 
-def _numbers(d: object) -> Iterator[tuple[str, float]]:
-    if isinstance(d, dict):
-        yield from ((k, float(v)) for k, v in d.items() if _is_number(v))
+def _with(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _deep_max(node: object) -> float:
-    """The largest number below node, not counting neutral names; 0 if none."""
-    if isinstance(node, list):
-        return max(map(_deep_max, (x for x in node if isinstance(x, (dict, list)))), default=0.0)
-    if not isinstance(node, dict):
-        return 0.0
-    open_names = [v for k, v in node.items() if str(k).strip().lower() not in NEUTRAL]
-    return max([0.0, *(float(v) if _is_number(v) else _deep_max(v) for v in open_names)])
+def _fields(v: Column) -> Column:
+    """The fields of an object; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-#: What is read of a response: (kind of model, place below it, names taken or None for all, prefix of the score). Later rules overwrite.
-RULES = (
-    ("weapon", ("classes",), None, "weapon_"),
-    ("weapon", (), ("firearm", "knife", "firearm_toy", "firearm_gesture"), "weapon_"),
-    ("weapon", ("firearm_type",), None, "weapon_firearm_type_"),
-    ("weapon", ("firearm_action", "firearm_gesture"), None, "weapon_firearm_action_"),
-    *((kind, place, None, f"{kind}_") for kind in ("gore", "violence", "offensive") for place in (("classes",), ())),
-)
+def _number(v: Column) -> Column:
+    """A number, or a truth value as 1 or 0; null for anything else."""
+    return F.when(F.schema_of_variant(v).rlike(NUMBERS), F.try_variant_get(v, "$", "double"))
 
 
-def _nudity(model: dict) -> dict[str, float]:
+def _none() -> Column:
+    return F.create_map().cast(SCORES)
+
+
+def _numbers(fields: Column, keep=None) -> Column:
+    """The numbers among fields, of the names that keep is true for; empty where there are none."""
+    found = F.transform_values(fields, lambda k, v: _number(v) if keep is None else F.when(keep(k), _number(v)))
+    return F.coalesce(F.map_filter(found, lambda k, v: v.isNotNull()), _none())
+
+
+def _overlaid(*maps: Column) -> Column:
+    """All maps in one; later ones win."""
+    return reduce(lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.coalesce(y, x)), maps)
+
+
+def _named(prefix: str, values: Column) -> Column:
+    return F.transform_keys(values, lambda k, v: F.concat(F.lit(prefix), k))
+
+
+def _single(name: str, value: Column) -> Column:
+    return F.when(value.isNotNull(), F.create_map(F.lit(name), value)).otherwise(_none())
+
+
+def _most(values: Column) -> Column:
+    return F.array_max(F.map_values(values))
+
+
+def _deep_max(node: Column) -> Column:
+    """The largest number below node, not counting what stands below neutral names; 0 if none.
+
+    Level by level: a step takes the containers of one level to their numbers and to the containers of the next. A
+    container is opened by a bracket, so there are at most as many levels as the text has of these.
+    """
+    entry = "array<struct<counted:boolean,v:variant>>"
+
+    def children(v: Column) -> Column:
+        own = F.transform(F.filter(F.map_entries(_fields(v)), lambda e: ~F.lower(F.trim(e["key"])).isin(*NEUTRAL)), lambda e: F.struct(F.lit(True).alias("counted"), e["value"].alias("v")))
+        listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.lit(False).alias("counted"), x.alias("v")))
+        return F.coalesce(own.cast(entry), listed.cast(entry), F.array().cast(entry))
+
+    def step(state: Column, _: Column) -> Column:
+        found = lambda below: F.array_max(F.transform(F.filter(below, lambda e: e["counted"]), lambda e: _number(e["v"])))
+        below = F.flatten(F.transform(state["open"], lambda e: children(e["v"])))
+        return _with(below, lambda b: F.struct(b.alias("open"), F.greatest(state["best"], found(b)).alias("best")))
+
+    levels = F.sequence(F.lit(0), F.length(F.regexp_replace(F.to_json(node), r"[^\[{]", "")))
+    begin = F.struct(F.array(F.struct(F.lit(False).alias("counted"), node.alias("v"))).cast(entry).alias("open"), F.lit(0.0).alias("best"))
+    return F.when(node.isNull(), 0.0).otherwise(F.aggregate(levels, begin, step, lambda a: a["best"]))
+
+
+def _nudity(model: Column) -> Column:
     """The three nudity scores: as given, or worked out of a graded model."""
-    given = {f"nudity_{k}": v for k, v in _numbers(model) if k in ("raw", "partial", "safe")}
-    if given:
-        return given
-    graded = {"none": 0.0, "safe": 0.0} | dict(_numbers(model))
-    safe, explicit, hints = (min(1.0, max(0.0, *(graded.get(k, 0.0) for k in names))) for names in (("none" if "none" in model else "safe",), EXPLICIT, SUGGESTIVE))
-    partial = max(hints, min(1.0, _deep_max(model.get("suggestive_classes"))))
-    return {"nudity_safe": safe, "nudity_raw": explicit, "nudity_partial": min(partial, 1 - safe) if safe > 0 else partial}
-
-
-def flatten_response(body: str | None) -> dict[str, float]:
-    """Scores of one nested response, by flat names; unreadable bodies give none."""
-    try:
-        data = json.loads(body or "")
-    except ValueError:
-        return {}
-    if not isinstance(data, dict):
-        return {}
-    model = {kind: next((data[n] for n in names if n in data), None) for kind, names in MODEL_NAMES.items()}
-    out = {"operations_used": float(data["operations"])} if _is_number(data.get("operations")) else {}
-    out |= _nudity(model["nudity"]) if isinstance(model["nudity"], dict) else {}
-    for kind, name in (("gore", "gore_prob"), ("violence", "violence_prob"), ("offensive", "offensive_max")):
-        if _is_number(model[kind]):
-            out[name] = float(model[kind])
-    offensive = []
-    for kind, places, names, prefix in RULES:
-        if isinstance(model[kind], dict):
-            node = next((model[kind][p] for p in places if model[kind].get(p)), None) if places else model[kind]
-            found = [(k, v) for k, v in _numbers(node) if names is None or k in names]
-            out |= {prefix + k: v for k, v in found if places or k != "classes"}
-            offensive += [v for k, v in found if kind == "offensive" and (places or k != "classes")]
-    return out | ({"offensive_max": max(offensive)} if offensive else {})
-
-
-@F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
-def flat_scores(bodies: pd.Series) -> pd.Series:
-    """flatten_response by batches: nesting is unbounded and types matter, which column functions can't express."""
-    return bodies.map(flatten_response)
+    within = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+
+    def worked(graded: Column) -> Column:
+        value = lambda name: F.coalesce(F.try_element_at(graded, F.lit(name)), F.lit(0.0))
+        safe = within(F.when(F.map_contains_key(model, "none"), value("none")).otherwise(value("safe")))
+        explicit, hints = (within(F.greatest(*map(value, names))) for names in (EXPLICIT, SUGGESTIVE))
+        partial = F.greatest(hints, within(_with(F.try_element_at(model, F.lit("suggestive_classes")), _deep_max)))
+        capped = lambda p: F.when(p["safe"] > 0, F.least(p["partial"], 1 - p["safe"])).otherwise(p["partial"])
+        return _with(F.struct(safe.alias("safe"), explicit.alias("raw"), partial.alias("partial")), lambda p: F.create_map(F.lit("nudity_safe"), p["safe"], F.lit("nudity_raw"), p["raw"], F.lit("nudity_partial"), capped(p)))
+
+    given = _numbers(model, lambda k: k.isin("raw", "partial", "safe"))
+    return F.when(model.isNull(), _none()).otherwise(_with(given, lambda g: F.when(F.size(g) > 0, _named("nudity_", g)).otherwise(_with(_numbers(model), worked))))
+
+
+def _truthy(v: Column) -> Column:
+    """Whether v is there and not empty, zero or false."""
+    listed, number = F.try_variant_get(v, "$", "array<variant>"), _number(v)
+    return F.when(v.isNull() | F.is_variant_null(v), False).when(_fields(v).isNotNull(), F.size(_fields(v)) > 0).when(listed.isNotNull(), F.size(listed) > 0).when(number.isNotNull(), number != 0).otherwise(F.try_variant_get(v, "$", "string") != "")
+
+
+def _field(fields: Column, name: str) -> Column:
+    return F.try_element_at(fields, F.lit(name))
+
+
+def _weapon(fields: Column) -> Column:
+    acted = _with(_field(fields, "firearm_action"), lambda a: F.when(_truthy(a), a).otherwise(_field(fields, "firearm_gesture")))
+    direct = [_named("weapon_", _numbers(_fields(_field(fields, "classes")))), _named("weapon_", _numbers(fields, lambda k: k.isin(*WEAPON_FIELDS)))]
+    return _overlaid(*direct, _named("weapon_firearm_type_", _numbers(_fields(_field(fields, "firearm_type")))), _named("weapon_firearm_action_", _numbers(_fields(acted))))
+
+
+def _levels(fields: Column) -> list[Column]:
+    """Numbers of a model by classes: its own, those of its classes, and those beside them; later ones win."""
+    return [_numbers(fields, lambda k: k == "prob"), _numbers(_fields(_field(fields, "classes"))), _numbers(fields, lambda k: ~k.isin("prob", "classes"))]
+
+
+def _classed(kind: str, whole: Column) -> Column:
+    single = _single("offensive_max" if kind == "offensive" else f"{kind}_prob", _number(whole))
+
+    def scored(levels: Column) -> Column:
+        named = _named(f"{kind}_", _overlaid(*[levels[i] for i in range(3)]))
+        return _overlaid(named, _single("offensive_max", F.greatest(*[_most(levels[i]) for i in range(3)]))) if kind == "offensive" else named
+
+    return _with(_fields(whole), lambda f: F.when(f.isNull(), single).otherwise(_with(F.array(*_levels(f)), scored)))
+
+
+def flat_scores(body: Column) -> Column:
+    """Scores of one nested response (JSON text), by flat names; unreadable bodies give none.
+
+    Numbers that JSON doesn't know, and objects with a name twice, make a body unreadable.
+    """
+
+    def model(data: Column, kind: str) -> Column:
+        return reduce(lambda found, n: F.when(F.map_contains_key(data, n), _field(data, n)).otherwise(found), reversed(MODEL_NAMES[kind]), F.lit(None).cast("variant"))
+
+    def scored(data: Column) -> Column:
+        parts = [_single("operations_used", _number(_field(data, "operations"))), _with(_fields(model(data, "nudity")), _nudity), _with(_fields(model(data, "weapon")), _weapon)]
+        parts += [_with(model(data, kind), partial(_classed, kind)) for kind in ("gore", "violence", "offensive")]
+        return F.concat(*map(F.map_entries, parts))
+
+    return _with(_fields(F.try_parse_json(body)), lambda data: F.when(data.isNull(), _none()).otherwise(F.map_from_entries(scored(data))))
+
+
+def flattened(responses: DataFrame, body: str, out: str) -> DataFrame:
+    """responses with the scores of their bodies.
+
+    An array of one, opened again, keeps the optimizer from copying the extraction into every column that reads it.
+    """
+    return responses.select("*", F.explode(F.array(flat_scores(F.col(body)))).alias(out))
 
 
 def category_scores(body: Column) -> Column:

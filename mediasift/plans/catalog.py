@@ -525,13 +525,13 @@ def _s(j: int) -> str:
 @query(f"""WITH p AS (SELECT event_id, {_s(3)} AS safe, greatest({_s(0)}, {_s(1)}) AS raw, greatest({_s(2)}, {_s(5)}, {_s(6)}) AS part FROM events)
 SELECT event_id, safe AS nudity_safe, raw AS nudity_raw, CASE WHEN safe > 0 THEN least(part, greatest(0, 1 - safe)) ELSE part END AS nudity_partial FROM p""")
 def scores_nudity_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = _responses(spark, sf_dir).select("event_id", scores.flat_scores("body").alias("s"))
+    flat = scores.flattened(_responses(spark, sf_dir), "body", "s").select("event_id", "s")
     return flat.select("event_id", *[F.col("s")[k].alias(k) for k in ("nudity_safe", "nudity_raw", "nudity_partial")])
 
 
 @query(f"WITH p AS (SELECT event_id, {_s(7)} AS f, {_s(8)} AS k, CASE WHEN event_id % 3 = 0 THEN {_s(9)} END AS t, {_s(10)} AS a FROM events) SELECT event_id, f AS weapon_firearm, k AS weapon_knife, t AS weapon_firearm_toy, a AS weapon_firearm_type_animated, f * (1 - greatest(coalesce(t, 0), a)) AS realistic FROM p")
 def scores_weapon_realistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = _responses(spark, sf_dir).select("event_id", scores.flat_scores("body").alias("s"))
+    flat = scores.flattened(_responses(spark, sf_dir), "body", "s").select("event_id", "s")
     keys = ("weapon_firearm", "weapon_knife", "weapon_firearm_toy", "weapon_firearm_type_animated")
     out = flat.select("event_id", *[F.try_element_at("s", F.lit(k)).alias(k) for k in keys])
     return out.withColumn("realistic", F.col("weapon_firearm") * (1 - F.greatest(F.coalesce("weapon_firearm_toy", F.lit(0.0)), "weapon_firearm_type_animated")))
@@ -539,7 +539,7 @@ def scores_weapon_realistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, {_s(11)} AS gore_prob, {_s(12)} AS offensive_prob, {_s(13)} AS offensive_nazi, greatest({_s(12)}, {_s(13)}, {_s(14)}, {_s(15)}) AS offensive_max, 5.0::DOUBLE AS operations_used FROM events")
 def scores_offensive_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = _responses(spark, sf_dir).select("event_id", scores.flat_scores("body").alias("s"))
+    flat = scores.flattened(_responses(spark, sf_dir), "body", "s").select("event_id", "s")
     return flat.select("event_id", *[F.col("s")[k].alias(k) for k in ("gore_prob", "offensive_prob", "offensive_nazi", "offensive_max", "operations_used")])
 
 

@@ -96,12 +96,3 @@ def test_nearest_match_agrees_by_every_plan(spark):
                 assert {r["media_id"]: (r["distance"], r["match_line"], r["match_label"]) for r in got.collect()} == want
     assert plan_keys(6, 10**8) > plan_keys(6, 100) > 0 == plan_keys(24, 10**4)
     assert not nearest_match(h, e.limit(0), 24).count() and not nearest_match(h.limit(0), e, 24, broadcast_rows=0).count()
-
-
-def test_covered_and_offensive_scores():
-    from mediasift.operators.scores import flatten_response
-
-    out = flatten_response('{"offensive": {"prob": 0.25, "classes": {"nazi": 0.75, "x": true}, "nazi": 0.5, "middle": "0.9"}}')
-    assert out == {"offensive_prob": 0.25, "offensive_nazi": 0.5, "offensive_x": 1.0, "offensive_max": 1.0}
-    assert flatten_response('{"offensive": {"classes": {"nazi": 0.75}, "nazi": 0.5}}')["offensive_max"] == 0.75
-    assert flatten_response('{"nudity": {"none": "x", "erotica": 2, "suggestive": 0.5, "suggestive_classes": {"a": [{"b": 0.75, "neutral": 1}]}}}') == {"nudity_safe": 0.0, "nudity_raw": 1.0, "nudity_partial": 0.75}

@@ -13,7 +13,7 @@ from mediasift.functions.columns import bits_of_hex
 from mediasift.functions.imagehash import cosine_matrix, hash_of_image, hash_pixels, resize_matrix
 from mediasift.operators import engines, matching, remote, routing, text
 from mediasift.operators.engines import Engine, allowlist_engine, blocklist_engine, run_engines, table_engine, text_engine
-from mediasift.operators.scores import flatten_response, shown_scores
+from mediasift.operators.scores import shown_scores
 from mediasift.sources import models, settings
 from mediasift.sources.gif import gif_frames
 from mediasift.sources.lists import append_hashes, read_cache, read_hash_list, read_hash_store
@@ -147,15 +147,6 @@ def test_patterns_in_order(spark):
     assert got == {"1": "b\\(", "2": "A+", "3": None, "4": None}
 
 
-def test_flatten_variants():
-    assert flatten_response("{") == {} and flatten_response(None) == {} and flatten_response("[1]") == {}
-    assert flatten_response('{"nudity-2.1": {"raw": 0.5, "safe": true}}') == {"nudity_raw": 0.5, "nudity_safe": 1.0}
-    deep = '{"nudity": {"none": 0.75, "suggestive_classes": {"x": [{"neutral": 1, "y": 0.5}]}}}'
-    assert flatten_response(deep) == {"nudity_safe": 0.75, "nudity_raw": 0.0, "nudity_partial": 0.25}
-    assert flatten_response('{"weapon": {"classes": {"firearm": 0.1}, "firearm": 0.2, "firearm_gesture": {"aim": 0.3}}}') == {"weapon_firearm": 0.2, "weapon_firearm_action_aim": 0.3}
-    assert flatten_response('{"offensive": 0.5, "gore": {"prob": 0.25, "classes": {"corpse": 0.5}}}') == {"offensive_max": 0.5, "gore_prob": 0.25, "gore_corpse": 0.5}
-
-
 def test_settings_lines(tmp_path):
     assert settings.parse_line("export A = 'x # y' ") == ("A", "x # y")
     assert settings.parse_line("set B=1 # note") == ("B", "1")
