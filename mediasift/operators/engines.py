@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.operators.matching import exact_match, nearest_match
+from mediasift.functions.columns import hex_of_bits
+from mediasift.operators.matching import match_of_frames
 from mediasift.operators.routing import ENGINE_ORDER
 from mediasift.operators.text import text_check
 from mediasift.sources.settings import switch
@@ -53,33 +54,28 @@ def run_engines(media: DataFrame, engines: list[Engine]) -> DataFrame:
     return out
 
 
-def _match_result(found: DataFrame, score: str, distance: Column) -> DataFrame:
-    hit = F.col("match_line").isNotNull()
-    details = F.map_filter(F.create_map(F.lit("match_label"), F.col("match_label"), F.lit("distance"), distance.cast("string")), lambda k, v: v.isNotNull())
-    return found.select("media_id", F.create_map(F.lit(score), F.when(hit, 1.0).otherwise(0.0)).alias("scores"), details.alias("details"), F.lit(None).cast("string").alias("error"))
-
-
-def blocklist_engine(entries: DataFrame, radius: int = 6) -> Engine:
-    """Nearest match of `bits` within radius; skipped when the list is empty."""
+def _list_engine(name: str, score: str, empty: str, entries: DataFrame, radius: int) -> Engine:
+    """The best match of an item's first and last frame hash (`first`, `last`, or `bits` for both) with a list."""
 
     def run(media: DataFrame) -> DataFrame:
-        near = nearest_match(media, entries, radius)
-        return _match_result(media.select("media_id").join(near, "media_id", "left"), "phash_block_match", F.col("distance"))
+        frames = media.select("media_id", *[F.col(c if c in media.columns else "bits").alias(c) for c in ("first", "last")])
+        found = frames.join(match_of_frames(frames, entries, radius), "media_id", "left")
+        hit = F.col("match_line").isNotNull()
+        told = {"match_hex": hex_of_bits(F.col("match_bits")), "match_label": F.col("match_label"), "distance": F.col("distance").cast("string"), "matched_on": F.col("matched_on"), "first": hex_of_bits(F.col("first")), "last": hex_of_bits(F.col("last"))}
+        details = F.map_filter(F.create_map(*[x for k, v in told.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+        return found.select("media_id", F.create_map(F.lit(score), F.when(hit, 1.0).otherwise(0.0)).alias("scores"), details.alias("details"), F.lit(None).cast("string").alias("error"))
 
-    return Engine("pHash blocklist", run, bool(entries.limit(1).count()), "blocklist empty")
+    return Engine(name, run, bool(entries.limit(1).count()), empty)
 
 
-def allowlist_engine(entries: DataFrame, radius: int = 0) -> Engine:
-    """Exact match of `bits` (or nearest, for a radius above 0); skipped when the list is empty."""
+def blocklist_engine(entries: DataFrame, radius: int = 6) -> Engine:
+    """Nearest match within radius, equal hashes for radius 0; skipped when the list is empty."""
+    return _list_engine("pHash blocklist", "phash_block_match", "blocklist empty", entries, radius)
 
-    def run(media: DataFrame) -> DataFrame:
-        if radius > 0:
-            near = nearest_match(media, entries, radius)
-            return _match_result(media.select("media_id").join(near, "media_id", "left"), "phash_allow_match", F.col("distance"))
-        found = exact_match(media.select("media_id", "bits"), entries)
-        return _match_result(found, "phash_allow_match", F.when(F.col("match_line").isNotNull(), 0))
 
-    return Engine("pHash allowlist", run, bool(entries.limit(1).count()), "allowlist empty")
+def allowlist_engine(entries: DataFrame, radius: int = 0) -> Engine:
+    """Equal hashes, or nearest for a radius above 0; skipped when the list is empty."""
+    return _list_engine("pHash allowlist", "phash_allow_match", "allowlist empty", entries, radius)
 
 
 def text_engine(patterns: list[str], least: int = 3) -> Engine:

@@ -25,11 +25,6 @@ def exact_match(hashes: DataFrame, entries: DataFrame) -> DataFrame:
     return hashes.join(found, "bits", "left")
 
 
-def _best(pairs: DataFrame, key: str) -> DataFrame:
-    best = F.min(F.struct("distance", "line_no", "label")).alias("_best")
-    return pairs.groupBy(key).agg(best).select(key, F.col("_best.distance").alias("distance"), F.col("_best.line_no").alias("match_line"), F.col("_best.label").alias("match_label"))
-
-
 def _cuts(radius: int, together: int) -> list[int]:
     """Masks of bits: hashes that differ in at most radius bits agree under one of them.
 
@@ -85,23 +80,42 @@ def near_pairs(hashes: DataFrame, entries: DataFrame, radius: int, together: int
     return pairs.select("bits", "entry_bits", F.bit_count(differ).alias("distance"))
 
 
+MATCH = ("distance", "match_line", "match_label", "match_bits")
+
+
+def _nearest(hashes: DataFrame, entries: DataFrame, radius: int, key: str, **how) -> DataFrame:
+    """key and MATCH of the nearest entry within radius; distinct hashes are matched, and each one's entry goes to all its rows."""
+    lines = entries.groupBy(F.col("bits").alias("entry_bits")).agg(F.min(F.struct("line_no", "label")).alias("_line"))
+    pairs = near_pairs(hashes, entries, radius, **how).join(lines, "entry_bits")
+    best = pairs.groupBy("bits").agg(F.min(F.struct("distance", F.col("_line.line_no").alias("match_line"), F.col("_line.label").alias("match_label"), F.col("entry_bits").alias("match_bits"))).alias("_m"))
+    return hashes.select(key, "bits").join(best, "bits").groupBy(key).agg(F.min("_m").alias("_m")).select(key, "_m.*")
+
+
 def nearest_match(hashes: DataFrame, entries: DataFrame, radius: int, key: str = "media_id", together: int | None = None, broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The nearest entry within radius of each hash (key, bits); the first line wins ties.
+    """The nearest entry within radius of each hash (key, bits); the first line wins ties."""
+    return _nearest(hashes, entries, radius, key, together=together, broadcast_rows=broadcast_rows, block_rows=block_rows).drop("match_bits")
+
+
+def match_of_frames(frames: DataFrame, entries: DataFrame, radius: int, key: str = "media_id") -> DataFrame:
+    """key, MATCH and matched_on: the nearest entry to the first or last frame hash (key, first, last); the first frame wins ties.
 
-    Distinct hashes are matched (`near_pairs`), and each hash's best entry then goes to all its rows.
+    A radius of 0 or less asks for equal hashes, of which the last line counts; otherwise the first of the nearest lines.
     """
-    lines = entries.groupBy(F.col("bits").alias("entry_bits")).agg(F.min(F.struct("line_no", "label")).alias("_line"))
-    pairs = near_pairs(hashes, entries, radius, together, broadcast_rows, block_rows).join(lines, "entry_bits")
-    best = _best(pairs.select("bits", "distance", "_line.line_no", "_line.label"), "bits")
-    return hashes.select(key, "bits").join(best, "bits").groupBy(key).agg(F.min(F.struct("distance", "match_line", "match_label")).alias("_best")).select(key, "_best.*")
+    side = lambda n, column: frames.select(F.struct(key, F.lit(n).alias("side")).alias("_of"), F.col(column).alias("bits"))
+    sides = side(0, "first").unionByName(side(1, "last")).filter("bits is not null")
+    if radius > 0:
+        near = _nearest(sides, entries, radius, "_of")
+    else:
+        equal = last_entries(entries).select("bits", F.lit(0).alias("distance"), F.col("line_no").alias("match_line"), F.col("label").alias("match_label"), F.col("bits").alias("match_bits"))
+        near = sides.join(equal, "bits").drop("bits")
+    best = F.min(F.struct("distance", F.col("_of.side").alias("side"), *MATCH[1:])).alias("b")
+    found = near.groupBy(F.col(f"_of.{key}").alias(key)).agg(best)
+    return found.select(key, *[F.col(f"b.{c}").alias(c) for c in MATCH], F.when(F.col("b.side") == 0, "first").otherwise("last").alias("matched_on"))
 
 
 def nearest_of_two(frames: DataFrame, entries: DataFrame, radius: int, key: str = "media_id") -> DataFrame:
     """The nearest entry to the first or last frame hash (key, first, last); the first frame wins ties."""
-    sides = frames.select(F.struct(key, F.lit(0).alias("side")).alias("k"), F.col("first").alias("bits")).unionByName(frames.select(F.struct(key, F.lit(1).alias("side")).alias("k"), F.col("last").alias("bits")))
-    near = nearest_match(sides.withColumnRenamed("k", "media_side"), entries, radius, "media_side")
-    best = F.min(F.struct("distance", F.col("media_side.side").alias("side"), "match_line", "match_label")).alias("b")
-    return near.groupBy(F.col(f"media_side.{key}").alias(key)).agg(best).select(key, F.col("b.distance").alias("distance"), F.when(F.col("b.side") == 0, "first").otherwise("last").alias("matched_on"), F.col("b.match_line").alias("match_line"), F.col("b.match_label").alias("match_label"))
+    return match_of_frames(frames, entries, radius, key).drop("match_bits")
 
 
 def insert_if_absent(new: DataFrame, entries: DataFrame) -> DataFrame:

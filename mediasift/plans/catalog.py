@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediasift.functions import columns as c
 from mediasift.functions.jpeg import encode_jpeg
-from mediasift.operators import cache, detections, frames, learning, matching, routing, runtime, scores, text
+from mediasift.operators import cache, detections, engines, frames, learning, matching, routing, runtime, scores, text
 from mediasift.operators.verdict import Settings, fold
 from mediasift.plans import fixtures as fx
 from mediasift.scratch import materialise, scratch
@@ -156,6 +156,32 @@ def list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_hash_lines(d, F.col("doc_id"), line, "block").drop("bits")
 
 
+#: Frames of an item: its hash, and the hash with up to three bits changed.
+LAST_BITS = "xor(bits, (1::BIGINT << (media_id % 4)::INT) - 1)"
+DETAILS_SQL = """SELECT f.media_id, 'ok' AS status, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score, {hex} AS match_hex, lab AS match_label, d::VARCHAR AS distance, w AS matched_on,
+  printf('%016x', CASE WHEN f < 0 THEN f::HUGEINT + 18446744073709551616 ELSE f END::UBIGINT) AS first, printf('%016x', CASE WHEN l < 0 THEN l::HUGEINT + 18446744073709551616 ELSE l END::UBIGINT) AS last FROM f LEFT JOIN b USING (media_id)"""
+HIT_HEX = "printf('%016x', CASE WHEN e < 0 THEN e::HUGEINT + 18446744073709551616 ELSE e END::UBIGINT)"
+
+
+def _list_details(spark: SparkSession, sf_dir: str, engine: Callable[[DataFrame], engines.Engine], score: str) -> DataFrame:
+    h = fx.hashes(spark, sf_dir)
+    media = h.select("media_id", F.col("bits").alias("first"), F.col("bits").bitwiseXOR(F.expr("shiftleft(1L, cast(media_id % 4 as int)) - 1")).alias("last"))
+    found = engine(h).results(media)
+    return found.select("media_id", "status", F.col("scores")[score].alias("score"), *[F.try_element_at("details", F.lit(k)).alias(k) for k in ("match_hex", "match_label", "distance", "matched_on", "first", "last")])
+
+
+@query(f"WITH {fx.HASHES_SQL}, f AS (SELECT media_id, bits AS f, {LAST_BITS} AS l FROM h), s AS (SELECT media_id, 0 AS side, f AS x FROM f UNION ALL SELECT media_id, 1, l FROM f), c AS (SELECT s.media_id, min(struct_pack(d := bit_count(xor(x, bl.bits))::INT, s := side, n := line_no, l := bl.label, e := bl.bits)) AS b FROM s JOIN bl ON bit_count(xor(x, bl.bits)) <= 6 GROUP BY 1), b AS (SELECT media_id, b.n AS n, b.d AS d, b.l AS lab, b.e AS e, CASE b.s WHEN 0 THEN 'first' ELSE 'last' END AS w FROM c) {DETAILS_SQL.format(hex=f'CASE WHEN n IS NOT NULL THEN {HIT_HEX} END')}")
+def engine_blocklist_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block list engine on first and last frames, with all that it tells."""
+    return _list_details(spark, sf_dir, lambda h: engines.blocklist_engine(fx.block_list(h), 6), "phash_block_match")
+
+
+@query(f"WITH {fx.HASHES_SQL}, f AS (SELECT media_id, bits AS f, {LAST_BITS} AS l FROM h), a AS (SELECT bits, max(line_no) AS n, max_by(label, line_no) AS lab FROM al GROUP BY bits), b AS (SELECT media_id, coalesce(x.n, y.n) AS n, coalesce(x.lab, y.lab) AS lab, CASE WHEN x.n IS NOT NULL OR y.n IS NOT NULL THEN 0 END AS d, coalesce(x.bits, y.bits) AS e, CASE WHEN x.n IS NOT NULL THEN 'first' WHEN y.n IS NOT NULL THEN 'last' END AS w FROM f LEFT JOIN a x ON x.bits = f LEFT JOIN a y ON y.bits = l) {DETAILS_SQL.format(hex=f'CASE WHEN n IS NOT NULL THEN {HIT_HEX} END')}")
+def engine_allowlist_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The allow list engine on first and last frames, by equal hashes."""
+    return _list_details(spark, sf_dir, lambda h: engines.allowlist_engine(fx.allow_list(h)), "phash_allow_match")
+
+
 # ---- frames -----------------------------------------------------------------------------------------------------
 
 SAMPLE_SQL = """
