@@ -1,6 +1,6 @@
-"""Frames of animations as a data source that decodes what a query asks for.
+"""Frames of GIF animations and lossless WEBP pictures as a data source that decodes what a query asks for.
 
-`read_frames` (format "mediasift_frames" after `register`) lists the animations of a folder and gives a row for each
+`read_frames` (format "mediasift_frames" after `register`) lists the .gif and .webp files of a folder and gives a row for each
 sampled frame: media_id, n_frames, pos (in the sample), idx (in the file), width, height, pixels (RGB rows),
 hash_hex, decoded (frames decoded of the file up to this row) and load_error, or as many of these as the schema names.
 
@@ -91,11 +91,12 @@ class FrameReader(DataSourceReader):
     def _frames(self, path: str, content: bytes) -> Iterator[tuple]:
         from mediasift.functions.imagehash import hash_pixels
         from mediasift.sources.gif import Animation
+        from mediasift.sources.webp import Picture
 
         row: dict[str, object] = {"media_id": path, "n_frames": 0}
         error, shown, asked = None, 0, False
         try:
-            animation = Animation(content)
+            animation = Picture(content) if content[:4] == b"RIFF" else Animation(content)
             row |= {"n_frames": len(animation), "width": animation.width, "height": animation.height}
             for pos, idx in enumerate(sample_places(len(animation), self.sample)):
                 if not (self._wants("pos", pos) and self._wants("idx", idx)):
