@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mediasift.functions import columns as c
 from mediasift.functions.jpeg import encode_jpeg
 from mediasift.operators import cache, detections, engines, frames, learning, matching, routing, runtime, scores, text
+from mediasift.operators.table_functions import register_engines
 from mediasift.operators.verdict import Settings, fold
 from mediasift.plans import fixtures as fx
 from mediasift.scratch import materialise, scratch
@@ -727,6 +728,18 @@ def autolearn_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.learn_in_order(fx.turns(h), fx.given_entries(h), how, block_radius=1, allow_radius=0)
 
 
+@query("""WITH g AS (SELECT user_id AS media_id, count(*) FILTER (event_type IS NULL OR event_id % 50 = 7) AS bad, arg_max(event_type, struct_pack(v := value, o := -event_id)) AS label, max(value) AS peak, count(*) AS n FROM events GROUP BY 1)
+SELECT media_id, CASE WHEN bad > 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad = 0 THEN peak END AS peak, CASE WHEN bad = 0 THEN n::DOUBLE END AS rows, CASE WHEN bad = 0 THEN label END AS label FROM g""")
+def engine_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine called from SQL on the events of each user; users with a row that has no label are errors."""
+    register_engines(spark)
+    events = fx.table(spark, sf_dir, "events")
+    rows = events.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("idx"), F.when(F.col("event_id") % 50 != 7, F.col("event_type")).alias("label"), F.col("value").alias("confidence"))
+    found = spark.sql("SELECT media_id, status, scores, details FROM engine_results(TABLE({rows}) PARTITION BY media_id ORDER BY idx, engine => 'mediasift.operators.table_functions:PeakScore')", rows=rows)
+    score = lambda k: F.try_element_at("scores", F.lit(k)).alias(k)
+    return found.select("media_id", "status", score("peak"), score("rows"), F.try_element_at("details", F.lit("label")).alias("label"))
+
+
 # ---- runtime statistics -----------------------------------------------------------------------------------------
 
 STATS_SQL = "round(sum({t}) / count(*), 2) AS avg_{p}ms, trunc(quantile_cont({t}, 0.5))::BIGINT AS median_{p}ms, min({t}) AS min_{p}ms, max({t}) AS max_{p}ms, quantile_disc({t}, 0.95) AS p95_{p}ms"
