@@ -12,7 +12,8 @@ fingerprint can only meet those whose distance to each vantage point differs by
 shards: a fingerprint is stored in one leaf a tree and queried in all leaves that its radius overlaps. With more
 bands than `distance` the radius of the combinations is zero, and no leaf overlaps another; with fewer, neighbouring
 leaves are queried as well. `plan_bands` takes the number of bands for which trees and pairs in leaves cost
-least: parts get wider as fingerprints get more, so that leaves stay small. Pairs that share a leaf are compared exactly; a leaf of
+least: parts get wider as fingerprints get more, so that leaves stay small. A leaf that is large all the same, since texts
+are alike, branches by bands of its other bits. Pairs that share a leaf are compared exactly; what is left of
 many fingerprints is cut into chunks that meet pairwise in tasks of bounded size. Equal fingerprints are one
 point; of the pairs found only a spanning forest leaves a task.
 
@@ -37,6 +38,8 @@ from mediasift.llm.common import attach_groups, connected_components, in_batches
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
 LEVELS, LEAF_ROWS = 10, 4096
+#: How often a leaf that is still too large branches by bits that it doesn't agree in; after that, chunks of it meet pairwise.
+BRANCHED = 2
 BATCH_SHINGLES = 200_000
 
 
@@ -195,14 +198,15 @@ def link_forest(points: DataFrame, distance: int = DISTANCE, bands: int | None =
     masks, radius = parts_of(distance, bands or plan_bands(points.count(), distance))
     store, probe = leaves(F.col("fp"), masks, radius, levels)
     points = points.filter("rep is not null")
-    placed = points.select(F.explode(store).alias("leaf"), "fp", "rep")
-    counts = placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF_ROWS)
-    chunks = counts.select("leaf", F.ceil(F.col("n") / LEAF_ROWS).cast("int").alias("chunks"))
     if radius:
-        placed = placed.withColumn("role", F.lit(1)).unionByName(points.select(F.explode(probe).alias("leaf"), "fp", "rep").withColumn("role", F.lit(2)))
+        placed = points.select(F.explode(store).alias("leaf"), "fp", "rep").withColumn("role", F.lit(1))
+        met = placed.unionByName(points.select(F.explode(probe).alias("leaf"), "fp", "rep").withColumn("role", F.lit(2)))
     else:
-        placed = placed.withColumn("role", F.lit(0))
-    cut = placed.join(chunks, "leaf", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        placed = _small_leaves(points.select(F.posexplode(store).alias("part", "leaf"), "fp", "rep"), masks, distance)
+        met = placed.withColumn("role", F.lit(0))
+    counts = placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF_ROWS)
+    chunks = counts.select("leaf", F.ceil(F.col("n") / LEAF_ROWS).cast("int").alias("chunks"))
+    cut = met.join(chunks, "leaf", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     met = cut.select("leaf", mine.alias("c"), other.alias("o"), "role", "fp", "rep").select("leaf", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "role", "fp", "rep")
@@ -210,6 +214,39 @@ def link_forest(points: DataFrame, distance: int = DISTANCE, bands: int | None =
     return met.mapInArrow(lambda batches: _links_in_leaves(batches, distance), "u long, v long")
 
 
+def narrowed(masks: list[int], distance: int) -> tuple[list[list[int]], list[int]]:
+    """(bands of the bits outside each mask, every mask with each of its bands): two fingerprints within distance that agree under a mask agree in one of its bands."""
+    bands = []
+    for mask in masks:
+        rest = [b for b in range(BITS) if not mask >> b & 1]
+        bands.append([sum(1 << int(b) for b in part) for part in np.array_split(rest, distance + 1)])
+    return bands, [mask | band for mask, own in zip(masks, bands, strict=True) for band in own]
+
+
+def _small_leaves(placed: DataFrame, masks: list[int], distance: int) -> DataFrame:
+    """leaf, fp, rep of placed (with the part of each leaf), the points of large leaves in branches of theirs.
+
+    A leaf's points agree in a part of their bits, so those that link agree in one of a few bands of the others: a
+    large leaf branches by these, and a point goes to as many branches instead of meeting all of the leaf.
+    """
+    ready: DataFrame | None = None
+    for _ in range(BRANCHED):
+        large = placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF_ROWS).select("leaf", F.lit(True).alias("large"))
+        large = materialise(large, "large")
+        if not large.limit(1).count():
+            break
+        marked = materialise(placed.join(large, "leaf", "left"), "leaves")
+        done = marked.filter("large is null").select("leaf", "fp", "rep")
+        ready = done if ready is None else ready.unionByName(done)
+        bands, masks = narrowed(masks, distance)
+        listed = F.array(*[F.array(*[F.lit(_signed(m)) for m in own]) for own in bands])
+        branch = lambda m, j: F.struct((F.col("part") * (distance + 1) + j).alias("part"), F.xxhash64("leaf", j, F.col("fp").bitwiseAND(m)).alias("leaf"))
+        branches = F.explode(F.transform(F.element_at(listed, F.col("part") + 1), branch)).alias("b")
+        placed = marked.filter("large").select(branches, "fp", "rep").select("b.part", "b.leaf", "fp", "rep")
+    placed = placed.select("leaf", "fp", "rep")
+    return placed if ready is None else ready.unionByName(placed)
+
+
 def candidate_pairs(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(u, v): documents (doc_id, fp) whose fingerprints link; enough pairs to span nearly all groups, none of them a hub."""
     points = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
