@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from mediasift import report
 from mediasift.functions.columns import bits_of_hex
 from mediasift.functions.imagehash import hash_of_image
+from mediasift.operators import runtime
 from mediasift.operators.engines import allowlist_engine, blocklist_engine, run_engines
 from mediasift.operators.routing import moderate
+from mediasift.scratch import materialise
 from mediasift.session import local_session
 from mediasift.sources import settings
 from mediasift.sources.lists import read_hash_list
 from mediasift.sources.media import list_media, read_images
 
+#: Inputs up to this number are shown one by one; reports of more are written by Spark.
+MOST_SHOWN = 1000
+
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="mediasift", description=__doc__)
@@ -28,6 +35,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--blocklist", default="blocklist.txt")
     p.add_argument("--json")
     p.add_argument("--benchmark", action="store_true")
+    p.add_argument("--benchmark-json")
     a = p.parse_args(argv)
     run = settings.resolve(settings.load(), a.no_apis)
     spark = local_session()
@@ -45,18 +53,29 @@ def main(argv: list[str] | None = None) -> int:
         images = read_images(spark, a.input, a.recursive)
         hashed = images.select("media_id", "load_error", bits_of_hex(hash_of_image("image")).alias("bits"))
         media = listed.select("media_id", "name", "path").join(hashed, "media_id", "left").withColumn("load_error", F.when(F.col("bits").isNull(), F.coalesce("load_error", F.lit("undecodable"))))
-    media = media.cache()
+    media = materialise(media, "media")
     lists = [blocklist_engine(read_hash_list(spark, a.blocklist, "block"), run.block_distance), allowlist_engine(read_hash_list(spark, a.allowlist, "allow"), run.allow_distance)]
-    results = run_engines(media.filter("load_error is null"), lists).cache()
+    results = materialise(run_engines(media.filter("load_error is null"), lists), "results")
     none = results.limit(0)
-    verdicts = moderate(media, lambda m: results.join(m.select("media_id"), "media_id", "left_semi"), lambda m: none, lambda m: none, run.settings, run.route)
-    rows = [report.worded(r.asDict(recursive=True)) for r in report.report_table(media, verdicts, results).orderBy("path").collect()]
-    print("\n".join(report.text_lines(rows)))
-    if a.benchmark:
-        print(f"{inputs} inputs in {1000 * (time.time() - began):.0f} ms")
-    if a.json:
-        report.write_json(rows, a.json, inputs)
-    return report.exit_status([r["verdict"]["label"] for r in rows])
+    verdicts = materialise(moderate(media, lambda m: results.join(m.select("media_id"), "media_id", "left_semi"), lambda m: none, lambda m: none, run.settings, run.route), "verdicts")
+    reports = report.report_table(media, verdicts, results)
+    if inputs <= MOST_SHOWN:
+        rows = [report.worded(r.asDict(recursive=True)) for r in reports.orderBy("path").collect()]
+        print("\n".join(report.text_lines(rows)))
+        if a.json:
+            report.write_json(rows, a.json, inputs)
+    elif a.json:
+        reports.write.json(a.json)  # a folder with a line an item
+    if a.benchmark or a.benchmark_json:
+        wall = int(1000 * (time.time() - began))
+        each = F.lit(wall // inputs)  # all items go through a stage together, so each has its share of the time
+        items = media.select("media_id", each.alias("total_ms"), F.monotonically_increasing_id().alias("input_ord")).join(verdicts.select("media_id", "label"), "media_id")
+        summary = report.benchmark(results.withColumn("took_ms", F.lit(None).cast("bigint")), items, wall)
+        if a.benchmark:
+            print("\n".join(report.summary_lines(summary)))
+        if a.benchmark_json:
+            Path(a.benchmark_json).write_text(json.dumps(summary, ensure_ascii=False, indent=2), encoding="utf-8")
+    return runtime.exit_code(verdicts).first()["exit_code"]
 
 
 if __name__ == "__main__":

@@ -41,3 +41,24 @@ def symbol_scores(detections: DataFrame, ignore: tuple[str, ...] = (), review: f
     found = kept.groupBy("media_id").agg(F.count("*").alias("forbidden_symbols_detection_count"), F.max("confidence").alias("forbidden_symbols_max_conf"), F.max_by("label", F.struct("confidence", -F.col("seq"))).alias("top_label"))
     top = F.col("forbidden_symbols_max_conf")
     return found.withColumns({"forbidden_symbols_detected": F.lit(1.0), "forbidden_symbols_review_hit": F.when(top >= review, 1.0).otherwise(0.0), "forbidden_symbols_block_hit": F.when(top >= block, 1.0).otherwise(0.0)})
+
+
+#: Scores of the symbol engine, in the order it gives them.
+SYMBOL_SCORES = ("forbidden_symbols_detected", "forbidden_symbols_max_conf", "forbidden_symbols_review_hit", "forbidden_symbols_block_hit", "forbidden_symbols_detection_count", "forbidden_symbols_top_conf")
+NOT_RUN = "FORBIDDEN_SYMBOLS_YOLO_MAX_FRAMES<=0"
+
+
+def symbol_results(media: DataFrame, detections: DataFrame, most_frames: int = 2, ignore: tuple[str, ...] = (), review: float = 0.30, block: float = 0.90) -> DataFrame:
+    """media_id, scores and details of every item; detections (frame_pos, …) of the first most_frames frames count.
+
+    With most_frames of 0 or less no frame is looked at: all scores are 0 and details say why.
+    """
+    zeros = F.map_from_entries(F.array(*[F.struct(F.lit(n), F.lit(0.0)) for n in SYMBOL_SCORES]))
+    if most_frames <= 0:
+        told = F.create_map(*map(F.lit, ("detection_count", "0", "top_label", "", "inference_skipped", "true", "skip_reason", NOT_RUN)))
+        return media.select("media_id", zeros.alias("scores"), told.alias("details"))
+    found = symbol_scores(detections.filter(F.col("frame_pos") < most_frames), ignore, review, block).withColumn("forbidden_symbols_top_conf", F.col("forbidden_symbols_max_conf"))
+    scores = F.create_map(*[x for n in SYMBOL_SCORES for x in (F.lit(n), F.col(n).cast("double"))])
+    details = F.create_map(F.lit("detection_count"), F.coalesce(F.col("forbidden_symbols_detection_count"), F.lit(0)).cast("string"), F.lit("top_label"), F.coalesce("top_label", F.lit("")))
+    joined = media.select("media_id").join(found, "media_id", "left")
+    return joined.select("media_id", F.when(F.col("forbidden_symbols_detected").isNull(), zeros).otherwise(scores).alias("scores"), details.alias("details"))

@@ -27,6 +27,13 @@ def item_rollup(runs: DataFrame, items: DataFrame) -> DataFrame:
     return joined.withColumn("unattributed_ms", F.greatest(zero, F.col("total_ms") - F.col("engine_total_ms")))
 
 
+def item_engines(runs: DataFrame) -> DataFrame:
+    """media_id and engines: name, status and took_ms of each engine's run, in the order they stand."""
+    run = F.struct("engine_ord", F.coalesce("engine", F.lit("engine")).alias("name"), F.lower(F.coalesce("status", F.lit(""))).alias("status"), safe_ms(F.col("took_ms")).alias("took_ms"))
+    listed = F.transform(F.sort_array(F.collect_list(run)), lambda r: F.struct(r["name"].alias("name"), r["status"].alias("status"), r["took_ms"].alias("took_ms")))
+    return runs.groupBy("media_id").agg(listed.alias("engines"))
+
+
 def nearest_rank(column: str, q: float) -> Column:
     """The value at rank ceil(q/100 * n), q held to 0..100; 0 for no values."""
     share = min(100.0, max(0.0, q)) / 100

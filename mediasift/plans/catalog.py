@@ -740,6 +740,25 @@ def engine_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("media_id", "status", score("peak"), score("rows"), F.try_element_at("details", F.lit("label")).alias("label"))
 
 
+SYMBOLS_SQL = """WITH d AS (SELECT user_id AS m, event_id AS seq, event_type AS label, (event_id % 97) / 96.0::DOUBLE AS c, event_id % 5 AS pos FROM events),
+k AS (SELECT m, count(*) AS n, max(c) AS top, arg_max(label, struct_pack(c := c, s := -seq)) AS label FROM d WHERE pos < 2 AND label <> 'click' GROUP BY m)
+SELECT i.m AS media_id, w AS most_frames, CASE WHEN w > 0 AND n > 0 THEN n::DOUBLE ELSE 0.0::DOUBLE END AS found, CASE WHEN w > 0 AND n > 0 THEN top ELSE 0.0::DOUBLE END AS top_conf,
+  CASE WHEN w > 0 AND top >= 0.9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS block_hit, CASE WHEN w > 0 THEN coalesce(label, '') ELSE '' END AS top_label, w <= 0 AS skipped
+FROM (SELECT DISTINCT m FROM d) i CROSS JOIN (VALUES (0), (2)) v(w) LEFT JOIN k ON k.m = i.m"""
+
+
+@query(SYMBOLS_SQL)
+def symbols_of_first_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols in the first two frames of each item, and with frames switched off."""
+    e = fx.table(spark, sf_dir, "events")
+    seen = e.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("label"), ((F.col("event_id") % 97) / F.lit(96.0)).alias("confidence"), (F.col("event_id") % 5).alias("frame_pos"))
+    media = seen.select("media_id").distinct()
+    parts = [detections.symbol_results(media, seen, most, ("click",)).withColumn("most_frames", F.lit(most)) for most in (0, 2)]
+    score = lambda n: F.col("scores")[f"forbidden_symbols_{n}"]
+    both = parts[0].unionByName(parts[1])
+    return both.select("media_id", "most_frames", score("detection_count").alias("found"), score("top_conf").alias("top_conf"), score("block_hit").alias("block_hit"), F.col("details")["top_label"].alias("top_label"), F.coalesce(F.try_element_at("details", F.lit("inference_skipped")) == "true", F.lit(False)).alias("skipped"))
+
+
 # ---- runtime statistics -----------------------------------------------------------------------------------------
 
 STATS_SQL = "round(sum({t}) / count(*), 2) AS avg_{p}ms, trunc(quantile_cont({t}, 0.5))::BIGINT AS median_{p}ms, min({t}) AS min_{p}ms, max({t}) AS max_{p}ms, quantile_disc({t}, 0.95) AS p95_{p}ms"
@@ -751,6 +770,12 @@ def bench_item_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.item_rollup(fx.runs(spark, sf_dir), fx.items(spark, sf_dir))
 
 
+@query(f"WITH {fx.RUNS_SQL} SELECT media_id, to_json(list(struct_pack(name := engine, status := lower(status), took_ms := ms) ORDER BY engine_ord))::VARCHAR AS engines FROM r GROUP BY media_id")
+def bench_item_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of an item, in order."""
+    return runtime.item_engines(fx.runs(spark, sf_dir)).select("media_id", F.to_json("engines").alias("engines"))
+
+
 @query(f"WITH {fx.RUNS_SQL}, i AS (SELECT {CLEAN_ITEMS} AS t FROM it) SELECT count(*) AS total_files, sum(t)::BIGINT AS total_ms, sum(t)::BIGINT AS total_wall_ms, {STATS_SQL.format(t='t', p='file_')} FROM i")
 def bench_file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.file_summary(fx.items(spark, sf_dir))

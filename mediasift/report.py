@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediasift.operators import runtime
 from mediasift.operators.verdict import word_reason
 
 
@@ -44,11 +45,23 @@ def text_lines(rows: list[dict]) -> list[str]:
     return out
 
 
-def summary_lines(summary: dict, engines: list[dict], files: list[dict]) -> list[str]:
+def benchmark(results: DataFrame, items: DataFrame, wall_ms: int) -> dict:
+    """Runtime statistics of a run: results (engine, engine_ord, status, took_ms), items (media_id, total_ms, input_ord, label). A row an engine and ten items come to the driver."""
+    summary = runtime.file_summary(items, wall_ms).first().asDict()
+    counts = {r["label"]: r["items"] for r in runtime.verdict_counts(items).collect()}
+    engines = [r.asDict() for r in runtime.engine_ranking(runtime.engine_rollup(results)).collect()]
+    slow = runtime.slowest_files(items).drop("input_ord")
+    found = slow.join(runtime.item_rollup(results, slow).drop("total_ms"), "media_id").join(runtime.item_engines(results), "media_id", "left").orderBy(F.desc("total_ms"), "media_id")
+    return summary | {"verdict_counts": counts, "engines": engines, "slowest_files": [r.asDict(recursive=True) for r in found.collect()]}
+
+
+def summary_lines(summary: dict) -> list[str]:
     """Runtime statistics in words."""
-    out = [f"files {summary['total_files']}, total {summary['total_ms']} ms, wall {summary['total_wall_ms']} ms, average {summary['avg_file_ms']:.2f} ms, median {summary['median_file_ms']} ms, p95 {summary['p95_file_ms']} ms"]
-    out += [f"engine {e['engine']}: runs {e['runs']}, ok {e['ok']}, skipped {e['skipped']}, errors {e['error']}, total {e['total_ms']} ms, p95 {e['p95_ms']} ms" for e in engines]
-    return out + [f"slow {f['media_id']}: {f['total_ms']} ms" for f in files]
+    v = summary["verdict_counts"]
+    out = [f"files {summary['total_files']}, total {summary['total_ms']} ms, wall {summary['total_wall_ms']} ms, average {summary['avg_file_ms']:.2f} ms, least {summary['min_file_ms']} ms, median {summary['median_file_ms']} ms, p95 {summary['p95_file_ms']} ms, most {summary['max_file_ms']} ms"]
+    out.append("verdicts " + ", ".join(f"{label} {v.get(label, 0)}" for label in runtime.LABELS))
+    out += [f"engine {e['engine']}: runs {e['runs']}, ok {e['ok']}, skipped {e['skipped']}, errors {e['error']}, other {e['other_status']}, total {e['total_ms']} ms, average {e['avg_ms']:.2f} ms, p95 {e['p95_ms']} ms, most {e['max_ms']} ms" for e in summary["engines"]] or ["no engines"]
+    return out + ([f"slow {f['media_id']}: {f['total_ms']} ms, {f['label']}, slowest engine {f['slowest_engine']} {f['slowest_engine_ms']} ms, unattributed {f['unattributed_ms']} ms" for f in summary["slowest_files"]] or ["no files"])
 
 
 def exit_status(labels: list[str]) -> int:

@@ -216,6 +216,21 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main([f"file://{tmp_path}/empty"]) == 2
 
 
+def test_benchmark_of_a_run(spark, folder, tmp_path, capsys, monkeypatch):
+    (tmp_path / "block.txt").write_text(hash_pixels(picture(1)) + ",seen\n")
+    to, lines = tmp_path / "bench.json", tmp_path / "rows"
+    monkeypatch.setattr(cli, "MOST_SHOWN", 2)  # reports of more inputs are written by Spark
+    code = cli.main([f"file://{folder}", "--blocklist", f"file://{tmp_path}/block.txt", "--allowlist", "none", "--json", f"file://{lines}", "--benchmark", "--benchmark-json", str(to)])
+    got, told = json.loads(to.read_text()), capsys.readouterr().out
+    assert code == 2 and got["total_files"] == 4 and sum(got["verdict_counts"].values()) == 4 and got["verdict_counts"]["BLOCK"] == 1
+    engines = {e["engine"]: e for e in got["engines"]}
+    assert (engines["pHash blocklist"]["ok"], engines["pHash allowlist"]["skipped"], engines["pHash blocklist"]["runs"]) == (3, 3, 3)
+    slow = {f["media_id"].rsplit("/", 1)[-1]: f for f in got["slowest_files"]}
+    assert [e["name"] for e in slow["p1.png"]["engines"]] == ["pHash blocklist", "pHash allowlist"] and slow["bad.png"]["engine_count"] == 0
+    assert "files 4" in told and "verdicts OK" in told and "engine pHash blocklist: runs 3, ok 3" in told and "slow " in told
+    assert spark.read.json(f"file://{lines}").count() == 4
+
+
 def test_bits_of_hex_feed_the_lists(spark):
     assert spark.range(1).select(bits_of_hex(F.lit("8000000000000000"))).first()[0] == -(1 << 63)
 
