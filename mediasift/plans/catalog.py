@@ -324,7 +324,8 @@ def ext_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", c.extension(path).alias("ext"), c.is_image_path(path).alias("is_image"))
 
 
-MIME_SQL = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in c.MIME_OF_EXTENSION.items()) + " ELSE 'application/octet-stream' END"
+MIME_SQL = """CASE WHEN ext IN ('.jpg', '.jpeg') THEN 'image/jpeg' WHEN ext = '.png' THEN 'image/png' WHEN ext = '.webp' THEN 'image/webp' WHEN ext = '.gif' THEN 'image/gif'
+ WHEN ext = '.bmp' THEN 'image/bmp' WHEN ext IN ('.tif', '.tiff') THEN 'image/tiff' ELSE 'application/octet-stream' END"""
 
 
 @query(f"SELECT page_id, {MIME_SQL} AS mime FROM ({EXT_SQL})")
@@ -371,9 +372,10 @@ def _word(values: list[str]):
 
 
 @query(f"""WITH w AS (SELECT event_id, lower(trim({WORD_SQL})) AS w FROM events) SELECT event_id,
-CASE WHEN w IN {c.API_ON_REVIEW} THEN 'on_review' WHEN w IN {c.API_NEVER} THEN 'never' ELSE 'always' END AS api,
-CASE WHEN w IN {c.NO_CHECKS_OK} THEN 'ok' WHEN w IN {c.NO_CHECKS_BLOCK} THEN 'block' ELSE 'review' END AS nothing,
-CASE WHEN w IN {c.ERRORS_BLOCK} THEN 'block' WHEN w IN {c.ERRORS_IGNORE} THEN 'ignore' ELSE 'review' END AS errors FROM w""")
+CASE WHEN w IN ('on_review', 'on-review', 'onreview', 'only-review', 'only_review', 'when-review', 'when_review', 'review', 'uncertain') THEN 'on_review'
+  WHEN w IN ('never', 'no-api', 'no_api', 'no-apis', 'no_apis', 'noapis', 'disable', 'off', 'disabled', 'false', '0', 'none') THEN 'never' ELSE 'always' END AS api,
+CASE WHEN w IN ('ok', 'allow', 'open') THEN 'ok' WHEN w IN ('block', 'deny', 'fail', 'fail_closed') THEN 'block' ELSE 'review' END AS nothing,
+CASE WHEN w IN ('block', 'not_ok', 'fail', 'fail_closed', 'deny') THEN 'block' WHEN w IN ('ignore', 'open', 'allow', 'lenient', 'loose') THEN 'ignore' ELSE 'review' END AS errors FROM w""")
 def policy_alias_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _word(WORDS)
     return fx.table(spark, sf_dir, "events").select("event_id", c.api_policy(w).alias("api"), c.no_checks_policy(w).alias("nothing"), c.error_policy(w).alias("errors"))
@@ -445,12 +447,13 @@ def list_knobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CORES = ["", "ocr, OpenAI", "phash_block,custom", "OCR,ocr , forbidden_symbols,yolo_forbidden_symbols", " , "]
-ALIAS_SQL = "CASE lower(x) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in c.CORE_ALIASES.items()) + " ELSE x END"
+ALIAS_SQL = """CASE WHEN lower(x) IN ('phash_allowlist', 'phash_allow') THEN 'pHash allowlist' WHEN lower(x) IN ('phash_blocklist', 'phash_block') THEN 'pHash blocklist' WHEN lower(x) = 'ocr' THEN 'OCR text'
+ WHEN lower(x) = 'openai' THEN 'OpenAI Moderation' WHEN lower(x) = 'sightengine' THEN 'Sightengine' WHEN lower(x) IN ('forbidden_symbols_yolo', 'forbidden_symbols', 'yolo_forbidden_symbols') THEN 'YOLO forbidden symbols' ELSE x END"""
 
 
 @query(f"""WITH v AS (SELECT event_id, list_filter(list_transform(string_split({_pick_sql(CORES)}, ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM events),
 n AS (SELECT event_id, list_transform(l, lambda x: {ALIAS_SQL}) AS l FROM v)
-SELECT event_id, CASE WHEN len(l) = 0 THEN '{','.join(c.CORE_ENGINES)}' ELSE array_to_string({DISTINCT_SQL.format('l')}, ',') END AS core FROM n""")
+SELECT event_id, CASE WHEN len(l) = 0 THEN 'pHash allowlist,pHash blocklist,OCR text,OpenAI Moderation,Sightengine,YOLO forbidden symbols' ELSE array_to_string({DISTINCT_SQL.format('l')}, ',') END AS core FROM n""")
 def core_engine_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", F.array_join(c.core_engines(_word(CORES)), ",").alias("core"))
 
