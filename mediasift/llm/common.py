@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from mediasift.scratch import checkpoint_root, discard, materialise, scratch
 
-__all__ = ["attach_groups", "checkpoint_root", "connected_components", "discard", "give_back", "in_batches", "materialise", "prefix_sums", "release_shuffles", "scratch", "strip_white", "text_or_empty", "tidy", "unused_names", "worker_cache"]
+__all__ = ["attach_groups", "bounded_parts", "checkpoint_root", "connected_components", "discard", "give_back", "in_batches", "materialise", "prefix_sums", "release_shuffles", "scratch", "strip_white", "text_or_empty", "tidy", "unused_names", "worker_cache"]
 
 #: ASCII white space: the characters of [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 #: A group of at least so many rows is heavy: what is known of it is broadcast instead of shuffled to.
 HEAVY_ROWS, HEAVY_SHARE, MOST_HEAVY = 20_000, 1024, 500_000
+#: So many partitions a shuffle may have before they get larger.
+MANY_PARTS = 50_000
 
 
 ARROW_ROWS = 500
@@ -106,6 +108,11 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     return df.join(sums.hint("merge"), [*keys, "_b"]).withColumn(out, F.col("_before") + F.col("_local")).drop("_b", "_v", "_before", "_local")
 
 
+def bounded_parts(total: int, each: int, largest: int) -> int:
+    """How many parts of `each` a total makes; beyond MANY_PARTS the parts grow instead, up to `largest`."""
+    return max(1, min(-(-total // each), max(MANY_PARTS, -(-total // largest))))
+
+
 def heavy_from(total: int) -> int:
     """Rows from which a group of a table of `total` rows is heavy; at most MOST_HEAVY groups can be."""
     return max(2, min(-(-total // HEAVY_SHARE), max(HEAVY_ROWS, -(-total // MOST_HEAVY))))

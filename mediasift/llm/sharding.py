@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediasift.llm.common import heavy_from, materialise, prefix_sums
+from mediasift.llm.common import bounded_parts, heavy_from, materialise, prefix_sums
 
 BUCKET_BYTES = 16 << 20
 BUCKET_ROWS, BUCKETS_A_GROUP = 20_000, 1000
+#: Times these sizes that a bucket may grow where there would be too many.
+LARGEST = 16
 
 
 def _hashable(name: str, kind: T.DataType) -> Column:
@@ -42,7 +44,8 @@ def _scattered(df: DataFrame, seed: int, rows: int) -> DataFrame:
     if not many.limit(1).count():
         return keyed
     marked = keyed.join(F.broadcast(many), ["_h", "_h2"], "left")
-    equal = marked.filter("_n is not null").withColumn("_at", F.monotonically_increasing_id())
+    # Written with their numbers: evaluated twice, rows could come in another order the second time.
+    equal = materialise(marked.filter("_n is not null").select("_h", "_h2", "_row", F.monotonically_increasing_id().alias("_at")), "equal")
     numbered = prefix_sums(equal, ["_h", "_h2"], [F.col("_at")], F.lit(1), "_copy", rows, BUCKET_ROWS)
     again = numbered.select(F.xxhash64("_h", "_copy").alias("_h"), F.xxhash64("_h2", "_copy").alias("_h2"), "_row")
     return marked.filter("_n is null").select("_h", "_h2", "_row").unionByName(again)
@@ -53,7 +56,7 @@ def external_shuffle(df: DataFrame, n_shards: int, seed: int = 17, bytes_column:
     df = df.drop("shard", "slot")
     size = F.octet_length(F.col(bytes_column)) if bytes_column in df.columns else F.lit(0)
     rows, total = df.agg(F.count("*"), F.sum(F.coalesce(size, F.lit(0)).cast("long"))).first()
-    buckets = max(1, -(-(total or 0) // BUCKET_BYTES), -(-rows // BUCKET_ROWS))
+    buckets = max(bounded_parts(total or 0, BUCKET_BYTES, LARGEST * BUCKET_BYTES), bounded_parts(rows, BUCKET_ROWS, LARGEST * BUCKET_ROWS))
     placed = _scattered(df, seed, rows).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
     counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
     before = prefix_sums(counts, ["_all"], [F.col("_bucket")], F.col("_n"), "_first", 0, bucket=F.floor(F.col("_bucket") / BUCKETS_A_GROUP)).select("_bucket", "_first")

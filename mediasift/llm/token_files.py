@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import in_batches, prefix_sums, scratch
+from mediasift.llm.common import bounded_parts, in_batches, prefix_sums, scratch
 from mediasift.llm.tokens import PieceEncoder, with_end
 
 MAGIC = b"RPT1"
 BLOCK_TOKENS, ROWS_AT_ONCE, CACHED_PIECES = 2_000_000, 500, 600_000
 RULES_A_ROUND, LEAST_COUNT, TABLE_BITS = 8192, 8, 20
-TASK_BYTES, SEARCHED = 24 << 20, 100_000
+TASK_BYTES, MOST_TASK_BYTES, SEARCHED = 24 << 20, 1 << 30, 100_000
 BLOCKS = "shard int, block int, doc_ids array<bigint>, n_tokens long, payload binary"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -198,7 +198,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield flush()
 
     size = docs.agg(F.sum(F.octet_length(docs["text"].cast("string")).cast("long"))).first()[0] or 0
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, bounded_parts(size, TASK_BYTES, MOST_TASK_BYTES))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.monotonically_increasing_id().alias("_at"))
     ranged = rows.repartitionByRange(parts, "doc_id", "_at").sortWithinPartitions("doc_id", "_at").select("doc_id", "text")
     in_batches(ranged).mapInArrow(encode, BLOCKS).write.parquet(path)

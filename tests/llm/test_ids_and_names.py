@@ -51,3 +51,10 @@ def test_an_empty_table_through_the_pipeline(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.count() == 0 and got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_parts_grow_where_there_would_be_too_many():
+    from mediasift.llm.common import MANY_PARTS, bounded_parts
+
+    assert [bounded_parts(n, 10, 100) for n in (0, 1, 10, 11, 10 * MANY_PARTS)] == [1, 1, 1, 2, MANY_PARTS]
+    assert bounded_parts(11 * MANY_PARTS, 10, 100) == MANY_PARTS and bounded_parts(1000 * MANY_PARTS, 10, 100) == 10 * MANY_PARTS
