@@ -8,24 +8,36 @@ import sys
 import time
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift import report
-from mediasift.functions.columns import bits_of_hex
+from mediasift.functions.columns import bits_of_hex, hex_of_bits
 from mediasift.functions.imagehash import hash_of_image
 from mediasift.operators import runtime
 from mediasift.operators.engines import allowlist_engine, blocklist_engine, run_engines
+from mediasift.operators.learning import LABELS, verdicts_in_order
 from mediasift.operators.routing import moderate
 from mediasift.scratch import materialise
 from mediasift.session import local_session
 from mediasift.sources import settings
-from mediasift.sources.lists import read_hash_list
+from mediasift.sources.lists import append_hashes, read_hash_list, read_hash_store
 from mediasift.sources.media import list_media, read_images
 
 #: Inputs up to this number are shown one by one; reports of more are written by Spark.
 MOST_SHOWN = 1000
 
 
+#: What a run learns for a list stands in a store beside it.
+LEARNED, AFTER_FILE = ".learned", 1 << 50
+
+
+def hash_entries(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """The entries of a list file, followed by those that earlier runs learned for it."""
+    listed, learned = read_hash_list(spark, path, label), read_hash_store(spark, path + LEARNED)
+    return materialise(listed.unionByName(learned.withColumn("line_no", F.col("line_no") + AFTER_FILE).select(*listed.columns)), "entries")
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="mediasift", description=__doc__)
     p.add_argument("input")
@@ -54,10 +66,18 @@ def main(argv: list[str] | None = None) -> int:
         hashed = images.select("media_id", "load_error", bits_of_hex(hash_of_image("image")).alias("bits"))
         media = listed.select("media_id", "name", "path").join(hashed, "media_id", "left").withColumn("load_error", F.when(F.col("bits").isNull(), F.coalesce("load_error", F.lit("undecodable"))))
     media = materialise(media, "media")
-    lists = [blocklist_engine(read_hash_list(spark, a.blocklist, "block"), run.block_distance), allowlist_engine(read_hash_list(spark, a.allowlist, "allow"), run.allow_distance)]
+    block, allow = hash_entries(spark, a.blocklist, "block"), hash_entries(spark, a.allowlist, "allow")
+    lists = [blocklist_engine(block, run.block_distance), allowlist_engine(allow, run.allow_distance)]
     results = materialise(run_engines(media.filter("load_error is null"), lists), "results")
     none = results.limit(0)
     verdicts = materialise(moderate(media, lambda m: results.join(m.select("media_id"), "media_id", "left_semi"), lambda m: none, lambda m: none, run.settings, run.route), "verdicts")
+    if run.route.short_circuit and any(map(run.learning.learns, LABELS.values())):
+        turns = media.filter("bits is not null").orderBy("path").select("media_id", F.monotonically_increasing_id().alias("turn"), F.col("bits").alias("first"), F.col("bits").alias("last"))
+        entries = block.select(F.lit("block").alias("list_kind"), "bits").unionByName(allow.select(F.lit("allow").alias("list_kind"), "bits"))
+        verdicts, added = verdicts_in_order(turns, verdicts, entries, run.learning, run.block_distance, run.allow_distance)
+        verdicts = materialise(verdicts, "in-order")
+        for kind, path in (("block", a.blocklist), ("allow", a.allowlist)):
+            append_hashes(added.filter(F.col("list_kind") == kind).select(hex_of_bits(F.col("bits")).alias("hex"), "label"), path + LEARNED)
     reports = report.report_table(media, verdicts, results)
     if inputs <= MOST_SHOWN:
         rows = [report.worded(r.asDict(recursive=True)) for r in reports.orderBy("path").collect()]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.operators.matching import near_pairs
-from mediasift.operators.routing import Learning
+from mediasift.operators.routing import Learning, list_verdict
 from mediasift.scratch import discard, materialise
 
 #: Rows of a hash that one task joins; a hash with more is dealt over several.
@@ -107,3 +107,17 @@ def added_entries(inputs: DataFrame, judged: DataFrame, entries: DataFrame, how:
     new = _learned(judged, _sought(inputs, how.first_and_last), kinds).select(F.col("kind").alias("list_kind"), "bits", F.col("since").alias("turn"))
     fresh = new.join(entries.select("list_kind", "bits").distinct(), ["list_kind", "bits"], "left_anti")
     return fresh.withColumn("label", F.when(F.col("list_kind") == "block", how.block_label).otherwise(how.allow_label))
+
+
+def verdicts_in_order(media: DataFrame, verdicts: DataFrame, entries: DataFrame, how: Learning, block_radius: int = 6, allow_radius: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, entries that the run adds) of media (media_id, turn, first, last) that are judged one after the other.
+
+    verdicts are those of a run that short-circuits by the given lists (`moderate`): they stand for every input that
+    neither a given nor a learned entry settles when its turn comes. Media without a turn keep theirs.
+    """
+    own = verdicts.select("media_id", F.col("label").alias("own"))
+    inputs = materialise(media.filter("turn is not null").join(own, "media_id").select("media_id", "turn", "first", "last", "own"), "turns")
+    judged = learn_in_order(inputs, entries, how, block_radius, allow_radius)
+    settled = judged.filter("settled_by is not null").join(inputs.select("turn", "media_id"), "turn")
+    by_lists = settled.select("media_id", *list_verdict(F.col("settled_by") == "block", F.col("distance").cast("string")))
+    return verdicts.join(settled.select("media_id"), "media_id", "left_anti").unionByName(by_lists), added_entries(inputs, judged, entries, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.operators.verdict import NO_REASONS, Settings, fold
@@ -28,14 +28,19 @@ def loader_failures(media: DataFrame) -> DataFrame:
     return failed.select("media_id", F.lit("REVIEW").alias("label"), *zero, _reasons("loader_failure", F.col("load_error")).alias("reasons"))
 
 
+def list_verdict(blocked: Column, distance: Column) -> list[Column]:
+    """Label, risks and reasons of an item that a list settles: the block list if blocked, else the allow list."""
+    risks = [F.when(blocked, 1.0).otherwise(0.0).alias(f"{d}_risk") for d in ("nudity", "violence", "hate")]
+    reasons = F.when(blocked, _reasons("blocklist_distance", distance)).otherwise(_reasons("allowlist_distance", distance))
+    return [F.when(blocked, "BLOCK").otherwise("OK").alias("label"), *risks, reasons.alias("reasons")]
+
+
 def settled_by_hash(pre_results: DataFrame) -> DataFrame:
     """Verdicts that the hash lists settle before any other check; a block match wins over an allow match."""
     hit = lambda engine, key: F.max(F.when((F.col("engine") == engine) & (F.lower("status") == "ok") & (F.try_element_at("scores", F.lit(key)) == 1.0), F.coalesce(F.try_element_at("details", F.lit("distance")), F.lit("")))  )
     found = pre_results.groupBy("media_id").agg(hit("pHash blocklist", "phash_block_match").alias("b"), hit("pHash allowlist", "phash_allow_match").alias("a"))
     found = found.filter("a is not null or b is not null")
-    risk = F.when(F.col("b").isNotNull(), 1.0).otherwise(0.0)
-    reasons = F.when(F.col("b").isNotNull(), _reasons("blocklist_distance", F.col("b"))).otherwise(_reasons("allowlist_distance", F.col("a")))
-    return found.select("media_id", F.when(F.col("b").isNotNull(), "BLOCK").otherwise("OK").alias("label"), *[risk.alias(f"{d}_risk") for d in ("nudity", "violence", "hate")], reasons.alias("reasons"))
+    return found.select("media_id", *list_verdict(F.col("b").isNotNull(), F.coalesce("b", "a")))
 
 
 @dataclass(frozen=True)

@@ -216,6 +216,21 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main([f"file://{tmp_path}/empty"]) == 2
 
 
+def test_a_run_learns_for_itself_and_the_next(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("PHASH_AUTO_LEARN_ENABLE", "1")
+    media, to = tmp_path / "media", tmp_path / "r.json"
+    media.mkdir()
+    for name, seed in (("a", 1), ("b", 2), ("c", 1), ("d", 3)):
+        (media / f"{name}.png").write_bytes(png(picture(seed)))
+    (tmp_path / "block.txt").write_text(hash_pixels(picture(2)) + ",seen\n")
+    call = [f"file://{media}", "--blocklist", f"file://{tmp_path}/block.txt", "--allowlist", f"file://{tmp_path}/allow.txt", "--json", str(to)]
+    for reasons in ({"a": [], "b": ["Blocklist match (distance=0)"], "c": ["Allowlist match (distance=0)"], "d": []}, {"a": ["Allowlist match (distance=0)"], "b": ["Blocklist match (distance=0)"], "c": ["Allowlist match (distance=0)"], "d": ["Allowlist match (distance=0)"]}):
+        assert cli.main(call) == 2
+        assert {r["name"][0]: r["verdict"]["reasons"] for r in json.loads(to.read_text())} == reasons
+        got = {kind: {r["hex"]: r["label"] for r in read_hash_store(spark, f"file://{tmp_path}/{kind}.txt.learned").collect()} for kind in ("block", "allow")}
+        assert got == {"block": {}, "allow": {hash_pixels(picture(1)): "ok", hash_pixels(picture(3)): "ok"}}
+
+
 def test_benchmark_of_a_run(spark, folder, tmp_path, capsys, monkeypatch):
     (tmp_path / "block.txt").write_text(hash_pixels(picture(1)) + ",seen\n")
     to, lines = tmp_path / "bench.json", tmp_path / "rows"
