@@ -538,6 +538,23 @@ def scores_topk_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("media_id", F.array_join(F.transform(scores.shown_scores("other", plain), lambda x: x["key"]), ",").alias("shown"))
 
 
+REST = ("weapon_firearm_gesture", "weapon_firearm_type_animated", "violence_physical_violence", "violence_firearm_threat", "gore_very_bloody", "gore_corpse")
+SHOWN_MODES_SQL = f"""WITH s AS (SELECT doc_id AS media_id, doc_id AS m FROM documents),
+r AS (SELECT media_id, list_filter(list_sort([{', '.join(f"struct_pack(down := -({fx.score_sql(n)}), o := {o}, k := '{n}')" for o, n in enumerate(fx.ENGINES["Sightengine"]) if n in REST)}])[1:2], lambda e: -e.down >= 0.05) AS rest FROM s)
+SELECT media_id, 'nudity_safe,nudity_raw,nudity_partial,weapon_firearm,weapon_firearm_toy,weapon_knife,gore_prob,violence_prob,offensive_max' || CASE WHEN len(rest) > 0 THEN ',' || array_to_string(list_transform(rest, lambda e: e.k), ',') ELSE '' END AS compact,
+  '{','.join(fx.ENGINES["Sightengine"])}' AS everything, 'weapon_knife,nudity_raw' AS chosen FROM r"""
+
+
+@query(SHOWN_MODES_SQL)
+def scores_shown_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report shows of nested API scores: the usual ones and the two highest others, all, or those asked for."""
+    d = fx.table(spark, sf_dir, "documents")
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), fx.score(n, F.col("doc_id")).alias("value")) for n in fx.ENGINES["Sightengine"]])
+    rows = d.select(F.col("doc_id").alias("media_id"), F.explode(F.array(entries)).alias("e"))
+    shown = lambda **how: F.array_join(F.transform(scores.shown_scores("Sightengine", F.col("e"), **how), lambda x: x["key"]), ",")
+    return rows.select("media_id", shown(extra=2).alias("compact"), shown(mode="full").alias("everything"), shown(mode="keys", keys=("weapon_knife", "nope", "nudity_raw")).alias("chosen"))
+
+
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested responses with binary fractions, built from the events."""
     i = F.col("event_id")
@@ -635,18 +652,22 @@ def _told(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("media_id", "label", "nudity_risk", "violence_risk", "hate_risk", codes.alias("reason_codes"))
 
 
-def _verdict_query(name: str, engines: tuple[str, ...] | None, errors: bool = True, error_policy: str = "review", no_checks: str = "review") -> None:
+def _verdict_query(name: str, engines: tuple[str, ...] | None, errors: bool = True, error_policy: str = "review", no_checks: str = "review", switched: bool = False) -> None:
+    switches = dict.fromkeys(("allow_toy", "block_all_knives", "se_block_any_firearm", "se_block_all_knives"), switched)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _told(fold(fx.results(spark, sf_dir, engines, errors), Settings(error_policy=error_policy, no_checks_policy=no_checks)))
+        return _told(fold(fx.results(spark, sf_dir, engines, errors), Settings(error_policy=error_policy, no_checks_policy=no_checks, **switches)))
 
     run.__name__ = name
-    query(fx.verdict_sql(engines, errors, error_policy, no_checks.upper()))(run)
+    query(fx.verdict_sql(engines, errors, error_policy, no_checks.upper(), switched))(run)
 
 
 _verdict_query("verdict_nsfw", ("NudeNet", "OpenNSFW2"), errors=False)
 _verdict_query("verdict_symbols", ("YOLO forbidden symbols",), errors=False)
 _verdict_query("verdict_weapons", ("YOLO-World weapons",), errors=False)
 _verdict_query("verdict_sightengine", ("Sightengine",), errors=False)
+_verdict_query("verdict_weapons_switched", ("YOLO-World weapons",), errors=False, switched=True)
+_verdict_query("verdict_sightengine_switched", ("Sightengine",), errors=False, switched=True)
 _verdict_query("verdict_openai", ("OpenAI Moderation",), errors=False)
 _verdict_query("verdict_terminal_order", ("pHash blocklist", "pHash allowlist", "OCR text", "OpenNSFW2"), errors=False)
 _verdict_query("verdict_error_policy", None, error_policy="block")

@@ -136,8 +136,8 @@ def _or(parts: list[str]) -> str:
     return "(" + " OR ".join(parts) + ")" if parts else "FALSE"
 
 
-def verdict_sql(engines: tuple[str, ...] | None = None, errors: bool = True, error_policy: str = "review", no_checks: str = "REVIEW") -> str:
-    """DuckDB SQL for verdicts over `results`, written rule by rule."""
+def verdict_sql(engines: tuple[str, ...] | None = None, errors: bool = True, error_policy: str = "review", no_checks: str = "REVIEW", switched: bool = False) -> str:
+    """DuckDB SQL for verdicts over `results`, written rule by rule; switched: toys are allowed, any knife and any firearm alarms."""
     used = [(o, e) for o, e in enumerate(ENGINES) if not engines or e in engines]
     q = lambda n: f'"{n}"'
     scores = ", ".join(f"{score_sql(n)} AS {q(n)}" for _, e in used for n in ENGINES[e])
@@ -154,10 +154,15 @@ def verdict_sql(engines: tuple[str, ...] | None = None, errors: bool = True, err
     gore = "greatest(gore_prob, gore_very_bloody, gore_corpse)"
     knife = f"weapon_knife >= 0.65 AND greatest({fight}, {gore}) >= 0.25"
     one = lambda w: f"CASE WHEN {w} THEN 1.0 ELSE 0.0 END"
+    toys = [] if switched else [("(yolo_firearm_toy >= 0.25 OR yolo_firearm >= 0.35)", "firearm_like")]
+    knives = [("yolo_knife >= 0.65", "knife")] if switched else []
+    any_firearm = [("weapon_firearm >= 0.35", "se_firearm_any")] if switched else []
+    if switched:
+        knife = "weapon_knife >= 0.65"
     graded = {  # (risk, value, reason where, code)
         "NudeNet": [("nudity", "nudity_exposed", "nudity_exposed >= 0.4", "nudenet_exposed"), ("nudity", "nudity_covered * 0.5", "nudity_covered * 0.5 >= 0.6", "nudenet_covered")],
         "OpenNSFW2": [("nudity", "nsfw_probability", "nsfw_probability >= 0.5", "opennsfw2")],
-        "YOLO-World weapons": [(("violence"), one(w), w, c) for w, c in (("yolo_firearm_realistic >= 0.35", "firearm_realistic"), ("(yolo_firearm_toy >= 0.25 OR yolo_firearm >= 0.35)", "firearm_like"), ("yolo_knife_dangerous >= 0.35", "knife_dangerous"))],
+        "YOLO-World weapons": [(("violence"), one(w), w, c) for w, c in (("yolo_firearm_realistic >= 0.35", "firearm_realistic"), *toys, ("yolo_knife_dangerous >= 0.35", "knife_dangerous"), *knives)],
         "YOLO forbidden symbols": [
             ("hate", one("forbidden_symbols_max_conf >= 0.9"), "forbidden_symbols_max_conf >= 0.9", "symbol_detected"),
             ("hate", "CASE WHEN forbidden_symbols_max_conf < 0.9 AND forbidden_symbols_max_conf >= 0.3 THEN 0.4 ELSE 0.0 END", "forbidden_symbols_max_conf < 0.9 AND forbidden_symbols_max_conf >= 0.3", "symbol_possible"),
@@ -166,7 +171,7 @@ def verdict_sql(engines: tuple[str, ...] | None = None, errors: bool = True, err
         "Sightengine": [
             ("nudity", "nudity_raw", "nudity_raw >= 0.3", "se_nudity_raw"),
             ("nudity", f"{partial} * 0.6", f"{partial} * 0.6 >= 0.42", "se_nudity_partial"),
-            *[("violence", one(w), w, c) for w, c in ((f"{real} >= 0.35", "se_firearm"), (f"{fight} >= 0.3", "se_violence"), (f"{gore} >= 0.2", "se_gore"))],
+            *[("violence", one(w), w, c) for w, c in (*any_firearm, (f"{real} >= 0.35", "se_firearm"), (f"{fight} >= 0.3", "se_violence"), (f"{gore} >= 0.2", "se_gore"))],
             ("hate", one("offensive_max >= 0.5"), "offensive_max >= 0.5", "se_offensive"),
             ("violence", one(knife), knife, "se_knife"),
         ],
