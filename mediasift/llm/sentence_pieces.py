@@ -419,7 +419,10 @@ def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", out: str = "dec
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                texts = [sp.decode(x or []) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
+                lists = part.column(part.schema.get_field_index(ids))
+                values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                known = lists.is_valid().to_numpy(zero_copy_only=False)
+                texts = [sp.decode(values[j:k].tolist()) if ok else "" for j, k, ok in zip(at[:-1], at[1:], known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], [*names, out])
         give_back()
 
