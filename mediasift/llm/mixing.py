@@ -9,7 +9,8 @@ blocks. When a source runs out, the others go on with their weights in a new fra
 repeated.
 
 The schedule is worked out on the driver from one number a source; it holds a frame of slots for each time a source
-runs out, so sources should be thousands at most, however many rows they have.
+runs out, so sources should be hundreds, thousands at most, however many rows they have. Tempered weights are shares of
+FRAME slots: sources of less than half a slot get a whole one, with a warning.
 
 Ties: rows of a source that are equal in doc_id and size are interchangeable; equal deadlines go to the source first
 in alphabetical order.
@@ -23,6 +24,7 @@ these names). A document longer than a block fills the slots of as many blocks.
 from __future__ import annotations
 
 import heapq
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +85,10 @@ def phases(blocks: dict[str | None, int], weights: dict[str | None, int]) -> dic
 
 
 def tempered(sizes: dict[str | None, int], frame: int = FRAME, temper: float = TEMPER) -> dict[str | None, int]:
-    """Whole weights in proportion to size ** temper, at least 1 each."""
+    """Whole weights in proportion to size ** temper, at least 1 each; a warning where that is more than a source's share of the frame."""
     whole = sum(max(n, 1) ** temper for n in sizes.values())
+    if sizes and 2 * frame * max(min(sizes.values()), 1) ** temper < whole:
+        warnings.warn(f"{len(sizes)} sources share a frame of {frame} slots: the smallest get more than their weight; give weights of your own", stacklevel=3)
     return {s: max(1, round(frame * max(n, 1) ** temper / whole)) for s, n in sizes.items()}
 
 

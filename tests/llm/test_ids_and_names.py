@@ -58,3 +58,17 @@ def test_parts_grow_where_there_would_be_too_many():
 
     assert [bounded_parts(n, 10, 100) for n in (0, 1, 10, 11, 10 * MANY_PARTS)] == [1, 1, 1, 2, MANY_PARTS]
     assert bounded_parts(11 * MANY_PARTS, 10, 100) == MANY_PARTS and bounded_parts(1000 * MANY_PARTS, 10, 100) == 10 * MANY_PARTS
+
+
+def test_sources_too_small_for_the_frame_are_told():
+    import warnings
+
+    import pytest
+
+    from mediasift.llm.mixing import tempered
+
+    with pytest.warns(UserWarning, match="share a frame"):
+        assert set(tempered({f"s{i}": 1 + i for i in range(5000)}).values()) == {1}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert sum(tempered({"a": 1000, "b": 10, None: 1}).values()) >= 998 and tempered({}) == {}
